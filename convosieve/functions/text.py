@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from convosieve.functions import lexicons as lex
+from convosieve.functions.scalar import let
 
 # Character classes (inside [...]) that follow Unicode general categories.
 WS = r"\s\x1c-\x1f\x{85}\p{Z}"
@@ -195,25 +196,32 @@ def flatten_json_text(c, depth: int = 3) -> Column:
     """
 
     def scalar(raw: Column) -> Column:
-        return F.when(
-            raw.startswith('"'), F.get_json_object(F.concat(F.lit('{"v":'), raw, F.lit("}")), "$.v")
-        ).when(raw == "null", F.lit("")).when(raw == "true", F.lit("True")).when(raw == "false", F.lit("False")).otherwise(raw)
+        unquoted = F.get_json_object(F.concat(F.lit('{"v":'), raw, F.lit("}")), "$.v")
+        words = F.when(raw == "null", "").when(raw == "true", "True").when(raw == "false", "False").otherwise(raw)
+        return F.when(raw.startswith('"'), unquoted).otherwise(words)
 
-    def joined(parts: Column) -> Column:
-        return F.array_join(F.filter(parts, lambda x: x.isNotNull() & (x != "")), "\n")
+    def kind(values: Column, k: int) -> Column:
+        return F.transform(values, lambda x: F.struct(F.lit(k).alias("k"), _requote(x).alias("v")))
+
+    def joined(parts: Column, k: int) -> Column:
+        return F.array_join(F.transform(F.filter(parts, lambda p: (p["k"] == k) & (p["t"] != "")), lambda p: p["t"]), "\n")
 
     def walk(raw: Column, level: int) -> Column:
         if level == 0:
             return scalar(raw)
-        as_list = F.from_json(raw, "array<string>", {"mode": "PERMISSIVE"})
-        as_map = F.from_json(raw, "map<string,string>", {"mode": "PERMISSIVE"})
-        items = F.transform(as_list, lambda x: walk(_requote(x), level - 1))
-        preferred = F.array(
-            *[F.coalesce(walk(_requote(as_map[k]), level - 1), F.lit("")) for k in lex.PREFERRED_TEXT_KEYS]
-        )
-        values = F.transform(F.map_values(as_map), lambda x: F.coalesce(walk(_requote(x), level - 1), F.lit("")))
-        from_map = F.when(joined(preferred) != "", joined(preferred)).otherwise(joined(values))
-        return F.when(raw.startswith("["), joined(items)).when(raw.startswith("{"), from_map).otherwise(scalar(raw))
+
+        def body(r: Column) -> Column:
+            m = F.from_json(r, "map<string,string>", {"mode": "PERMISSIVE"})
+            preferred = F.array_compact(F.array(*[m[k] for k in lex.PREFERRED_TEXT_KEYS]))
+            of_map = F.concat(kind(preferred, 1), kind(F.array_compact(F.map_values(m)), 2))
+            of_list = kind(F.array_compact(F.from_json(r, "array<string>", {"mode": "PERMISSIVE"})), 2)
+            children = F.when(r.startswith("["), of_list).when(r.startswith("{"), of_map)
+            texts = F.transform(children, lambda c: F.struct(c["k"].alias("k"), walk(c["v"], level - 1).alias("t")))
+            # Preferred keys win when any of them holds text, otherwise every value counts.
+            parts = let(texts, lambda p: F.when(joined(p, 1) != "", joined(p, 1)).otherwise(joined(p, 2)))
+            return F.when(children.isNull(), scalar(r)).otherwise(parts)
+
+        return let(raw, body)
 
     return F.coalesce(walk(F.btrim(_col(c)), depth), F.lit(""))
 

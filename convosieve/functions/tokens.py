@@ -150,16 +150,16 @@ def char_wb_ngrams(c, lo: int = 3, hi: int = 5) -> Column:
     """Character n-grams inside space-padded words; a word shorter than n yields its padded form once."""
     padded = F.transform(tokens(F.lower(_col(c)), rf"[^{WS}]+"), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
 
+    def sized(w: Column, n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length(w) - (n - 1), F.lit(1)))
+        return F.transform(starts, lambda i: F.substr(w, i, F.lit(n)))
+
     def of_word(w: Column) -> Column:
-        sizes = []
-        for n in range(lo, hi + 1):
-            grams = F.transform(
-                F.sequence(F.lit(1), F.greatest(F.length(w) - (n - 1), F.lit(1))), lambda i, n=n: F.substr(w, i, F.lit(n))
-            )
-            # Once a word is no longer than n, its whole padded form is emitted and larger n are skipped.
-            prev_fits = F.lit(True) if n == lo else F.length(w) > n - 1
-            sizes.append(F.when(prev_fits, grams).otherwise(F.array().cast("array<string>")))
-        return F.concat(*sizes)
+        # Once a word is no longer than n, its whole padded form is emitted and larger n are skipped.
+        empty = F.array().cast("array<string>")
+        return F.concat(
+            sized(w, lo), *[F.when(F.length(w) > n - 1, sized(w, n)).otherwise(empty) for n in range(lo + 1, hi + 1)]
+        )
 
     return F.flatten(F.transform(padded, of_word))
 

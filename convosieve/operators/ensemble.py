@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from convosieve.functions import lexicons as lex
 from convosieve.functions.scalar import r6
 from convosieve.operators.labeling import apply_threshold
-from convosieve.operators.ranking import add_rank, percentile_rank, rank01
+from convosieve.operators.ranking import add_rank, percentile_rank, rank_columns
 from convosieve.operators.stats import stack
 
 
@@ -166,7 +166,7 @@ def source_summary(long: DataFrame) -> DataFrame:
 
 def rank_blends(df: DataFrame, a: str, b: str, weights=None, id_col: str = "doc_id") -> DataFrame:
     """Percentile ranks of two scores and their weighted blends (one column per weight)."""
-    ranked = percentile_rank(percentile_rank(df, a, id_col, None, f"{a}_rank"), b, id_col, None, f"{b}_rank")
+    ranked = rank_columns(df, [a, b], "percentile", id_col)
     cols = {
         f"rank_blend_{int(round(w * 100)):03d}": F.round(w * F.col(f"{a}_rank") + (1.0 - w) * F.col(f"{b}_rank"), 12)
         for w in (weights or lex.RANK_BLEND_WEIGHTS)
@@ -179,16 +179,14 @@ def rank_blends(df: DataFrame, a: str, b: str, weights=None, id_col: str = "doc_
 
 def swap_scores(df: DataFrame, anchor: str, signals: dict[str, float], id_col: str = "doc_id") -> DataFrame:
     """Consensus rank of the secondary signals and the two directional swap scores."""
-    ranked = df
-    for s in [anchor, *signals]:
-        ranked = rank01(ranked, s, id_col, out=f"_r_{s}")
+    ranked = rank_columns(df, [anchor, *signals], "rank01", id_col)
     total = sum(signals.values())
-    consensus = sum((F.col(f"_r_{s}") * w for s, w in signals.items()), F.lit(0.0)) / max(total, 1e-9)
+    consensus = sum((F.col(f"{s}_rank") * w for s, w in signals.items()), F.lit(0.0)) / max(total, 1e-9)
     cols = [F.col(s) for s in signals]
     mean = sum(cols[1:], cols[0]) / len(cols)
     hi = F.greatest(*cols) if len(cols) > 1 else cols[0]
     lo = F.least(*cols) if len(cols) > 1 else cols[0]
-    out = ranked.withColumns({"consensus_true_rank": consensus, "anchor_rank": F.col(f"_r_{anchor}"), "mean_secondary": mean, "max_secondary": hi, "min_secondary": lo})
+    out = ranked.withColumns({"consensus_true_rank": consensus, "anchor_rank": F.col(f"{anchor}_rank"), "mean_secondary": mean, "max_secondary": hi, "min_secondary": lo})
     out = out.withColumns({
         "false_to_true_score": F.round(
             0.45 * F.col("consensus_true_rank") + 0.25 * F.col("anchor_rank") + 0.20 * F.col("mean_secondary") + 0.10 * F.col("max_secondary"), 12
@@ -198,7 +196,7 @@ def swap_scores(df: DataFrame, anchor: str, signals: dict[str, float], id_col: s
             + 0.15 * (1.0 - F.col("mean_secondary")) + 0.10 * (1.0 - F.col("min_secondary")), 12
         ),
     })
-    return out.drop(*[f"_r_{s}" for s in [anchor, *signals]])
+    return out.drop(*[f"{s}_rank" for s in [anchor, *signals]])
 
 
 def balanced_swaps(scored: DataFrame, base_label: str, counts: list[int], id_col: str = "doc_id") -> dict[str, DataFrame]:

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import itertools
+import math
 
 from pyspark.ml import Transformer
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizer, VectorAssembler
+from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, Normalizer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import SparseVector, Vectors
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.param.shared import HasInputCol
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
@@ -48,29 +49,14 @@ def _weight_col(weights: dict[int, float], y: str):
 def _tfidf(fit_on: DataFrame, grams: str, min_df: int, vocab: int):
     """Count vectors with smoothed idf and unit length: returns a function that adds the vector column."""
     cv = CountVectorizer(inputCol=grams, outputCol=f"{grams}_tf", minDF=float(min_df), vocabSize=vocab).fit(fit_on)
-    n = fit_on.count()
-    # df per vocabulary index: one combinable aggregate over the sparse indices.
-    idx = cv.transform(fit_on).select(F.explode(vector_indices(F.col(f"{grams}_tf"))).alias("i"))
-    df = {r["i"]: r["c"] for r in idx.groupBy("i").agg(F.count(F.lit(1)).alias("c")).collect()}
-    import math
-
-    idf = [math.log((1 + n) / (1 + df.get(i, 0))) + 1 for i in range(len(cv.vocabulary))]
-    from pyspark.ml.feature import ElementwiseProduct, Normalizer
-
+    counted = cv.transform(fit_on)
+    stats = IDF(inputCol=f"{grams}_tf", outputCol="_unused").fit(counted)
+    idf = [math.log((1 + stats.numDocs) / (1 + d)) + 1 for d in stats.docFreq]
     scale = ElementwiseProduct(inputCol=f"{grams}_tf", outputCol=f"{grams}_w", scalingVec=Vectors.dense(idf))
     unit = Normalizer(inputCol=f"{grams}_w", outputCol=f"{grams}_v", p=2.0)
     return lambda d: unit.transform(scale.transform(cv.transform(d))).drop(f"{grams}_tf", f"{grams}_w")
 
 
-@F.udf("array<int>")
-def _indices(v: SparseVector):
-    return [int(i) for i in v.indices]
-
-
-def vector_indices(c):
-    return _indices(c)
-
-
 def add_grams(df: DataFrame, text: str = "text") -> DataFrame:
     t = T.normalize_text(text)
     return df.withColumn("wg", K.word_ngrams(t, 1, 2)).withColumn("cg", K.char_wb_ngrams(t, 3, 5))

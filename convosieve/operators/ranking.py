@@ -207,6 +207,19 @@ def rank01(
     return ranked.withColumn(out, scaled).drop("_pos", "_n")
 
 
+def rank_columns(df: DataFrame, columns: list[str], how: str = "percentile", id_col: str = "doc_id", suffix: str = "_rank") -> DataFrame:
+    """Rank several score columns at once: ``percentile`` (tie-averaged) or ``rank01`` (ordinal).
+
+    The columns are ranked together in long form, so the input is read once however many there are.
+    """
+    items = F.array(*[F.struct(F.lit(c).alias("source"), F.col(c).cast("double").alias("v")) for c in columns])
+    long = df.select(id_col, F.explode(items).alias("_p")).select(id_col, "_p.source", "_p.v")
+    rank = percentile_rank if how == "percentile" else rank01
+    ranked = rank(long, "v", id_col, "source", out="_rk")
+    wide = ranked.groupBy(id_col).agg(*[F.max(F.when(F.col("source") == c, F.col("_rk"))).alias(f"{c}{suffix}") for c in columns])
+    return df.join(wide, id_col)
+
+
 # --- exact quantiles --------------------------------------------------------------
 
 
@@ -236,8 +249,10 @@ def exact_quantiles(
                 continue
             for j, p in enumerate(probs):
                 lo, hi = r[f"e{i}"][2 * j], r[f"e{i}"][2 * j + 1]
-                lo = r[f"lo{i}"] if p - margin <= 0 else lo
-                hi = r[f"hi{i}"] if p + margin >= 1 else hi
+                # A small group is its own bracket: the margin must span a few ranks.
+                small = r[f"n{i}"] * margin < 20
+                lo = r[f"lo{i}"] if small or p - margin <= 0 else lo
+                hi = r[f"hi{i}"] if small or p + margin >= 1 else hi
                 rows.append((*[r[g] for g in group], i, j, float(lo), float(hi), int(r[f"n{i}"])))
     schema = ", ".join(
         [f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema if f.name in group]
