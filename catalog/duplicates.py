@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from catalog import query
 from catalog import sqlkit as S
 from catalog.evaluation import rounded
-from catalog.texts import KEY_SQL
+from catalog.texts import KEY_SQL, char_wb_sql
 from convosieve.functions import lexicons as lex
 from convosieve.operators import similarity as D
 from convosieve.sources import tables as V
@@ -82,7 +82,7 @@ def _knn_sql(k, grams_cte):
 {S.TRAIN}, src AS (SELECT doc_id AS id, TRUE AS tr, {_fold(S.norm('text'))} AS t FROM train UNION ALL SELECT item_id, FALSE, {_fold(S.norm('text'))} FROM benchmark),
 {grams_cte}
 tf AS (SELECT id, tr, g, count(*) AS tf FROM gr GROUP BY ALL), dn AS (SELECT count(*) AS n FROM src),
-vo AS (SELECT g, count(*) AS df, sum(tf) AS total FROM tf GROUP BY g HAVING count(*) >= 2 ORDER BY total DESC, g LIMIT 200000),
+vo AS (SELECT g, count(*) AS df, sum(tf) AS total FROM tf GROUP BY g HAVING count(*) >= 2 ORDER BY total DESC, md5(g) LIMIT 200000),
 wt AS (SELECT id, tr, g, (1 + ln(tf)) * (ln((1.0::DOUBLE + n) / (1.0::DOUBLE + df)) + 1) AS w FROM tf JOIN vo USING (g), dn),
 nm AS (SELECT id, tr, g, w / sqrt(sum(w * w) OVER (PARTITION BY id, tr)) AS w FROM wt),
 dp AS (SELECT b.id AS test_id, a.id AS train_id, sum(a.w * b.w) AS s FROM nm a JOIN nm b ON a.g = b.g AND a.tr AND NOT b.tr GROUP BY ALL),
@@ -134,7 +134,14 @@ def quantiles(spark, folder):
     return rounded(D.similarity_quantiles(_best(spark, folder)), ["similarity"])
 
 
-@query("char_tfidf_neighbors")
+_CHAR_CTE = f"gr AS (SELECT id, tr, unnest({char_wb_sql('t', 3, 5)}) AS g FROM src),"
+
+
+@query("char_tfidf_neighbors", f"""
+WITH {_knn_sql(5, _CHAR_CTE)}, nb AS (SELECT doc_id AS train_id, label AS train_label, length({S.norm('text')}) AS train_char_length, {S.cnt(S.norm('text'), S.ASCII)} AS train_word_count FROM train),
+nt AS (SELECT item_id AS test_id, length({S.norm('text')}) AS test_char_length, {S.cnt(S.norm('text'), S.ASCII)} AS test_word_count FROM benchmark)
+SELECT nn.test_id, nn.train_id, similarity, neighbor_rank::INTEGER AS neighbor_rank, train_label, train_char_length, test_char_length, train_word_count, test_word_count
+FROM nn JOIN nb ON nb.train_id = nn.train_id JOIN nt ON nt.test_id = nn.test_id""")
 def char_neighbors(spark, folder):
     a, b = _corpora(spark, folder)
     out = D.tfidf_neighbors(a, b, "char_tfidf_3_5", 5)

@@ -94,7 +94,7 @@ def adjacent_equal(arr: Column) -> Column:
 
 def run_lengths(arr: Column) -> Column:
     """Sizes of the groups of equal values (sort once, then one linear pass)."""
-    srt = F.array_sort(arr)
+    srt = F.sort_array(arr)
 
     def body(s: Column) -> Column:
         n = F.size(s)

@@ -118,7 +118,7 @@ def combined_rules(
         F.broadcast(spark.createDataFrame(list(order.items()), "pattern_id string, ord int")), "pattern_id"
     ).persist()
     hits = membership(df, features, cand.drop("ord"), [id_col, y]).join(F.broadcast(cand.select("pattern_id", "ord", "feature")), "pattern_id")
-    signature = hits.groupBy(id_col, y).agg(F.array_sort(F.collect_list(F.struct("ord", "pattern_id", "feature"))).alias("sig"))
+    signature = hits.groupBy(id_col, y).agg(F.sort_array(F.collect_list(F.struct("ord", "pattern_id", "feature"))).alias("sig"))
     per_sig = signature.groupBy("sig").agg(F.count(F.lit(1)).alias("c"), F.sum(y).alias("ct"))
     # a signature holds at most ``top`` entries
     pairs = per_sig.select("c", "ct", "sig", F.explode("sig").alias("a")).select("c", "ct", "a", F.explode("sig").alias("b"))

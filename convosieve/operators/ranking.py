@@ -220,6 +220,20 @@ def rank_columns(df: DataFrame, columns: list[str], how: str = "percentile", id_
     return df.join(wide, id_col)
 
 
+def most_frequent(df: DataFrame, count: str, key: str, n: int) -> DataFrame:
+    """The n rows with the highest count, ties by the MD5 of the key.
+
+    A vocabulary that fits is returned as it is; otherwise rows are ranked in buckets, so no
+    task sees the whole vocabulary.
+    """
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    if df.count() <= n:
+        return df
+    tie = F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("long")
+    ranked = add_rank(df.withColumn("_tie", tie), count, "_tie", descending=True, out="_pos")
+    return ranked.filter(F.col("_pos") <= n).drop("_pos", "_tie")
+
+
 # --- exact quantiles --------------------------------------------------------------
 
 
@@ -260,7 +274,7 @@ def exact_quantiles(
     )
     brackets = narrow.sparkSession.createDataFrame(rows, schema)
     long = narrow.select(*group, F.posexplode(F.array(*[F.col(c) for c in columns])).alias("f", "v")).filter("v is not null")
-    per_feature = brackets.groupBy(*group, "f").agg(F.array_sort(F.collect_list(F.struct("q", "lo", "hi", "n"))).alias("br"))
+    per_feature = brackets.groupBy(*group, "f").agg(F.sort_array(F.collect_list(F.struct("q", "lo", "hi", "n"))).alias("br"))
     # At most groups x columns rows, each with one small array.
     hit = _null_safe_join(long, F.broadcast(per_feature), [*group, "f"])
     hit = hit.select(*group, "f", "v", F.explode("br").alias("b")).filter("v <= b.hi")

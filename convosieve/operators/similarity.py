@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from convosieve.functions import lexicons as lex
 from convosieve.functions import text as T
 from convosieve.functions import tokens as K
+from convosieve.functions.scalar import let
+from convosieve.operators.ranking import most_frequent
 from convosieve.operators.sampling import top_per_group
 from convosieve.operators.stats import stack
 
@@ -31,7 +33,7 @@ def _digest(key: str) -> Column:
 def _first_ids(df: DataFrame, id_col: str, n: int, label: str | None = None) -> DataFrame:
     """Per key digest: the n smallest ids (and their labels) as |-joined strings; hot keys are cut before the shuffle."""
     rows = top_per_group(df, ["_k"], [F.col(id_col)], n, "_rn")
-    items = F.array_sort(F.collect_list(F.struct(F.col(id_col).alias("i"), *([F.col(label).alias("l")] if label else []))))
+    items = F.sort_array(F.collect_list(F.struct(F.col(id_col).alias("i"), *([F.col(label).alias("l")] if label else []))))
     aggs = [F.array_join(F.transform(items, lambda x: x["i"].cast("string")), "|").alias("row_ids")]
     if label:
         aggs.append(F.array_join(F.transform(items, lambda x: x["l"]), "|").alias("row_labels"))
@@ -162,13 +164,13 @@ def tfidf_vectors(docs: DataFrame, grams: Column, id_col: str, min_df: int = 2,
     occ = docs.select(id_col, F.explode(grams).alias("g")).groupBy(id_col, F.xxhash64("g").alias("term"), "g").agg(F.count(F.lit(1)).alias("tf"))
     n = docs.count()
     vocab = occ.groupBy("term", "g").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total")).filter(F.col("df") >= min_df)
-    vocab = vocab.orderBy(F.desc("total"), "g").limit(max_features).select("term", (F.log((1.0 + n) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
+    vocab = most_frequent(vocab, "total", "g", max_features).select("term", (F.log((1.0 + n) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
     weighted = occ.join(F.broadcast(vocab), "term").select(id_col, "term", ((1.0 + F.log("tf")) * F.col("idf")).alias("w"))
-    rows = weighted.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("term", "w"))).alias("tw"))
+    rows = weighted.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("term", "w"))).alias("tw"))
     norm = F.sqrt(F.aggregate("tw", F.lit(0.0), lambda a, x: a + x["w"] * x["w"]))
-    return rows.withColumn("_n", norm).select(
-        id_col, F.transform("tw", lambda x: x["term"]).alias("terms"), F.transform("tw", lambda x: x["w"] / F.col("_n")).alias("weights")
-    )
+    # The norm is bound once per row; as a plain column it would be inlined into the lambda.
+    weights = let(norm, lambda n: F.transform("tw", lambda x: x["w"] / n))
+    return rows.select(id_col, F.transform("tw", lambda x: x["term"]).alias("terms"), weights.alias("weights"))
 
 
 GRAMS = {
@@ -223,9 +225,8 @@ def embedding_neighbors(train: DataFrame, test: DataFrame, k: int = 1, train_id:
     def unit(df: DataFrame, id_col: str, name: str) -> DataFrame:
         v = F.transform(vec, lambda x: x.cast("double"))
         norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-        return df.select(F.col(id_col).cast("long").alias(name), v.alias("v"), norm.alias("n")).select(
-            name, F.transform("v", lambda x: F.when(F.col("n") > 0, x / F.col("n")).otherwise(0.0)).alias("vec")
-        )
+        vector = let(F.struct(v.alias("v"), norm.alias("n")), lambda s: F.transform(s["v"], lambda x: F.when(s["n"] > 0, x / s["n"]).otherwise(0.0)))
+        return df.select(F.col(id_col).cast("long").alias(name), vector.alias("vec"))
 
     return _blocked_top_k(unit(train, train_id, "train_id"), unit(test, test_id, "test_id"), ["vec"], k, _dense_scorer)
 

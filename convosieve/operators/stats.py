@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from convosieve.functions.scalar import safe_ratio, two_sided_p
-from convosieve.operators.ranking import exact_quantiles, quantiles_wide
+from convosieve.operators.ranking import exact_quantiles, most_frequent, quantiles_wide
 
 
 def stack(one_row: DataFrame, rows: list[dict[str, Column]], keep: list[str] | None = None) -> DataFrame:
@@ -174,7 +174,7 @@ def ngram_log_odds(
 
     Occurrences and first occurrences go through one aggregate by gram, combined map-side,
     so frequent grams never travel row by row.  The vocabulary keeps grams in at least
-    ``min_df`` documents, then the ``max_features`` most frequent (ties by gram).
+    ``min_df`` documents, then the ``max_features`` most frequent.
     """
     once = F.get(F.transform(F.array(grams), lambda g: F.concat(
         F.transform(g, lambda x: F.struct(x.alias("ngram"), F.lit(1).alias("tf"), F.lit(0).alias("first"))),
@@ -187,7 +187,7 @@ def ngram_log_odds(
         F.sum(F.when(F.col(label) == "FALSE", F.col("tf")).otherwise(0)).alias("false_count"),
     )
     vocab = vocab.filter(F.col("df") >= min_df)
-    kept = vocab.orderBy((F.col("true_count") + F.col("false_count")).desc(), "ngram").limit(max_features)
+    kept = most_frequent(vocab.withColumn("total", F.col("true_count") + F.col("false_count")), "total", "ngram", max_features)
     # The vocabulary is at most max_features rows from here on.
     everything = Window.partitionBy(F.lit(0))
     size = F.count(F.lit(1)).over(everything)

@@ -77,6 +77,6 @@ def long_scores(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
 def conversation_documents(spark: SparkSession, folder: str) -> DataFrame:
     """One row per conversation: ordered turns and their flattened text."""
     turns = table(spark, folder, "conversations")
-    grouped = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    grouped = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
     lines = F.transform("turns", lambda t: F.concat(t["role"], F.lit(": "), t["text"]))
     return grouped.select("conv_id", "turns", F.array_join(lines, "\n").alias("text"))
