@@ -14,9 +14,9 @@ _START = rf"(?<!{_S})"
 _SYM = rf"[^{WS}{ALNUM}]"
 # Lookaheads placed at the first character of a whitespace-delimited token.
 _LONG = rf"(?={_S}{{18}})"
-_MIXED = rf"(?={_S}*\p{{L}})(?={_S}*[{DIGIT}])"
-_SYMBOLS = rf"(?=(?:[{ALNUM}]*{_SYM}){{3}})"
-_NO_VOWEL = rf"(?!{_S}*[aeiouAEIOU])(?=(?:{_SYM}*[{ALNUM}]){{8}})"
+_MIXED = rf"(?=[^{WS}{DIGIT}]*+[{DIGIT}])(?={_S}*?\p{{L}})"
+_SYMBOLS = rf"(?=(?:[{ALNUM}]*+{_SYM}){{3}})"
+_NO_VOWEL = rf"(?![^{WS}aeiouAEIOU]*+[aeiouAEIOU])(?=(?:{_SYM}*+[{ALNUM}]){{8}})"
 _RUN3 = rf"(?={_S}*?({_S})\1\1)"
 
 

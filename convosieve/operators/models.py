@@ -22,6 +22,7 @@ from convosieve.functions.features import add_features, feature_names
 from convosieve.functions.scalar import safe_logit
 from convosieve.operators.evaluation import best_threshold, roc_auc, threshold_sweep
 from convosieve.operators.sampling import folds
+from convosieve.session import checkpoint
 
 
 class EngineeredFeatures(Transformer, HasInputCol, DefaultParamsReadable, DefaultParamsWritable):
@@ -104,7 +105,7 @@ def predict(model, df: DataFrame, out: str = "prob") -> DataFrame:
 def tfidf_baseline(train: DataFrame, test: DataFrame, engineered: bool = False, id_col: str = "doc_id", chars: bool = True, vocab: int = 100_000, max_iter: int = 50) -> DataFrame:
     """(id, prob) of the test rows."""
     tr, te = text_features(train, [train, test], engineered, vocab=vocab, chars=chars)
-    return predict(fit_logreg(tr.persist(), max_iter=max_iter), te).select(id_col, "prob")
+    return predict(fit_logreg(checkpoint(tr.select("y", "features")), max_iter=max_iter), te).select(id_col, "prob")
 
 
 def cross_validate(train: DataFrame, test: DataFrame | None = None, k: int = 5, engineered: bool = True, id_col: str = "doc_id", chars: bool = True, vocab: int = 100_000, max_iter: int = 50, seed: int = 42) -> dict[str, DataFrame]:
@@ -115,7 +116,7 @@ def cross_validate(train: DataFrame, test: DataFrame | None = None, k: int = 5,
     for i in range(k):
         fit, held = data.filter(F.col("fold") != i), data.filter(F.col("fold") == i)
         tables = text_features(fit, [fit, held] + ([test] if test is not None else []), engineered, vocab=vocab, chars=chars)
-        model = fit_logreg(tables[0].persist(), max_iter=max_iter)
+        model = fit_logreg(checkpoint(tables[0].select("y", "features")), max_iter=max_iter)
         part = predict(model, tables[1]).select(id_col, "y", "fold", "prob")
         oof = part if oof is None else oof.unionByName(part)
         if test is not None:
@@ -155,7 +156,9 @@ def calibrator_frame(scored: DataFrame, text: str = "text", prob: str = "prob")
 def calibrator_search(frame: DataFrame, feature_sets=None, c_values=None, class_weight=("none", "balanced"), k: int = 5, id_col: str = "doc_id", grid=None, max_iter: int = 100) -> DataFrame:
     """One row per candidate: tuned threshold (ties towards 0.32), F1, AUC over inner out-of-fold scores."""
     feature_sets = feature_sets or lex.CALIBRATOR_FEATURE_SETS
-    data = folds(frame, "y", k, id_col).persist()
+    columns = sorted({c for cols in feature_sets.values() for c in cols})
+    # Every candidate plans many small jobs over this table: cut its lineage once.
+    data = checkpoint(folds(frame.select(id_col, "y", *columns), "y", k, id_col))
     parts = None
     for (name, cols), c, cw in itertools.product(feature_sets.items(), c_values or lex.CALIBRATOR_C, class_weight):
         key = f"{name}|{c}|{cw}"
@@ -165,7 +168,7 @@ def calibrator_search(frame: DataFrame, feature_sets=None, c_values=None, class_
             model = fit_logreg(scale(fit), c=c, balanced=cw == "balanced", max_iter=max_iter)
             part = predict(model, scale(held)).select(id_col, "y", F.lit(key).alias("candidate"), "prob")
             parts = part if parts is None else parts.unionByName(part)
-    oof = parts.persist()
+    oof = checkpoint(parts)
     best = best_threshold(threshold_sweep(oof, "prob", grid or lex.THRESHOLD_GRID_WIDE, group="candidate"), 0.32, "candidate")
     auc = roc_auc(oof, "prob", group="candidate").select("candidate", "roc_auc")
     split = F.split("candidate", r"\|")

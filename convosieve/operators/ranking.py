@@ -20,6 +20,8 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from convosieve.functions.scalar import let
+
 _ACC = 10000
 
 
@@ -31,11 +33,19 @@ def bucket_count(df: DataFrame) -> int:
     return size
 
 
-def _bounds(df: DataFrame, group: str | None, value: Column, n: int) -> dict:
+def _bounds(df: DataFrame, group: str | None, value: Column, n: int, id_value: Column | None = None) -> tuple[dict, list]:
+    """Quantile bounds of the value per group and, in the same pass, 63 bounds of the id."""
     probs = [i / n for i in range(1, n)]
-    keyed = df.select((F.col(group) if group else F.lit("all")).cast("string").alias("g"), value.alias("v"))
-    rows = keyed.groupBy("g").agg(F.percentile_approx("v", probs, max(_ACC, 10 * n)).alias("b")).collect()
-    return {r["g"]: list(r["b"] or []) for r in rows}
+    keyed = df.select(
+        (F.col(group) if group else F.lit("all")).cast("string").alias("g"), value.alias("v"),
+        (id_value if id_value is not None else F.lit(0.0)).alias("i"),
+    )
+    rows = keyed.groupBy("g").agg(
+        F.percentile_approx("v", probs, max(_ACC, 10 * n)).alias("b"), F.percentile_approx("i", [k / 64 for k in range(1, 64)], 1000).alias("ib")
+    ).collect()
+    ids = sorted({float(x) for r in rows for x in (r["ib"] or [])})
+    step = max(1, -(-len(ids) // 63))
+    return {r["g"]: list(r["b"] or []) for r in rows}, ids[::step] or [0.0]
 
 
 def _search(bounds: Column, size: int, v: Column) -> Column:
@@ -52,18 +62,17 @@ def _search(bounds: Column, size: int, v: Column) -> Column:
     )
 
 
-def _bucket(df: DataFrame, group: str | None, value: Column, n: int) -> tuple[Column, dict]:
-    """Bucket number (even: between bounds, odd: equal to a bound) and the repeated bounds per group."""
-    found = _bounds(df, group, value, n)
+def _bucket(df: DataFrame, group: str | None, value: Column, n: int, id_value: Column | None = None) -> tuple[Column, dict, list]:
+    """Bucket number (even: between bounds, odd: equal to a bound), the repeated bounds per group, the id bounds."""
+    found, ids = _bounds(df, group, value, n, id_value)
     distinct = {g: sorted({float(x) for x in b}) for g, b in found.items()}
     hot = {g: sorted({float(x) for x in b if b.count(x) > 1}) for g, b in found.items()}
+    if not distinct:
+        return F.lit(0), hot, ids
     key = (F.col(group) if group else F.lit("all")).cast("string")
-    lookup = F.create_map(*[F.lit(x) for g, b in distinct.items() for x in (g, b or [0.0])]) if distinct else None
-    if lookup is None:
-        return F.lit(0), hot
-    arr = F.element_at(lookup, key)
+    arr = F.element_at(F.create_map(*[F.lit(x) for g, b in distinct.items() for x in (g, b or [0.0])]), key)
     pos = _search(arr, n, value)
-    return 2 * pos + F.when(F.get(arr, pos) == value, 1).otherwise(0), hot
+    return let(F.struct(arr.alias("a"), pos.alias("p")), lambda s: 2 * s["p"] + F.when(F.get(s["a"], s["p"]) == value, 1).otherwise(0)), hot, ids
 
 
 def add_rank(
@@ -80,9 +89,7 @@ def add_rank(
     v = (-v if descending else v).cast("double")
     n = bucket_count(df)
     src = df.withColumn("_v", v)
-    bucket, _ = _bucket(src, group, F.col("_v"), n)
-    id_bounds = _bounds(src, None, F.col(id_col).cast("double"), 64).get("all", [])
-    id_bounds = sorted(set(id_bounds)) or [0.0]
+    bucket, _, id_bounds = _bucket(src, group, F.col("_v"), n, F.col(id_col).cast("double"))
     id_part = _search(F.lit(id_bounds), 64, F.col(id_col).cast("double"))
     src = src.withColumn("_b", bucket).withColumn("_s", F.when(F.col("_b") % 2 == 1, id_part).otherwise(0))
     return _finish(src, [F.col("_v").asc(), F.col(id_col).asc()], group, ["_b", "_s"], out, total).drop("_v")
@@ -94,7 +101,7 @@ def occurrence_number(df: DataFrame, keys: list[str], id_col: str = "doc_id", ou
     Rows of one key are spread over id ranges, so a group of copies that holds a third
     of the table is still many tasks.  Pass short keys (hash long texts first).
     """
-    bounds = sorted(set(_bounds(df, None, F.col(id_col).cast("double"), 64).get("all", []))) or [0.0]
+    _, bounds = _bounds(df, None, F.lit(0.0), 2, F.col(id_col).cast("double"))
     src = df.withColumn("_s", _search(F.lit(bounds), 64, F.col(id_col).cast("double")))
     ranked = _finish(src, [F.col(id_col).asc()], keys, ["_s"], out, None)
     return ranked.withColumn(out, F.col(out) - 1)
@@ -150,7 +157,7 @@ def average_rank_table(
     """
     n = bucket_count(df)
     src = df.withColumn("_v", F.col(value).cast("double"))
-    bucket, hot = _bucket(src, group, F.col("_v"), n)
+    bucket, hot, _ = _bucket(src, group, F.col("_v"), n)
     gcols = [group] if group else []
     distinct = src.groupBy(*gcols, "_v").agg(F.count(F.lit(1)).alias("_c"), *(aggs or [])).withColumn("_b", bucket)
     counts = distinct.groupBy(*gcols, "_b").agg(F.sum("_c").alias("_bc"))

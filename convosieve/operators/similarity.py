@@ -42,8 +42,8 @@ def _first_ids(df: DataFrame, id_col: str, n: int, label: str | None = None) ->
 
 def duplicate_groups(df: DataFrame, key: str, id_col: str = "doc_id", label: str | None = None, text: str = "text_norm", show: int = 50) -> DataFrame:
     """Keys held by more than one row: counts, first ids, example, and label conflicts."""
-    narrow = df.withColumn("_k", _digest(key))
-    aggs = [F.count(F.lit(1)).alias("row_count"), F.min_by(T.preview(text), F.col(id_col)).alias("example_text")]
+    narrow = df.select(id_col, *([label] if label else []), T.preview(text).alias("_p"), _digest(key).alias("_k")).persist()
+    aggs = [F.count(F.lit(1)).alias("row_count"), F.min_by("_p", F.col(id_col)).alias("example_text")]
     if label:
         aggs += [F.count_if(F.col(label) == v).alias(f"{v}_count") for v in ("TRUE", "FALSE")]
     groups = narrow.groupBy("_k").agg(*aggs).filter("row_count > 1")
@@ -58,14 +58,15 @@ def duplicate_groups(df: DataFrame, key: str, id_col: str = "doc_id", label: str
 
 def cross_matches(train: DataFrame, test: DataFrame, key: str, id_col: str = "doc_id", label: str = "label", test_id: str = "doc_id", min_train: int = 1, show: int = 25) -> DataFrame:
     """Keys present in both corpora.  Each side is aggregated before the join, so no pair is ever formed."""
-    a = train.withColumn("_k", _digest(key))
-    b = test.select(F.col(test_id).alias("_tid"), "text_norm", _digest(key).alias("_k"))
+    # Keys are costly and used twice (counts, ids): keep the digests and previews, not the texts.
+    a = train.select(id_col, label, T.preview("text_norm").alias("_p"), _digest(key).alias("_k")).persist()
+    b = test.select(F.col(test_id).alias("_tid"), T.preview("text_norm").alias("_p"), _digest(key).alias("_k")).persist()
     ag = a.groupBy("_k").agg(
         F.count(F.lit(1)).alias("train_match_count"),
         *[F.count_if(F.col(label) == v).alias(f"train_{v}_count") for v in ("TRUE", "FALSE")],
-        F.min_by(T.preview("text_norm"), F.col(id_col)).alias("train_example_text"),
+        F.min_by("_p", F.col(id_col)).alias("train_example_text"),
     ).filter(F.col("train_match_count") >= min_train)
-    bg = b.groupBy("_k").agg(F.count(F.lit(1)).alias("test_match_count"), F.min_by(T.preview("text_norm"), F.col("_tid")).alias("test_example_text"))
+    bg = b.groupBy("_k").agg(F.count(F.lit(1)).alias("test_match_count"), F.min_by("_p", F.col("_tid")).alias("test_example_text"))
     both = bg.join(ag, "_k")
     ids_a = _first_ids(a.select("_k", id_col, label).join(both.select("_k"), "_k", "left_semi"), id_col, show, label)
     ids_b = _first_ids(b.select("_k", "_tid").join(both.select("_k"), "_k", "left_semi"), "_tid", show)
