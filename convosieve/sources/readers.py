@@ -131,7 +131,7 @@ def join_sources(long: DataFrame, names: list[str], id_col: str = "doc_id") -> D
 
 def metrics_text(spark: SparkSession, path: str) -> DataFrame:
     """(path, doc): whole metrics JSON files as strings."""
-    return spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("doc"))
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("doc"))
 
 
 def threshold_of(doc: str | Column) -> Column:
