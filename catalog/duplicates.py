@@ -146,7 +146,8 @@ def char_neighbors(spark, folder):
     a, b = _corpora(spark, folder)
     out = D.tfidf_neighbors(a, b, "char_tfidf_3_5", 5)
     return D.describe_neighbors(out, a, b).select(
-        "test_id", "train_id", "similarity", "neighbor_rank", "train_label", "train_char_length", "test_char_length", "train_word_count", "test_word_count")
+        "test_id", "train_id", "similarity", "neighbor_rank", "train_label",
+        *[F.col(c).cast("long").alias(c) for c in ("train_char_length", "test_char_length", "train_word_count", "test_word_count")])
 
 
 @query("leakage_cases")

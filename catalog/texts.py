@@ -150,7 +150,7 @@ g AS (SELECT unnest(list_concat(w, {S.grams('w', 2)})) AS ngram FROM w)
 SELECT ngram, count(*) AS row_count FROM g GROUP BY ngram""")
 def word_ngrams(spark, folder):
     docs = V.documents(spark, folder).select(T.normalize_text("text").alias("t"))
-    return docs.select(F.explode(K.word_ngrams("t", 1, 2)).alias("ngram")).groupBy("ngram").agg(F.count(F.lit(1)).alias("row_count"))
+    return K.explode_rows(docs, [], K.word_ngrams("t", 1, 2), "ngram").groupBy("ngram").agg(F.count(F.lit(1)).alias("row_count"))
 
 
 def char_wb_sql(x: str, lo: int, hi: int) -> str:
@@ -168,7 +168,7 @@ WITH n AS (SELECT {S.norm('text')} AS t FROM benchmark), g AS (SELECT unnest({ch
 SELECT ngram, count(*) AS row_count FROM g GROUP BY ngram""")
 def char_ngrams(spark, folder):
     items = V.table(spark, folder, "benchmark").select(T.normalize_text("text").alias("t"))
-    return items.select(F.explode(K.char_wb_ngrams("t", 3, 5)).alias("ngram")).groupBy("ngram").agg(F.count(F.lit(1)).alias("row_count"))
+    return K.explode_rows(items, [], K.char_wb_ngrams("t", 3, 5), "ngram").groupBy("ngram").agg(F.count(F.lit(1)).alias("row_count"))
 
 
 @query("corpus_token_counts", f"""

@@ -507,7 +507,7 @@ def rare_token_ratios(df: DataFrame, id_col: str = "doc_id", text: str = "text")
     owners are its smallest and largest id: one combinable aggregate per token, no join
     of the corpus counts back to the token table, no collected groups.
     """
-    words = df.select(id_col, F.explode(K.tokens(T.normalize_text(text), T.WORD_ASCII, lower=True)).alias("token"))
+    words = K.explode_rows(df, [id_col], K.tokens(T.normalize_text(text), T.WORD_ASCII, lower=True), "token")
     per_token = words.groupBy("token").agg(
         F.count(F.lit(1)).alias("total"), F.min(id_col).alias("lo"), F.max(id_col).alias("hi")
     )

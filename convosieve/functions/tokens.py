@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from convosieve.functions.text import ALNUM, DIGIT, WORD_MIN2, WORD_UNICODE, WS, _col, count_re
@@ -164,6 +164,15 @@ def char_wb_ngrams(c, lo: int = 3, hi: int = 5) -> Column:
     return F.flatten(F.transform(padded, of_word))
 
 
+def explode_rows(df: DataFrame, keep: list, arr, name: str) -> DataFrame:
+    """One row per array element.
+
+    A plain explode lets the optimizer infer a size filter and push the whole array expression
+    below it a second time; the outer form with a null filter evaluates it once.
+    """
+    return df.select(*keep, F.explode_outer(arr).alias(name)).filter(F.col(name).isNotNull())
+
+
 def strip_accents(c) -> Column:
     """Fold Latin letters with marks to their base letter (precomposed Latin-1 and Latin Extended-A)."""
     import unicodedata

@@ -162,7 +162,7 @@ def tfidf_vectors(docs: DataFrame, grams: Column, id_col: str, min_df: int = 2,
     Terms are 64-bit hashes.  Occurrence counts per document come from one map-side-combined
     aggregate; the vocabulary is at most ``max_features`` rows of two numbers, hence the broadcast.
     """
-    occ = docs.select(id_col, F.explode(grams).alias("g")).groupBy(id_col, F.xxhash64("g").alias("term"), "g").agg(F.count(F.lit(1)).alias("tf"))
+    occ = K.explode_rows(docs, [id_col], grams, "g").groupBy(id_col, F.xxhash64("g").alias("term"), "g").agg(F.count(F.lit(1)).alias("tf"))
     n = docs.count()
     vocab = occ.groupBy("term", "g").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total")).filter(F.col("df") >= min_df)
     vocab = most_frequent(vocab, "total", "g", max_features).select("term", (F.log((1.0 + n) / (1.0 + F.col("df"))) + 1.0).alias("idf"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from convosieve.functions.scalar import safe_ratio, two_sided_p
+from convosieve.functions.tokens import explode_rows
 from convosieve.operators.ranking import exact_quantiles, most_frequent, quantiles_wide
 
 
@@ -180,7 +181,7 @@ def ngram_log_odds(
         F.transform(g, lambda x: F.struct(x.alias("ngram"), F.lit(1).alias("tf"), F.lit(0).alias("first"))),
         F.transform(F.array_distinct(g), lambda x: F.struct(x.alias("ngram"), F.lit(0).alias("tf"), F.lit(1).alias("first"))),
     )), F.lit(0))
-    tokens = df.select(label, F.explode(once).alias("g")).select(label, "g.*")
+    tokens = explode_rows(df, [label], once, "g").select(label, "g.*")
     vocab = tokens.groupBy("ngram").agg(
         F.sum("first").alias("df"),
         F.sum(F.when(F.col(label) == "TRUE", F.col("tf")).otherwise(0)).alias("true_count"),
@@ -208,7 +209,7 @@ def top_each_direction(df: DataFrame, value: str, tie: str, n: int) -> DataFrame
 
 
 def token_counts(df: DataFrame, tokens: Column) -> DataFrame:
-    return df.select(F.explode(tokens).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("count"))
+    return explode_rows(df, [], tokens, "token").groupBy("token").agg(F.count(F.lit(1)).alias("count"))
 
 
 def value_counts(df: DataFrame, *columns: str) -> DataFrame:
