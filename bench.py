@@ -13,10 +13,10 @@ import catalog
 from convosieve.session import local_session
 
 HEADLINE = [
-    "hard_weight_summary", "features_basic", "features_style", "features_hard_weight", "features_domain_cues", "features_noise", "features_error", "features_artifact",
+    "hard_weight_summary", "features_basic", "features_style", "features_hard_weight", "features_noise", "features_error",
     "features_engineered", "feature_rare_tokens", "text_match_keys", "profile_duplicates", "metrics_at_threshold", "roc_auc_by_source", "threshold_sweep", "failure_summary",
-    "percentile_ranks", "rank_ensemble_manifest", "swap_manifest", "route_summary", "stratified_folds", "style_summary_by_label", "style_effect_sizes", "word_log_odds",
-    "word_ngram_counts", "duplicate_groups_all_documents", "cross_matches_template_key", "word_tfidf_neighbors", "embedding_neighbors", "strong_patterns", "rule_set_summary",
+    "percentile_ranks", "rank_ensemble_manifest", "swap_manifest", "route_summary", "stratified_folds", "style_effect_sizes", "word_log_odds",
+    "word_ngram_counts", "duplicate_groups_all_documents", "cross_matches_template_key", "word_tfidf_neighbors", "embedding_neighbors", "strong_patterns",
     "teacher_soft_targets", "hard_subset", "occurrence_alignment_report", "heuristic_tags",
 ]
 

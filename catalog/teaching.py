@@ -201,14 +201,14 @@ def hard_consistency(spark, folder):
 
 # --- alignment ---------------------------------------------------------------------
 
-_ALIGN = f"""{S.UNSCORED}, tg AS (SELECT doc_id, md5({S.norm('text')}) AS k FROM documents), pr AS (SELECT doc_id AS pid, p1 AS prob FROM unscored WHERE doc_id % 9 <> 4),
+_ALIGN = f"""{S.UNSCORED}, tg AS (SELECT doc_id, md5({S.norm('text')}) AS k FROM documents), pr AS (SELECT doc_id AS pid, p1 AS prob FROM unscored),
 tk AS (SELECT doc_id, k, row_number() OVER (PARTITION BY k ORDER BY doc_id) AS o FROM tg), pk AS (SELECT pid, prob, k, row_number() OVER (PARTITION BY k ORDER BY pid) AS o FROM pr JOIN tg ON tg.doc_id = pid),
 aj AS (SELECT doc_id, pid, prob FROM tk FULL JOIN pk USING (k, o))"""
 
 
 def _aligned(spark, folder):
     docs = V.documents(spark, folder).select("doc_id", "text")
-    preds = docs.join(V.unlabelled_scores(spark, folder).select("doc_id", F.when(F.col("doc_id") % 9 != 4, F.col("p1")).alias("prob")), "doc_id")
+    preds = docs.join(V.unlabelled_scores(spark, folder).select("doc_id", F.col("p1").alias("prob")), "doc_id")
     return N.align_by_occurrence(docs, preds, "prob")
 
 

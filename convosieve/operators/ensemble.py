@@ -92,7 +92,7 @@ def vote_report(voted: DataFrame) -> DataFrame:
     return stack(one, [
         {
             "rule": F.lit(c), "pred_TRUE": F.col(c), "pred_FALSE": F.col("n") - F.col(c), "agree_count": F.col("agree"),
-            "disagree_count": F.col("n") - F.col("agree"), "agree_ratio": F.col("agree") / F.col("n"),
+            "disagree_count": F.col("n") - F.col("agree"), "agree_ratio": F.try_divide(F.col("agree").cast("double"), F.col("n")),
         }
         for c in ("vote_or", "vote_and", "vote_anchor")
     ])

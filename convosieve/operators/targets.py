@@ -90,9 +90,9 @@ def soft_targets(
         F.sum(F.when(ok, w)).alias("sw"), F.sum(F.when(ok, w * p)).alias("swp"), F.sum(F.when(ok, w * p * p)).alias("swpp"),
         F.count_if(ok).alias("teacher_count"),
     )
-    mean = F.col("swp") / F.col("sw")
+    mean = F.try_divide("swp", "sw")
     # The variance of equal scores is 0; the difference of squares may leave rounding dust.
-    var = F.greatest(F.round(F.col("swpp") / F.col("sw") - mean * mean, 14), F.lit(0.0))
+    var = F.greatest(F.round(F.try_divide("swpp", "sw") - mean * mean, 14), F.lit(0.0))
     out = sums.select(id_col, "teacher_count", mean.alias("teacher_prob_TRUE"), F.sqrt(var).alias("teacher_prob_std"))
     entropy = probability_entropy("teacher_prob_TRUE") / math.log(2.0)
     disagreement = F.least(F.col("teacher_prob_std") / 0.25, F.lit(1.0))
