@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable
@@ -94,3 +95,12 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def per_process(key: tuple, make: Callable):
+    """`make()`, kept for the later tasks of this Python worker.  The functions of this package are unpickled for each task, so it
+    is kept on `sys`; only the last one of each kind (the first part of the key) stays."""
+    kept = sys.__dict__.setdefault("_convosieve_kept", {})
+    if kept.get(key[0], (None,))[0] != key:
+        kept[key[0]] = key, make()
+    return kept[key[0]][1]

@@ -37,7 +37,7 @@ class ByteEncoder:
 
     def __init__(self, path: str):
         tokenizer, cut = load(path), regex.compile(BYTE_PATTERN).findall
-        self.pre_tokens = Memo(lambda s: np.array(tokenizer.encode(s, add_special_tokens=False).ids, "<u4").tobytes())
+        self.pre_tokens = Memo(lambda s: np.array(tokenizer.encode(s, add_special_tokens=False).ids, "<u4").tobytes(), 1_000_000)
         self.cut = lambda s: b"".join(map(self.pre_tokens.__getitem__, cut(s)))
         self.after_space = Memo(lambda s: self.cut(" " + s))
 
@@ -58,7 +58,7 @@ class WordEncoder:
     def __init__(self, path: str):
         tokenizer, cut = load(path), regex.compile(WORD_PATTERN).findall
         plain = lambda s: np.array(tokenizer.encode(s, add_special_tokens=False).ids, "<u4").tobytes()
-        self.plain, self.pre_tokens = plain, Memo(plain)
+        self.plain, self.pre_tokens = plain, Memo(plain, 1_000_000)
         join = lambda s: b"".join(map(self.pre_tokens.__getitem__, cut(s.lower())))
         self.by_word = Memo(lambda s: join(s) if s.isascii() else plain(s))
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from convosieve.llm.common import Memo, arrow_schema, batch, pairs
+from convosieve.llm.common import Memo, arrow_schema, batch, pairs, per_process
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -84,7 +84,7 @@ def token_counts(docs: DataFrame, path: str) -> DataFrame:
     schema = arrow_schema(COUNTS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = PieceCounter(vocabulary(path))
+        counter = per_process(("piece counter", path), lambda: PieceCounter(vocabulary(path)))
         for own in batches:
             yield batch([(doc_id, *counter.count(text)) for doc_id, text in pairs(own, "doc_id", "text")], schema)
 

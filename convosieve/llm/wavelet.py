@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from convosieve.llm.common import arrow_schema, batch, pairs, shared_folder
+from convosieve.llm.common import arrow_schema, batch, pairs, per_process, shared_folder
 from convosieve.llm.subwords import WordEncoder
 
 BLOCK = 512
@@ -131,7 +131,7 @@ def _build(path: str, end_id: int, shard_ids: int):
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, end = WordEncoder(path), np.array([end_id], "<u4").tobytes()
+        encoder, end = per_process(("word encoder", path), lambda: WordEncoder(path)), np.array([end_id], "<u4").tobytes()
         part, made, docs, size = TaskContext.get().partitionId(), 0, [], 0
         for own in batches:
             for doc_id, text in pairs(own, "doc_id", "text"):
