@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convosieve.llm import contamination, packing, sharding, unigram, wavelet
+from convosieve.llm import contamination, jaccard, packing, repeats, sharding, unigram, wavelet
 from convosieve.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,6 +50,49 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), tokenizer_file("byte_bpe_50k.json"), size=1024, end_id=0)
 
 
+WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+REPEATS_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {WORDS} AS w FROM documents),
+t AS (SELECT min(doc_id) AS doc_id, count(*) AS copies, any_value(w) AS w FROM d GROUP BY text),
+x AS (SELECT doc_id, i, array_to_string(w[i + 1:i + 50], ' ') AS run FROM (SELECT *, unnest(range(0, len(w) - 49)) AS i FROM t WHERE len(w) >= 50)),
+o AS (SELECT doc_id, i, count(*) OVER (PARTITION BY run) AS n, row_number() OVER (PARTITION BY run ORDER BY doc_id, i) AS k FROM x),
+c AS (SELECT doc_id, p, bool_or(k = 1) AS first_copy FROM (SELECT *, unnest(range(i, i + 50)) AS p FROM o WHERE n > 1) GROUP BY doc_id, p),
+a AS (
+  SELECT t.doc_id, t.p, coalesce(c.first_copy, true) AS first_copy
+  FROM (SELECT doc_id, copies, unnest(range(0, len(w))) AS p FROM t WHERE len(w) >= 50) t LEFT JOIN c USING (doc_id, p)
+  WHERE c.p IS NOT NULL OR t.copies > 1
+  UNION ALL
+  SELECT doc_id, unnest(range(0, len(w))), false FROM d WHERE len(w) >= 50 AND doc_id NOT IN (SELECT doc_id FROM t)),
+g AS (SELECT *, p - row_number() OVER (PARTITION BY doc_id, first_copy ORDER BY p) AS island FROM a)
+SELECT doc_id, CAST(min(p) AS BIGINT) AS start_word, CAST(max(p) + 1 AS BIGINT) AS end_word, first_copy FROM g GROUP BY doc_id, first_copy, island
+"""
+
+
+@query("op3_sparse_suffix_repeats", REPEATS_SQL)
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.spans(table(spark, folder, "documents"), length=50)
+
+
+JACCARD_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {WORDS.replace("text", LOWER)} AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + least(3, len(w)) - 1], ' ') AS run
+  FROM (SELECT *, unnest(range(1, len(w) - least(3, len(w)) + 2)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.run = b.run AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 90 * (x.n + y.n - c)),
+r AS (SELECT doc_id, doc_id AS other FROM d UNION SELECT r.doc_id, l.b FROM r JOIN l ON r.other = l.a)
+SELECT r.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(other) AS component_id FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id
+"""
+
+
+@query("op6_token_group_jaccard", JACCARD_SQL)
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.similar(table(spark, folder, "documents"), size=3, percent=90).select("doc_id", "n_shingles", "component_id")
+
+
 CONTAMINATION_SQL = r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
