@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convosieve.llm import contamination, jaccard, packing, repeats, sharding, unigram, wavelet
+from convosieve.llm import contamination, crf, jaccard, packing, pairwise, quality_rules, repeats, sharding, unigram, wavelet
 from convosieve.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,6 +53,11 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+@query("op2_distribution_divergence")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_rules.report(table(spark, folder, "documents"))
+
+
 REPEATS_SQL = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {WORDS} AS w FROM documents),
 t AS (SELECT min(doc_id) AS doc_id, count(*) AS copies, any_value(w) AS w FROM d GROUP BY text),
@@ -93,6 +98,11 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.similar(table(spark, folder, "documents"), size=3, percent=90).select("doc_id", "n_shingles", "component_id")
 
 
+@query("op7_bradley_terry_quality")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return pairwise.scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 CONTAMINATION_SQL = r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
@@ -122,3 +132,8 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_unigram_token_counts")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return unigram.token_counts(table(spark, folder, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
+@query("op10_crf_language")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return crf.languages(table(spark, folder, "documents"))

@@ -4,11 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from convosieve.llm import contamination, packing
+from convosieve.llm import contamination, jaccard, packing, quality_rules, repeats
 from convosieve.llm.common import stored, table
 from convosieve.llm.queries import tokenizer_file
 
 
+def filter_quality(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Documents that the base rules or the divergence from every language reject go."""
+    return quality_rules.accepted(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """One document of each component of five-word shingle similarity 0.8 stays."""
+    return jaccard.one_of_each(docs, size=5, percent=80)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Later copies of passages of 50 words or more are cut out of the texts."""
+    return repeats.cut(docs, length=50)
+
+
 def decontaminate(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents with benchmark passages on a twentieth of their words or more go."""
     return contamination.clean(docs, table(spark, folder, "benchmark"))
@@ -19,7 +34,9 @@ def pack(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     return packing.pack(docs, tokenizer_file("byte_bpe_50k.json"), size=1024, end_id=0)
 
 
-STAGES = [("benchmark decontamination", decontaminate), ("packing", pack)]
+STAGES = [
+    ("quality rules", filter_quality), ("n-gram Jaccard join", near_duplicates), ("suffix-array dedup", repeated_passages), ("benchmark decontamination", decontaminate), ("packing", pack),
+]
 ORACLE_SQL = None
 
 
