@@ -1,13 +1,14 @@
 """Exact n-gram Jaccard join through a token-group matrix.
 
-A document is the set of its hashed word shingles; equal sets are one node.  Groups of similar nodes form first: nodes with the same
-least token (under three orders) are compared with one leader, and what links is one group.  The matrix holds, per token, the groups
-that have it.  A node probes the matrix only with its first tokens in a common order: a partner shares one of them, since
-at least `percent` per cent of either set is common.  Groups whose sizes or whose union of tokens cannot hold enough of the node's tokens
-stay closed; the members of the others that share a probing token are compared exactly.
-
-Tokens of many documents come last in the order, so passages that many documents share are hardly ever probed.  Which ones these are
-is told by a fixed number of counters over all documents.  Nothing lists the pairs within a group: its nodes are already linked.
+A document is the set of its hashed word shingles; equal sets are one node.  Each node probes with its first tokens in a common order:
+where n tokens must share at least `percent` per cent with a partner's, the first (n less that share, plus `depth`) tokens of either
+side have at least `depth` in common.  Tokens of many documents come last in the order, so passages that many documents share hardly
+ever probe; which ones these are is told by a fixed number of counters over all documents.
+
+Groups of similar nodes form first: nodes that share enough probing tokens with the least node of these tokens are compared with that
+leader, and what links is one group.  The matrix holds, per probing token, the groups that have it, so a node's overlap with a
+group's union of tokens is a count of matrix cells.  It bounds the overlap with every member; groups below the bound stay closed, the
+members of the others are bounded the same way and then compared exactly.  Pairs within a group are never listed: they are linked.
 """
 
 from __future__ import annotations
@@ -22,13 +23,15 @@ from pyspark.sql import functions as F
 
 from convosieve.llm.common import arrow_schema, batch, free_name, lower_words, stored
 from convosieve.llm.graphs import components
-from convosieve.llm.hashing import BASE, Runs, hashed, mixed, word_hashes
+from convosieve.llm.hashing import Runs, hashed, word_hashes
 
-COUNTERS = 1 << 17
-#: A counter of so many times the mean marks common tokens; so at most COUNTERS / COMMON are marked.
-COMMON = 4
-ORDERS = 3
-SIGNATURES = "doc_id long, key long, n_shingles long, node long, least array<long>, probe array<long>"
+COUNTERS, CHUNK = 1 << 20, 1 << 14
+#: A counter of so many times the mean marks its tokens as common.
+COMMON = 1.5
+#: One in so many tokens of a set is asked for in common (and one more).
+DEPTH = 40
+SIGNATURES = "doc_id long, key long, n_shingles long, node long, probe array<long>"
+COUNTS = "chunk int, salt int, counts binary"
 
 
 def shingle_set(text: str | None, size: int, memo) -> np.ndarray:
@@ -46,28 +49,39 @@ def _long_lists(arrays: list[np.ndarray]) -> pa.Array:
 
 
 def _count(size: int):
-    schema = arrow_schema("counter long, n long")
+    schema = arrow_schema(COUNTS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, totals = word_hashes(), np.zeros(COUNTERS, np.int64)
+        from pyspark import TaskContext
+
+        memo, totals = word_hashes(), np.zeros(COUNTERS, "<i8")
         for own in batches:
             for text in own.column("text").to_pylist():
-                found = shingle_set(text, size, memo)
-                np.add.at(totals, ((found >> np.uint64(1)) % np.uint64(COUNTERS)).astype(np.int64), 1)
-        some = np.flatnonzero(totals)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(totals[some])], schema=schema)
+                np.add.at(totals, (shingle_set(text, size, memo) >> np.uint64(1)) % np.uint64(COUNTERS), 1)
+        salt = TaskContext.get().partitionId() // 256
+        rows = [(c, salt, part.tobytes()) for c, part in enumerate(totals.reshape(-1, CHUNK)) if part.any()]
+        yield batch(rows, schema)
 
     return count
 
 
+def _add(schema: pa.Schema):
+    def add(counts: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(c, "<i8") for c in counts.column("counts").to_pylist())
+        return pa.Table.from_batches([batch([(counts.column("chunk")[0].as_py(), counts.column("salt")[0].as_py(), total.tobytes())], schema)])
+
+    return add
+
+
 def common_counters(docs: DataFrame, size: int) -> np.ndarray:
-    counts = docs.select("text").mapInArrow(_count(size), "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n"))
-    counts = stored(counts)
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    marked = counts.where(F.col("n") > COMMON * max(1, total // COUNTERS)).select("counter").collect()
-    out = np.zeros(COUNTERS, bool)
-    out[[r["counter"] for r in marked]] = True
-    return out
+    """Marks of the counters that common tokens fall on, from all documents.  Counters travel in chunks and are added up 256 tasks at a
+    time, then over these; the driver gets COUNTERS numbers, however large the table."""
+    add = _add(arrow_schema(COUNTS))
+    counts = docs.select("text").mapInArrow(_count(size), COUNTS).groupBy("chunk", "salt").applyInArrow(add, COUNTS)
+    totals = np.zeros(COUNTERS, np.int64)
+    for r in counts.groupBy("chunk").applyInArrow(add, COUNTS).toLocalIterator():
+        totals[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["counts"], "<i8")
+    return totals > COMMON * max(1.0, totals.mean())
 
 
 def _sign(size: int, percent: int, common):
@@ -76,25 +90,21 @@ def _sign(size: int, percent: int, common):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, marks = word_hashes(), common.value
         for own in batches:
-            sizes, nodes, least, probe = [], [], [], []
+            sizes, nodes, probe = [], [], []
             for text in own.column("text").to_pylist():
                 found = shingle_set(text, size, memo)
                 n = len(found)
                 sizes.append(n)
                 if not n:
                     nodes.append(None)
-                    least.append(found)
                     probe.append(found)
                     continue
                 tokens = found >> np.uint64(1)
                 rank = marks[tokens % np.uint64(COUNTERS)].astype(np.uint64) << np.uint64(63) | tokens
-                take = n - -(-percent * n // 100) + 1
+                take = min(n, n - -(-percent * n // 100) + 1 + n // DEPTH)
                 probe.append(np.partition(rank, take - 1)[:take])
-                rare = rank[rank >> np.uint64(63) == 0]
-                rare = rare if len(rare) else rank
-                least.append(np.array([rare.min(), *(mixed(rare * np.uint64(BASE + 2 * r)).min() for r in range(1, ORDERS))], np.uint64))
                 nodes.append(xxhash.xxh3_64_intdigest(found.tobytes()) - (1 << 63))
-            columns = [own.column("doc_id"), own.column("key"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), _long_lists(least), _long_lists(probe)]
+            columns = [own.column("doc_id"), own.column("key"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), _long_lists(probe)]
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
 
     return sign
@@ -117,17 +127,24 @@ def _fits(a: str, b: str, percent: int):
     return (100 * F.col(a) >= percent * F.col(b)) & (100 * F.col(b) >= percent * F.col(a))
 
 
+def _enough(shared: str, a: str, b: str):
+    """As many common probing tokens as sets of these sizes must have."""
+    return F.col(shared) >= 1 + F.floor(F.least(a, b) / DEPTH)
+
+
 class Join:
-    """The steps over one table: signatures, nodes, groups, candidates, links."""
+    """The steps over one table: signatures, nodes, probing tokens, groups, candidates, links."""
 
     def __init__(self, docs: DataFrame, size: int, percent: int):
         self.docs, self.size, self.percent = docs, size, percent
         common = docs.sparkSession.sparkContext.broadcast(common_counters(docs, size))  # COUNTERS bytes
         self.signatures = stored(docs.mapInArrow(_sign(size, percent, common), SIGNATURES))
         some = self.signatures.where("node IS NOT NULL").groupBy("node")
-        self.nodes = stored(some.agg(
-            F.min("doc_id").alias("doc_id"), F.min("key").alias("key"), F.first("n_shingles").alias("n"), F.first("least").alias("least"), F.first("probe").alias("probe")
-        ))
+        self.nodes = stored(some.agg(F.min("doc_id").alias("doc_id"), F.min("key").alias("key"), F.first("n_shingles").cast("int").alias("n"), F.first("probe").alias("probe")))
+        # Dealt out by token once; only tokens of two nodes or more go on.
+        each = self.nodes.select(F.explode("probe").alias("token"), "node").repartition("token")
+        ends = each.groupBy("token").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader < last")
+        self.tokens = stored(each.join(ends.select("token", "leader"), "token")).join(self.nodes.select("node", "n"), "node")
 
     def sets(self, wanted: DataFrame) -> DataFrame:
         """The token sets of some nodes, from one text each."""
@@ -143,36 +160,26 @@ class Join:
         return met.where(100 * F.col("both") >= self.percent * union).select("a", "b")
 
     def group_links(self) -> DataFrame:
-        """Links of nodes with the leader of those that share a least token."""
-        least = self.nodes.select("node", "n", F.posexplode("least").alias("order", "token"))
-        leaders = least.groupBy("order", "token").agg(F.min(F.struct("node", "n")).alias("lead"), F.count("*").alias("members")).where("members > 1")
-        pairs = least.join(leaders, ["order", "token"]).where("node <> lead.node").select(F.col("node").alias("a"), F.col("lead.node").alias("b"), "n", F.col("lead.n").alias("m"))
-        pairs = stored(pairs.where(_fits("n", "m", self.percent)).select("a", "b").distinct())
+        """Links of nodes with the least node of their tokens."""
+        pairs = self.tokens.where("node <> leader").groupBy(F.col("node").alias("a"), F.col("leader").alias("b"), "n").agg(F.count("*").alias("shared"))
+        pairs = pairs.join(self.nodes.select(F.col("node").alias("b"), F.col("n").alias("m")), "b")
+        pairs = stored(pairs.where(_enough("shared", "n", "m") & _fits("n", "m", self.percent)).select("a", "b"))
         return stored(self.linked(pairs, self.sets(pairs.select(F.explode(F.array("a", "b")).alias("node")))))
 
     def other_links(self, groups: DataFrame) -> DataFrame:
         """Links between nodes of different groups, given (node, component) of the grouped ones."""
-        rows = self.nodes.join(groups, "node", "left").select("node", "n", F.coalesce("component", "node").alias("group"), "probe")
-        tokens = stored(rows).select("node", "n", "group", F.explode("probe").alias("token"))
-        matrix = tokens.groupBy("token", "group").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-        matrix = matrix.withColumnRenamed("group", "other")
-        met = tokens.join(matrix, "token").where((F.col("other") < F.col("group")) & (100 * F.col("n") >= self.percent * F.col("lo")) & (100 * F.col("hi") >= self.percent * F.col("n")))
-        met = stored(met.select("node", "n", "other").distinct())
+        tokens = self.tokens.join(groups, "node", "left").select("token", "node", "n", F.coalesce("component", "node").alias("group"))
+        tokens = stored(tokens)
+        matrix = tokens.groupBy("token", F.col("group").alias("other")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+        near = (100 * F.col("n") >= self.percent * F.col("lo")) & (100 * F.col("hi") >= self.percent * F.col("n"))
+        met = tokens.join(matrix, "token").where((F.col("other") < F.col("group")) & near)
+        met = met.groupBy("node", "n", "other").agg(F.count("*").alias("shared"), F.min("lo").alias("lo"))
+        opened = stored(met.where(_enough("shared", "n", "lo")).select("node", "n", "other"))
         members = tokens.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("group").alias("other"), "token")
-        sizes = self.nodes.select("node").join(groups, "node").groupBy(F.col("component").alias("other")).agg(F.count("*").alias("members"))
-        met = met.join(sizes, "other", "left")
-        large = met.where("members > 1").select("node", "n", "other")
-        in_large = rows.select("node", F.col("group").alias("other")).join(large.select("other").distinct(), "other", "left_semi")
-        sets = self.sets(met.select("node").union(met.where("members IS NULL").select("other")).union(in_large.select("node")))
-        # Bound: a node can have a partner only in a group whose union holds enough of its tokens.
-        union = sets.join(in_large, "node").select("other", F.explode("tokens").alias("token")).distinct()
-        probes = sets.join(large, "node").select("node", "n", "other", F.explode("tokens").alias("token"))
-        held = probes.join(union, ["other", "token"]).groupBy("node", "n", "other").agg(F.count("*").alias("held"))
-        opened = held.where(100 * F.col("held") >= self.percent * F.col("n")).select("node", "n", "other")
-        probing = opened.join(tokens.select("node", "token"), "node")
-        inside = probing.join(members, ["other", "token"]).where(_fits("n", "m", self.percent)).select(F.col("node").alias("a"), "b")
-        single = met.where("members IS NULL").select(F.col("node").alias("a"), F.col("other").alias("b"))
-        return self.linked(stored(inside.union(single).distinct()), sets)
+        inside = opened.join(tokens.select("node", "token"), "node").join(members, ["other", "token"]).where(_fits("n", "m", self.percent))
+        inside = inside.groupBy(F.col("node").alias("a"), "b", "n", "m").agg(F.count("*").alias("shared"))
+        pairs = stored(inside.where(_enough("shared", "n", "m")).select("a", "b"))
+        return self.linked(pairs, self.sets(pairs.select(F.explode(F.array("a", "b")).alias("node"))))
 
     def components(self) -> DataFrame:
         """(node, component) of the nodes with links."""
