@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 
 import numpy as np
 import regex
@@ -20,6 +21,8 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 #: str.split and `\s` of `re` count these as white space, the tokenizers do not.
 SEPARATORS = re.compile("[\x1c-\x1f]")
+#: Up to here every character is in NFC, also next to others, and lower-cases by itself.
+LATIN = "\xff"
 WIDE_SPACE = re.compile(r"\s\s|^\s")
 
 
@@ -32,12 +35,29 @@ def load(path: str):
     return tokenizer
 
 
+#: Byte-level files write each byte of UTF-8 as one character: printable Latin-1 as itself, the others numbered from U+0100 up.
+_PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+BYTE_CHARS = {b: chr(0x100 + n) for n, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+
+
+def pre_token_ids(tokenizer):
+    """Packed ids of one pre-token, from the library's model."""
+    model = tokenizer.model
+
+    def ids(s: str) -> bytes:
+        plain = s.isascii() and s.isprintable()
+        found = model.tokenize(s.replace(" ", BYTE_CHARS[0x20]) if plain else s.encode().decode("latin-1").translate(BYTE_CHARS))
+        return struct.pack(f"<{len(found)}I", *[t.id for t in found])
+
+    return ids
+
+
 class ByteEncoder:
     """For byte-level BPE.  A single space between two other characters always starts a pre-token, so the text is cut there."""
 
     def __init__(self, path: str):
         tokenizer, cut = load(path), regex.compile(BYTE_PATTERN).findall
-        self.pre_tokens = Memo(lambda s: np.array(tokenizer.encode(s, add_special_tokens=False).ids, "<u4").tobytes(), 1_000_000)
+        self.pre_tokens = Memo(pre_token_ids(tokenizer), 1_000_000)
         self.cut = lambda s: b"".join(map(self.pre_tokens.__getitem__, cut(s)))
         self.after_space = Memo(lambda s: self.cut(" " + s))
 
@@ -58,9 +78,9 @@ class WordEncoder:
     def __init__(self, path: str):
         tokenizer, cut = load(path), regex.compile(WORD_PATTERN).findall
         plain = lambda s: np.array(tokenizer.encode(s, add_special_tokens=False).ids, "<u4").tobytes()
-        self.plain, self.pre_tokens = plain, Memo(plain, 1_000_000)
+        self.plain, self.pre_tokens = plain, Memo(pre_token_ids(tokenizer), 1_000_000)
         join = lambda s: b"".join(map(self.pre_tokens.__getitem__, cut(s.lower())))
-        self.by_word = Memo(lambda s: join(s) if s.isascii() else plain(s))
+        self.by_word = Memo(lambda s: join(s) if max(s) <= LATIN else plain(s))
 
     def packed(self, text: str | None) -> bytes:
         if not text:

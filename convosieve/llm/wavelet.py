@@ -166,10 +166,12 @@ def write_shards(docs: DataFrame, path: str, folder: str | None = None, end_id:
 
 
 def shards(spark: SparkSession, folder: str) -> DataFrame:
-    """The written shards, with the number of ids before each.  The sums run over one row per shard in fixed steps: shards of a
-    partition first, then partitions."""
-    rows = spark.read.schema(SCHEMA).parquet(folder)
-    sizes = rows.select("shard", "n_ids", F.shiftright("shard", 32).alias("part"))
+    return spark.read.schema(SCHEMA).parquet(folder)
+
+
+def first_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """(shard, first_id): the ids before each shard, summed in two steps (shards of a partition, then partitions)."""
+    sizes = shards(spark, folder).select("shard", "n_ids", F.shiftright("shard", 32).alias("part"))
     parts = sizes.groupBy("part").agg(F.sum("n_ids").alias("ids")).orderBy("part").collect()  # one row per 32 MB of text or more
     before, sums = 0, []
     for r in parts:
@@ -178,10 +180,10 @@ def shards(spark: SparkSession, folder: str) -> DataFrame:
     order = Window.partitionBy("part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     sums = spark.createDataFrame(sums, "part long, before long")
     firsts = sizes.withColumn("inside", F.coalesce(F.sum("n_ids").over(order), F.lit(0))).join(sums, "part")
-    return rows.join(firsts.select("shard", (F.col("before") + F.col("inside")).alias("first_id")), "shard")
+    return firsts.select("shard", (F.col("before") + F.col("inside")).alias("first_id"))
 
 
-DIGESTS = "doc_id long, start long, n_tokens long, ids_crc32 long"
+DIGESTS = "shard long, doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
 def _digests(schema: pa.Schema):
@@ -191,11 +193,12 @@ def _digests(schema: pa.Schema):
                 ids, ends = WaveletMatrix.from_row(row).decode(), np.frombuffer(row["ends"], "<i8").tolist()
                 names = [None if null else d for d, null in zip(np.frombuffer(row["doc_ids"], "<i8").tolist(), row["id_nulls"])]
                 spans = zip(names, [0, *ends], ends)
-                yield batch([(d, a + row["first_id"], b - a, zlib.crc32(ids[a:b].tobytes())) for d, a, b in spans], schema)
+                yield batch([(row["shard"], d, a, b - a, zlib.crc32(ids[a:b].tobytes())) for d, a, b in spans], schema)
 
     return digests
 
 
 def read_digests(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, decoded from the shards."""
-    return shards(spark, folder).mapInArrow(_digests(arrow_schema(DIGESTS)), DIGESTS)
+    found = shards(spark, folder).mapInArrow(_digests(arrow_schema(DIGESTS)), DIGESTS).join(first_ids(spark, folder), "shard")
+    return found.select("doc_id", (F.col("first_id") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")
