@@ -6,7 +6,7 @@ side have at least `depth` in common.  Tokens of many documents come last in the
 ever probe; which ones these are is told by a fixed number of counters over all documents.
 
 Groups of similar nodes form first: nodes that share enough probing tokens with the least node of these tokens are compared with that
-leader, and what links is one group.  The matrix holds, per probing token, the groups that have it, so a node's overlap with a
+leader (and with the greatest), and what links is one group.  The matrix holds, per probing token, the groups that have it, so a node's overlap with a
 group's union of tokens is a count of matrix cells.  It bounds the overlap with every member; groups below the bound stay closed, the
 members of the others are bounded the same way and then compared exactly.  Pairs within a group are never listed: they are linked.
 """
@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from convosieve.llm.common import arrow_schema, batch, free_name, lower_words, stored
@@ -27,9 +27,11 @@ from convosieve.llm.hashing import Runs, hashed, word_hashes
 
 COUNTERS, CHUNK = 1 << 20, 1 << 14
 #: A counter of so many times the mean marks its tokens as common.
-COMMON = 1.5
-#: One in so many tokens of a set is asked for in common (and one more).
-DEPTH = 40
+COMMON = 1.25
+#: A set of n tokens probes deep enough to have 1 + n / DEPTH in common with a partner's probes ...
+DEPTH = 20
+#: ... and leaves out one in so many of these, the ones that most sets probe with.
+SPARE = 4
 SIGNATURES = "doc_id long, key long, n_shingles long, node long, probe array<long>"
 COUNTS = "chunk int, salt int, counts binary"
 
@@ -127,9 +129,13 @@ def _fits(a: str, b: str, percent: int):
     return (100 * F.col(a) >= percent * F.col(b)) & (100 * F.col(b) >= percent * F.col(a))
 
 
-def _enough(shared: str, a: str, b: str):
-    """As many common probing tokens as sets of these sizes must have."""
-    return F.col(shared) >= 1 + F.floor(F.least(a, b) / DEPTH)
+def _spare(n):
+    return F.floor(F.floor(n / DEPTH) / SPARE)
+
+
+def _enough(shared: str, least, n, m):
+    """As many common probing tokens as sets of n and m tokens, the smaller of at least `least`, must have left."""
+    return F.col(shared) >= 1 + F.floor(least / DEPTH) - _spare(n) - _spare(m)
 
 
 class Join:
@@ -143,8 +149,11 @@ class Join:
         self.nodes = stored(some.agg(F.min("doc_id").alias("doc_id"), F.min("key").alias("key"), F.first("n_shingles").cast("int").alias("n"), F.first("probe").alias("probe")))
         # Dealt out by token once; only tokens of two nodes or more go on.
         each = self.nodes.select(F.explode("probe").alias("token"), "node").repartition("token")
-        ends = each.groupBy("token").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader < last")
-        self.tokens = stored(each.join(ends.select("token", "leader"), "token")).join(self.nodes.select("node", "n"), "node")
+        ends = each.groupBy("token").agg(F.min("node").alias("leader"), F.max("node").alias("last"), F.count("*").alias("df")).where("leader < last")
+        shared = each.join(ends, "token").join(self.nodes.select("node", "n"), "node")
+        common_first = Window.partitionBy("node").orderBy(F.desc("df"), "token")
+        shared = shared.withColumn("place", F.row_number().over(common_first)).where(F.col("place") > _spare(F.col("n")))
+        self.tokens = stored(shared.select("token", "node", "n", "leader", "last"))
 
     def sets(self, wanted: DataFrame) -> DataFrame:
         """The token sets of some nodes, from one text each."""
@@ -160,10 +169,11 @@ class Join:
         return met.where(100 * F.col("both") >= self.percent * union).select("a", "b")
 
     def group_links(self) -> DataFrame:
-        """Links of nodes with the least node of their tokens."""
-        pairs = self.tokens.where("node <> leader").groupBy(F.col("node").alias("a"), F.col("leader").alias("b"), "n").agg(F.count("*").alias("shared"))
+        """Links of nodes with the least and the greatest node of their tokens."""
+        leaders = self.tokens.select("node", "n", F.explode(F.array("leader", "last")).alias("b"))
+        pairs = leaders.where("node <> b").groupBy(F.col("node").alias("a"), "b", "n").agg(F.count("*").alias("shared"))
         pairs = pairs.join(self.nodes.select(F.col("node").alias("b"), F.col("n").alias("m")), "b")
-        pairs = stored(pairs.where(_enough("shared", "n", "m") & _fits("n", "m", self.percent)).select("a", "b"))
+        pairs = stored(pairs.where(_enough("shared", F.least("n", "m"), F.col("n"), F.col("m")) & _fits("n", "m", self.percent)).select("a", "b"))
         return stored(self.linked(pairs, self.sets(pairs.select(F.explode(F.array("a", "b")).alias("node")))))
 
     def other_links(self, groups: DataFrame) -> DataFrame:
@@ -173,12 +183,14 @@ class Join:
         matrix = tokens.groupBy("token", F.col("group").alias("other")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
         near = (100 * F.col("n") >= self.percent * F.col("lo")) & (100 * F.col("hi") >= self.percent * F.col("n"))
         met = tokens.join(matrix, "token").where((F.col("other") < F.col("group")) & near)
-        met = met.groupBy("node", "n", "other").agg(F.count("*").alias("shared"), F.min("lo").alias("lo"))
-        opened = stored(met.where(_enough("shared", "n", "lo")).select("node", "n", "other"))
+        met = met.groupBy("node", "n", "other").agg(F.count("*").alias("shared"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        smallest = F.least(F.col("n"), F.greatest(F.col("lo"), F.col("n") * self.percent / 100))
+        largest = F.least(F.col("hi"), F.col("n") * 100 / self.percent)
+        opened = stored(met.where(_enough("shared", smallest, F.col("n"), largest)).select("node", "n", "other"))
         members = tokens.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("group").alias("other"), "token")
         inside = opened.join(tokens.select("node", "token"), "node").join(members, ["other", "token"]).where(_fits("n", "m", self.percent))
         inside = inside.groupBy(F.col("node").alias("a"), "b", "n", "m").agg(F.count("*").alias("shared"))
-        pairs = stored(inside.where(_enough("shared", "n", "m")).select("a", "b"))
+        pairs = stored(inside.where(_enough("shared", F.least("n", "m"), F.col("n"), F.col("m"))).select("a", "b"))
         return self.linked(pairs, self.sets(pairs.select(F.explode(F.array("a", "b")).alias("node"))))
 
     def components(self) -> DataFrame:
