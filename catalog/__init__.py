@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +14,7 @@ def query(name: str, sql: str | None = None):
     def wrap(fn):
         if name in QUERIES:
             raise ValueError(f"query registered twice: {name}")
-        QUERIES[name] = _fresh(fn)
+        QUERIES[name] = fn
         if sql:
             ORACLES[name] = sql
         return fn
@@ -23,17 +22,6 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
-def _fresh(fn):
-    """Registered queries run one after another: drop the cached tables of the one before."""
-
-    @functools.wraps(fn)
-    def run(spark: SparkSession, folder: str) -> DataFrame:
-        spark.catalog.clearCache()
-        return fn(spark, folder)
-
-    return run
-
-
 def load() -> None:
     from catalog import (  # noqa: F401
         duplicates, ensembles, evaluation, feature_families, flagship, learning, mining, quality, selection, statistics, tagging, teaching, texts,

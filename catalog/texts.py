@@ -119,11 +119,18 @@ def signature(spark, folder):
     return keyed.groupBy("k").agg(F.count(F.lit(1)).alias("c")).agg(F.sum("c").alias("row_count"), F.count(F.lit(1)).alias("distinct_rows"))
 
 
-@query("corpus_fingerprint")
+_ROW_MD5 = f"md5(concat(CAST(doc_id AS VARCHAR), ':', {S.norm('text')}))"
+
+
+@query(
+    "corpus_fingerprint",
+    f"SELECT count(*) AS row_count, CAST(sum(CAST(CAST(concat('0x', substr({_ROW_MD5}, 1, 15)) AS BIGINT) AS HUGEINT)) AS VARCHAR) AS fingerprint FROM documents",
+)
 def fingerprint(spark, folder):
-    """Order-insensitive signature: equal corpora give equal values on any partitioning."""
-    h = F.xxhash64("doc_id", T.normalize_text("text"))
-    return V.table(spark, folder, "documents").agg(F.count(F.lit(1)).alias("row_count"), F.bit_xor(h).alias("fingerprint"))
+    """Order-insensitive signature: equal corpora give equal values on any partitioning, and a repeated row counts each time."""
+    digest = F.md5(F.concat(F.col("doc_id").cast("string"), F.lit(":"), T.normalize_text("text")))
+    h = F.conv(F.substring(digest, 1, 15), 16, 10).cast("decimal(20,0)")
+    return V.table(spark, folder, "documents").agg(F.count(F.lit(1)).alias("row_count"), F.sum(h).cast("string").alias("fingerprint"))
 
 
 _tok = {"ascii": S.ASCII, "raw": f"[^{S.WS}]+", "unicode": S.UNI, "apostrophe": S.UNI_APOS, "tag": S.TAGW, "min2": rf"[{S.AN}_]{{2,}}"}

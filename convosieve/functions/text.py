@@ -95,7 +95,7 @@ def normalize_label(c, true_words=("TRUE", "T", "1"), false_words=("FALSE", "F",
     if unknown == "keep":
         return hit.otherwise(raw)
     if unknown == "error":
-        bad = F.raise_error(F.concat(F.lit("Unexpected label value: "), F.coalesce(raw, F.lit("<missing>"))))
+        bad = F.raise_error(F.concat(F.lit("Unexpected label in the data, got "), F.coalesce(raw, F.lit("<missing>"))))
         return hit.otherwise(bad.cast("string"))
     raise ValueError(f"unknown must be null, keep or error: {unknown!r}")
 

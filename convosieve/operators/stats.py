@@ -250,7 +250,7 @@ def label_share(df: DataFrame, label: str, prob: str) -> DataFrame:
 
 
 def zscore(df: DataFrame, features: list[str]) -> DataFrame:
-    """Standardise with the population deviation; near-constant features keep their scale."""
+    """Standardise with the population deviation; near-constant features keep their scale, all-null ones stay null."""
     stats = df.agg(*[F.avg(f).alias(f"m_{f}") for f in features], *[F.stddev_pop(f).alias(f"s_{f}") for f in features]).first()
-    scaled = {f: (F.col(f) - stats[f"m_{f}"]) / (stats[f"s_{f}"] if stats[f"s_{f}"] >= 1e-6 else 1.0) for f in features}
+    scaled = {f: (F.col(f) - F.lit(stats[f"m_{f}"])) / (stats[f"s_{f}"] if (stats[f"s_{f}"] or 0.0) >= 1e-6 else 1.0) for f in features}
     return df.withColumns(scaled)

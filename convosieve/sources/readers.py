@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -96,7 +95,7 @@ def load_sources(spark: SparkSession, specs: list[dict], id_col: str = "doc_id")
     for s in specs:
         if not path_exists(spark, s["path"]):
             if s.get("required"):
-                raise FileNotFoundError(f"required source not found: {s['name']} ({s['path']})")
+                raise FileNotFoundError(f"nothing to read at {s['path']} for the source {s['name']}, which must be there")
             continue
         if s.get("format", "csv") == "csv":
             df = read_csv(spark, s["path"], s.get("schema", SCORE_SCHEMA))
@@ -113,11 +112,10 @@ def load_sources(spark: SparkSession, specs: list[dict], id_col: str = "doc_id")
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
-    if "://" not in path:
-        return os.path.exists(path)
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    """Whether a path or glob is there, in whatever file system Spark itself would read it from."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).globStatus(p)
+    return found is not None and len(found) > 0
 
 
 def join_sources(long: DataFrame, names: list[str], id_col: str = "doc_id") -> DataFrame:

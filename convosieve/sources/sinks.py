@@ -25,8 +25,10 @@ def write_corpus_jsonl(df: DataFrame, path: str) -> None:
 
 
 def write_metrics(df: DataFrame, path: str) -> None:
-    """A report of one row as one JSON object."""
-    df.limit(1).coalesce(1).write.mode("overwrite").json(path)
+    """A report of one row as one JSON object; more rows are an error."""
+    if len(df.limit(2).collect()) > 1:
+        raise ValueError("a metrics document has one row")
+    df.coalesce(1).write.mode("overwrite").json(path)
 
 
 def make_submission(template: DataFrame, labels: DataFrame, id_col: str = "doc_id", label: str = "label") -> DataFrame:

@@ -83,3 +83,21 @@ def test_stream_processes_each_id_once(spark, tmp_path):
     got = {r.doc_id: r.family for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {1: "tool_or_workflow", 3: "clean_benign"}
     assert {r.doc_id for r in spark.read.parquet(str(tmp_path / "failed")).collect()} == {2}
+
+
+def test_path_exists_asks_the_file_system(spark, tmp_path):
+    from convosieve.sources.readers import path_exists
+
+    (tmp_path / "a.csv").write_text("x\n")
+    assert path_exists(spark, str(tmp_path)) and path_exists(spark, f"file:{tmp_path}/a.csv") and path_exists(spark, f"file://{tmp_path}/*.csv")
+    assert not path_exists(spark, f"file:{tmp_path}/b.csv") and not path_exists(spark, f"{tmp_path}/*.json")
+
+
+def test_metrics_document_has_one_row(spark, tmp_path):
+    import pytest
+
+    from convosieve.sources.sinks import write_metrics
+
+    with pytest.raises(ValueError):
+        write_metrics(spark.range(2), str(tmp_path / "m"))
+    write_metrics(spark.range(1), str(tmp_path / "m"))
