@@ -29,27 +29,46 @@ def _test(spark, folder):
 
 @query("duplicate_groups", f"""
 WITH {S.TRAIN}, k AS {_keyed('train', 'label,')}, g AS (SELECT sha256(exact_key) AS key_digest, count(*) AS row_count, {_PREV.format('min_by(t, doc_id)')} AS example_text,
-  count(*) FILTER (label = 'TRUE') AS "TRUE_count", count(*) FILTER (label = 'FALSE') AS "FALSE_count", list_sort(list(doc_id))[1:50] AS ids, list(label ORDER BY doc_id)[1:50] AS labs FROM k GROUP BY exact_key HAVING count(*) > 1)
-SELECT key_digest, row_count, example_text, "TRUE_count", "FALSE_count", array_to_string(ids, '|') AS row_ids, array_to_string(labs, '|') AS row_labels,
+  count(*) FILTER (label = 'TRUE') AS "TRUE_count", count(*) FILTER (label = 'FALSE') AS "FALSE_count" FROM k GROUP BY exact_key HAVING count(*) > 1)
+SELECT key_digest, row_count, example_text, "TRUE_count", "FALSE_count",
   {S.r('"TRUE_count"::DOUBLE / row_count')} AS "TRUE_rate", "TRUE_count" > 0 AND "FALSE_count" > 0 AS has_label_conflict FROM g""")
 def groups(spark, folder):
     return rounded(D.duplicate_groups(_train(spark, folder), "exact_key", label="label"), ["TRUE_rate"])
 
 
 @query("duplicate_groups_all_documents", f"""
-WITH k AS {_keyed('documents')} SELECT sha256(exact_key) AS key_digest, count(*) AS row_count, {_PREV.format('min_by(t, doc_id)')} AS example_text,
-  array_to_string(list_sort(list(doc_id))[1:50], '|') AS row_ids FROM k GROUP BY exact_key HAVING count(*) > 1""")
+WITH k AS {_keyed('documents')} SELECT sha256(exact_key) AS key_digest, count(*) AS row_count, {_PREV.format('min_by(t, doc_id)')} AS example_text
+  FROM k GROUP BY exact_key HAVING count(*) > 1""")
 def all_groups(spark, folder):
     return D.duplicate_groups(D.add_keys(V.documents(spark, folder).select("doc_id", "text")), "exact_key")
 
 
+@query("duplicate_group_members", f"""
+WITH {S.TRAIN}, k AS {_keyed('train', 'label,')} SELECT sha256(exact_key) AS key_digest, doc_id AS id, label FROM k QUALIFY count(*) OVER (PARTITION BY exact_key) > 1""")
+def group_members(spark, folder):
+    return D.group_members(_train(spark, folder), "exact_key", label="label")
+
+
+@query("duplicate_group_members_all_documents", f"""
+WITH k AS {_keyed('documents')} SELECT sha256(exact_key) AS key_digest, doc_id AS id FROM k QUALIFY count(*) OVER (PARTITION BY exact_key) > 1""")
+def all_group_members(spark, folder):
+    return D.group_members(D.add_keys(V.documents(spark, folder).select("doc_id", "text")), "exact_key")
+
+
+def _cross_members_sql(key, min_train):
+    return f"""
+WITH {S.TRAIN}, {S.TEST}, a AS {_keyed('train', 'label,')}, b AS {_keyed('test')},
+m AS (SELECT {key} AS k, 'train' AS side, doc_id AS id, label FROM a UNION ALL SELECT {key}, 'test', doc_id, NULL FROM b)
+SELECT sha256(k) AS key_digest, side, id, label FROM m
+QUALIFY count(*) FILTER (side = 'train') OVER (PARTITION BY k) >= {min_train} AND count(*) FILTER (side = 'test') OVER (PARTITION BY k) > 0"""
+
+
 def _cross_sql(key, min_train):
     return f"""
 WITH {S.TRAIN}, {S.TEST}, a AS {_keyed('train', 'label,')}, b AS {_keyed('test')},
-ag AS (SELECT {key} AS k, count(*) AS train_match_count, count(*) FILTER (label = 'TRUE') AS nt, count(*) FILTER (label = 'FALSE') AS nf, {_PREV.format('min_by(t, doc_id)')} AS train_example_text,
-  array_to_string(list_sort(list(doc_id))[1:25], '|') AS train_row_ids, array_to_string(list(label ORDER BY doc_id)[1:25], '|') AS train_labels FROM a GROUP BY 1 HAVING count(*) >= {min_train}),
-bg AS (SELECT {key} AS k, count(*) AS test_match_count, {_PREV.format('min_by(t, doc_id)')} AS test_example_text, array_to_string(list_sort(list(doc_id))[1:25], '|') AS test_row_ids FROM b GROUP BY 1)
-SELECT sha256(k) AS key_digest, test_match_count, test_example_text, train_match_count, nt AS "train_TRUE_count", nf AS "train_FALSE_count", train_example_text, train_row_ids, train_labels, test_row_ids,
+ag AS (SELECT {key} AS k, count(*) AS train_match_count, count(*) FILTER (label = 'TRUE') AS nt, count(*) FILTER (label = 'FALSE') AS nf, {_PREV.format('min_by(t, doc_id)')} AS train_example_text FROM a GROUP BY 1 HAVING count(*) >= {min_train}),
+bg AS (SELECT {key} AS k, count(*) AS test_match_count, {_PREV.format('min_by(t, doc_id)')} AS test_example_text FROM b GROUP BY 1)
+SELECT sha256(k) AS key_digest, test_match_count, test_example_text, train_match_count, nt AS "train_TRUE_count", nf AS "train_FALSE_count", train_example_text,
   {S.r('nt::DOUBLE / train_match_count')} AS "train_TRUE_rate", {S.r('nf::DOUBLE / train_match_count')} AS "train_FALSE_rate", train_match_count * test_match_count AS cross_pair_count FROM ag JOIN bg USING (k)"""
 
 
@@ -59,6 +78,10 @@ def _register_cross(key, min_train):
         out = D.cross_matches(_train(spark, folder), _test(spark, folder), key, min_train=min_train)
         return rounded(out, ["train_TRUE_rate", "train_FALSE_rate"])
 
+    @query(f"cross_match_members_{key}", _cross_members_sql(key, min_train))
+    def members(spark, folder):
+        return D.cross_members(_train(spark, folder), _test(spark, folder), key, min_train=min_train)
+
 
 for _key, _min in (("exact_key", 1), ("loose_key", 1), ("template_key", 1), ("shape_key", 2)):
     _register_cross(_key, _min)
@@ -79,10 +102,10 @@ WORD_GRAMS = f"list_concat(w, {S.grams('w', 2)})"
 
 def _knn_sql(k, grams_cte):
     return f"""
-{S.TRAIN}, src AS (SELECT doc_id AS id, TRUE AS tr, {_fold(S.norm('text'))} AS t FROM train UNION ALL SELECT item_id, FALSE, {_fold(S.norm('text'))} FROM benchmark),
+{S.LAB}, src AS (SELECT doc_id AS id, TRUE AS tr, {_fold(S.norm('text'))} AS t FROM documents UNION ALL SELECT item_id, FALSE, {_fold(S.norm('text'))} FROM benchmark),
 {grams_cte}
 tf AS (SELECT id, tr, g, count(*) AS tf FROM gr GROUP BY ALL), dn AS (SELECT count(*) AS n FROM src),
-vo AS (SELECT g, count(*) AS df, sum(tf) AS total FROM tf GROUP BY g HAVING count(*) >= 2 ORDER BY total DESC, md5(g) LIMIT 200000),
+vo AS (SELECT g, count(*) AS df, sum(tf) AS total FROM tf GROUP BY g HAVING count(*) >= 2),
 wt AS (SELECT id, tr, g, (1 + ln(tf)) * (ln((1.0::DOUBLE + n) / (1.0::DOUBLE + df)) + 1) AS w FROM tf JOIN vo USING (g), dn),
 nm AS (SELECT id, tr, g, w / sqrt(sum(w * w) OVER (PARTITION BY id, tr)) AS w FROM wt),
 dp AS (SELECT b.id AS test_id, a.id AS train_id, sum(a.w * b.w) AS s FROM nm a JOIN nm b ON a.g = b.g AND a.tr AND NOT b.tr GROUP BY ALL),
@@ -95,7 +118,8 @@ _WORD_CTE = f"wd AS (SELECT id, tr, regexp_extract_all(t, {S.q(_w2)}) AS w FROM
 
 def _corpora(spark, folder):
     bench = V.table(spark, folder, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
-    return _train(spark, folder), D.add_keys(bench).drop("text")
+    docs = V.documents(spark, folder).select("doc_id", "text").join(V.labels(spark, folder), "doc_id", "left")
+    return D.add_keys(docs).drop("text"), D.add_keys(bench).drop("text")
 
 
 def _word_neighbors(spark, folder, k=5):
@@ -108,13 +132,13 @@ def word_neighbors(spark, folder):
     return _word_neighbors(spark, folder).select("test_id", "train_id", "similarity", "neighbor_rank")
 
 
-_BEST = f"{_knn_sql(1, _WORD_CTE)}, best AS (SELECT nn.*, label AS train_label FROM nn JOIN lab ON lab.doc_id = train_id)"
+_BEST = f"{_knn_sql(1, _WORD_CTE)}, best AS (SELECT nn.*, label AS train_label FROM nn LEFT JOIN lab ON lab.doc_id = train_id)"
 
 
 def _best(spark, folder, method="word_tfidf_1_2"):
     a, b = _corpora(spark, folder)
     nn = D.tfidf_neighbors(a, b, method, 1)
-    return nn.join(V.labels(spark, folder).select(F.col("doc_id").alias("train_id"), F.col("label").alias("train_label")), "train_id")
+    return nn.join(V.labels(spark, folder).select(F.col("doc_id").alias("train_id"), F.col("label").alias("train_label")), "train_id", "left")
 
 
 @query("similarity_thresholds", f"""
@@ -138,7 +162,7 @@ _CHAR_CTE = f"gr AS (SELECT id, tr, unnest({char_wb_sql('t', 3, 5)}) AS g FROM s
 
 
 @query("char_tfidf_neighbors", f"""
-WITH {_knn_sql(5, _CHAR_CTE)}, nb AS (SELECT doc_id AS train_id, label AS train_label, length({S.norm('text')}) AS train_char_length, {S.cnt(S.norm('text'), S.ASCII)} AS train_word_count FROM train),
+WITH {_knn_sql(5, _CHAR_CTE)}, nb AS (SELECT doc_id AS train_id, label AS train_label, length({S.norm('text')}) AS train_char_length, {S.cnt(S.norm('text'), S.ASCII)} AS train_word_count FROM documents LEFT JOIN lab USING (doc_id)),
 nt AS (SELECT item_id AS test_id, length({S.norm('text')}) AS test_char_length, {S.cnt(S.norm('text'), S.ASCII)} AS test_word_count FROM benchmark)
 SELECT nn.test_id, nn.train_id, similarity, neighbor_rank::INTEGER AS neighbor_rank, train_label, train_char_length, test_char_length, train_word_count, test_word_count
 FROM nn JOIN nb ON nb.train_id = nn.train_id JOIN nt ON nt.test_id = nn.test_id""")

@@ -132,8 +132,8 @@ def _odds_sql(src, grams, top):
 WITH {S.TRAIN}, n AS (SELECT doc_id, label, {S.norm('text')} AS t FROM train), {src}
 g AS (SELECT doc_id, label, unnest({grams}) AS ngram FROM w), v AS (SELECT ngram, count(DISTINCT doc_id) AS df, count(*) FILTER (label = 'TRUE') AS true_count,
   count(*) FILTER (label = 'FALSE') AS false_count FROM g GROUP BY ngram HAVING count(DISTINCT doc_id) >= 3),
-k AS (SELECT * FROM v ORDER BY true_count + false_count DESC, md5(ngram) LIMIT 30000), s AS (SELECT count(*)::DOUBLE AS m, sum(true_count) + count(*) AS tt, sum(false_count) + count(*) AS ft FROM k),
-o AS (SELECT ngram, true_count, false_count, ln((true_count + 1.0::DOUBLE) / tt) - ln((false_count + 1.0::DOUBLE) / ft) AS lo FROM k, s)
+s AS (SELECT count(*)::DOUBLE AS m, sum(true_count) + count(*) AS tt, sum(false_count) + count(*) AS ft FROM v),
+o AS (SELECT ngram, true_count, false_count, ln((true_count + 1.0::DOUBLE) / tt) - ln((false_count + 1.0::DOUBLE) / ft) AS lo FROM v, s)
 SELECT ngram, true_count, false_count, {S.r('lo')} AS log_odds_true_minus_false FROM o"""
 
 

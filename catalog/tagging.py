@@ -97,14 +97,14 @@ def examples(spark, folder):
 
 _fam = "CASE doc_id % 5 WHEN 0 THEN 'coordination' WHEN 1 THEN 'deception' WHEN 2 THEN 'made_up' WHEN 3 THEN 'clean_benign' ELSE 'manipulation' END"
 _raw = f"""'```json' || chr(10) || 'note {{"family": "' || {_fam} || '", "intent": " evade ", "risk": "' || CASE WHEN doc_id % 4 = 0 THEN 'HIGH' ELSE 'unknown' END || '", "hidden": ' || CASE WHEN doc_id % 3 = 0 THEN 'true' ELSE '"no"' END
- || ', "why": "' || substr(regexp_replace(text, '[^a-z ]', ''), 1, 60) || '"' || CASE WHEN doc_id % 13 = 7 THEN '' ELSE '}}' END || chr(10) || '```'"""
+ || ', "why": "' || regexp_replace(text, '[^a-z ]', '') || '"' || CASE WHEN doc_id % 13 = 7 THEN '' ELSE '}}' END || chr(10) || '```'"""
 _raw_sql = _raw.replace("'[^a-z ]', ''", "'[^a-z ]', '', 'g'").replace("{{", "{").replace("}}", "}")
 _raw_spark = _raw.replace("{{", "{").replace("}}", "}")
 _wsplit = "list_filter(string_split_regex(trim(w0), ' +'), lambda z: z <> '')"
 
 
 @query("validated_tag_strings", f"""
-WITH b AS (SELECT doc_id, doc_id % 13 <> 7 AS valid, {_fam} AS f, substr(regexp_replace(text, '[^a-z ]', '', 'g'), 1, 60) AS w0 FROM documents), w AS (SELECT *, {_wsplit} AS ws FROM b)
+WITH b AS (SELECT doc_id, doc_id % 13 <> 7 AS valid, {_fam} AS f, regexp_replace(text, '[^a-z ]', '', 'g') AS w0 FROM documents), w AS (SELECT *, {_wsplit} AS ws FROM b)
 SELECT doc_id, valid, CASE WHEN valid AND f <> 'made_up' THEN f ELSE 'unclear' END AS family, CASE WHEN valid THEN 'evade' ELSE 'unclear' END AS intent, CASE WHEN valid AND doc_id % 4 = 0 THEN 'high' ELSE 'none' END AS risk,
  valid AND doc_id % 3 = 0 AS hidden, CASE WHEN NOT valid OR len(ws) = 0 THEN 'unclear' WHEN len(ws) > 8 THEN array_to_string(ws[1:8], ' ') ELSE trim(w0) END AS why FROM w""")
 def validated(spark, folder):

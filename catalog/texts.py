@@ -35,7 +35,7 @@ _loose = _squash(f"regexp_replace({_mask(' <url> ', ' <email> ', ' <num> ')}, {S
 _template = _squash(f"regexp_replace({_mask(' <URL> ', ' <EMAIL> ', ' <NUM> ')}, {S.q(lex.MARKUP_RUN)}, ' <MARKUP> ', 'g')")
 _shape_other = f"regexp_replace(t, {S.q(rf'[^\pL{S.DIG}{S.WS}{S.PUNCT}]')}, chr(1), 'g')"
 _shape = (
-    f"left({_squash(f'replace(regexp_replace(regexp_replace({_shape_other}, {S.q(chr(92) + "pL+")}, {S.q("A")}, {S.q("g")}), {S.q(f"[{S.DIG}]+")}, {S.q("0")}, {S.q("g")}), chr(1), {S.q("X")})')}, 500)"
+    f"{_squash(f'replace(regexp_replace(regexp_replace({_shape_other}, {S.q(chr(92) + "pL+")}, {S.q("A")}, {S.q("g")}), {S.q(f"[{S.DIG}]+")}, {S.q("0")}, {S.q("g")}), chr(1), {S.q("X")})')}"
 )
 KEY_SQL = {"exact_key": _squash("lower(t)"), "loose_key": _loose, "template_key": _template, "shape_key": _shape}
 
@@ -171,11 +171,11 @@ def char_wb_sql(x: str, lo: int, hi: int) -> str:
 
 
 @query("char_ngram_counts", f"""
-WITH n AS (SELECT {S.norm('text')} AS t FROM benchmark), g AS (SELECT unnest({char_wb_sql('t', 3, 5)}) AS ngram FROM n)
+WITH n AS (SELECT {S.norm('text')} AS t FROM documents), g AS (SELECT unnest({char_wb_sql('t', 3, 5)}) AS ngram FROM n)
 SELECT ngram, count(*) AS row_count FROM g GROUP BY ngram""")
 def char_ngrams(spark, folder):
-    items = V.table(spark, folder, "benchmark").select(T.normalize_text("text").alias("t"))
-    return K.explode_rows(items, [], K.char_wb_ngrams("t", 3, 5), "ngram").groupBy("ngram").agg(F.count(F.lit(1)).alias("row_count"))
+    docs = V.documents(spark, folder).select(T.normalize_text("text").alias("t"))
+    return K.explode_rows(docs, [], K.char_wb_ngrams("t", 3, 5), "ngram").groupBy("ngram").agg(F.count(F.lit(1)).alias("row_count"))
 
 
 @query("corpus_token_counts", f"""

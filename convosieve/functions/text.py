@@ -144,13 +144,13 @@ def template_key(c) -> Column:
     return _squash(F.regexp_replace(masked, lex.MARKUP_RUN, " <MARKUP> "))
 
 
-def shape_key(c, limit: int = 500) -> Column:
-    """Structural signature: letter runs to A, digit runs to 0, other symbols to X."""
+def shape_key(c) -> Column:
+    """Structural signature of the whole text: letter runs to A, digit runs to 0, other symbols to X."""
     c = F.regexp_replace(_col(c), rf"[^\p{{L}}{DIGIT}{WS}{PUNCT}]", "\u0001")
     c = F.regexp_replace(c, r"\p{L}+", "A")
     c = F.regexp_replace(c, f"[{DIGIT}]+", "0")
     c = F.regexp_replace(F.replace(c, F.lit("\u0001"), F.lit("X")), f"[{WS}]+", " ")
-    return F.substring(strip(c), 1, limit)
+    return strip(c)
 
 
 KEYS = {"exact_key": exact_key, "loose_key": loose_key, "template_key": template_key, "shape_key": shape_key}

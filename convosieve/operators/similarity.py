@@ -30,25 +30,13 @@ def _digest(key: str) -> Column:
     return F.sha2(F.col(key), 256)
 
 
-def _first_ids(df: DataFrame, id_col: str, n: int, label: str | None = None) -> DataFrame:
-    """Per key digest: the n smallest ids (and their labels) as |-joined strings; hot keys are cut before the shuffle."""
-    rows = top_per_group(df, ["_k"], [F.col(id_col)], n, "_rn")
-    items = F.sort_array(F.collect_list(F.struct(F.col(id_col).alias("i"), *([F.col(label).alias("l")] if label else []))))
-    aggs = [F.array_join(F.transform(items, lambda x: x["i"].cast("string")), "|").alias("row_ids")]
-    if label:
-        aggs.append(F.array_join(F.transform(items, lambda x: x["l"]), "|").alias("row_labels"))
-    return rows.groupBy("_k").agg(*aggs)
-
-
-def duplicate_groups(df: DataFrame, key: str, id_col: str = "doc_id", label: str | None = None, text: str = "text_norm", show: int = 50) -> DataFrame:
-    """Keys held by more than one row: counts, first ids, example, and label conflicts."""
-    narrow = df.select(id_col, *([label] if label else []), T.preview(text).alias("_p"), _digest(key).alias("_k")).persist()
+def duplicate_groups(df: DataFrame, key: str, id_col: str = "doc_id", label: str | None = None, text: str = "text_norm") -> DataFrame:
+    """Keys held by more than one row: counts, example, and label conflicts; `group_members` lists the rows."""
+    narrow = df.select(id_col, *([label] if label else []), T.preview(text).alias("_p"), _digest(key).alias("_k"))
     aggs = [F.count(F.lit(1)).alias("row_count"), F.min_by("_p", F.col(id_col)).alias("example_text")]
     if label:
         aggs += [F.count_if(F.col(label) == v).alias(f"{v}_count") for v in ("TRUE", "FALSE")]
-    groups = narrow.groupBy("_k").agg(*aggs).filter("row_count > 1")
-    dup_rows = narrow.select("_k", id_col, *([label] if label else [])).join(groups.select("_k"), "_k", "left_semi")
-    out = groups.join(_first_ids(dup_rows, id_col, show, label), "_k")
+    out = narrow.groupBy("_k").agg(*aggs).filter("row_count > 1")
     if label:
         out = out.withColumn("TRUE_rate", F.col("TRUE_count") / F.col("row_count")).withColumn(
             "has_label_conflict", (F.col("TRUE_count") > 0) & (F.col("FALSE_count") > 0)
@@ -56,24 +44,42 @@ def duplicate_groups(df: DataFrame, key: str, id_col: str = "doc_id", label: str
     return out.withColumnRenamed("_k", "key_digest")
 
 
-def cross_matches(train: DataFrame, test: DataFrame, key: str, id_col: str = "doc_id", label: str = "label", test_id: str = "doc_id", min_train: int = 1, show: int = 25) -> DataFrame:
-    """Keys present in both corpora.  Each side is aggregated before the join, so no pair is ever formed."""
-    # Keys are costly and used twice (counts, ids): keep the digests and previews, not the texts.
-    a = train.select(id_col, label, T.preview("text_norm").alias("_p"), _digest(key).alias("_k")).persist()
-    b = test.select(F.col(test_id).alias("_tid"), T.preview("text_norm").alias("_p"), _digest(key).alias("_k")).persist()
+def _sized(rows: DataFrame, kept: DataFrame) -> DataFrame:
+    # A kept key may hold a large share of the rows: these meet its one row id range by id range.
+    parts = 64
+    spread_keys = kept.select("key_digest", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("_s"))
+    salted = rows.withColumn("_s", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
+    return salted.join(spread_keys, ["key_digest", "_s"], "left_semi").drop("_s")
+
+
+def group_members(df: DataFrame, key: str, id_col: str = "doc_id", label: str | None = None) -> DataFrame:
+    """Every row of every key that more than one row holds: key_digest, id and, with labels, label."""
+    rows = df.select(_digest(key).alias("key_digest"), F.col(id_col).alias("id"), *([F.col(label).alias("label")] if label else []))
+    return _sized(rows, rows.groupBy("key_digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+
+
+def cross_members(train: DataFrame, test: DataFrame, key: str, id_col: str = "doc_id", label: str = "label", test_id: str = "doc_id", min_train: int = 1) -> DataFrame:
+    """Every row of the keys that both corpora hold: key_digest, side, id, label (null for test rows)."""
+    a = train.select(_digest(key).alias("key_digest"), F.lit("train").alias("side"), F.col(id_col).alias("id"), F.col(label).alias("label"))
+    b = test.select(_digest(key).alias("key_digest"), F.lit("test").alias("side"), F.col(test_id).alias("id"), F.lit(None).cast("string").alias("label"))
+    rows = a.unionByName(b)
+    held = rows.groupBy("key_digest").agg(F.count_if(F.col("side") == "train").alias("a"), F.count_if(F.col("side") == "test").alias("b"))
+    return _sized(rows, held.filter((F.col("a") >= min_train) & (F.col("b") > 0)))
+
+
+def cross_matches(train: DataFrame, test: DataFrame, key: str, id_col: str = "doc_id", label: str = "label", test_id: str = "doc_id", min_train: int = 1) -> DataFrame:
+    """Keys present in both corpora.  Each side is aggregated before the join, so no pair is ever formed; `cross_members` lists the rows."""
+    a = train.select(id_col, label, T.preview("text_norm").alias("_p"), _digest(key).alias("_k"))
+    b = test.select(F.col(test_id).alias("_tid"), T.preview("text_norm").alias("_p"), _digest(key).alias("_k"))
     ag = a.groupBy("_k").agg(
         F.count(F.lit(1)).alias("train_match_count"),
         *[F.count_if(F.col(label) == v).alias(f"train_{v}_count") for v in ("TRUE", "FALSE")],
         F.min_by("_p", F.col(id_col)).alias("train_example_text"),
     ).filter(F.col("train_match_count") >= min_train)
     bg = b.groupBy("_k").agg(F.count(F.lit(1)).alias("test_match_count"), F.min_by("_p", F.col("_tid")).alias("test_example_text"))
-    both = bg.join(ag, "_k")
-    ids_a = _first_ids(a.select("_k", id_col, label).join(both.select("_k"), "_k", "left_semi"), id_col, show, label)
-    ids_b = _first_ids(b.select("_k", "_tid").join(both.select("_k"), "_k", "left_semi"), "_tid", show)
     n = F.col("train_match_count")
     return (
-        both.join(ids_a.withColumnRenamed("row_ids", "train_row_ids").withColumnRenamed("row_labels", "train_labels"), "_k")
-        .join(ids_b.withColumnRenamed("row_ids", "test_row_ids"), "_k")
+        bg.join(ag, "_k")
         .withColumn("train_TRUE_rate", F.col("train_TRUE_count") / n)
         .withColumn("train_FALSE_rate", F.col("train_FALSE_count") / n)
         .withColumn("cross_pair_count", n * F.col("test_match_count"))
@@ -156,17 +162,24 @@ def _dense_scorer(cp: pd.DataFrame, qp: pd.DataFrame) -> np.ndarray:
     return np.stack(qp["vec"].to_numpy()).astype(np.float64) @ np.stack(cp["vec"].to_numpy()).astype(np.float64).T
 
 
-def tfidf_vectors(docs: DataFrame, grams: Column, id_col: str, min_df: int = 2, max_features: int = 200_000) -> DataFrame:
-    """(id, terms, weights): sublinear tf, smoothed idf, unit length, over the most frequent terms.
+#: A term's occurrences meet the vocabulary in so many parts.
+SALT = 8
+
+
+def tfidf_vectors(docs: DataFrame, grams: Column, id_col: str, min_df: int = 2, max_features: int | None = None) -> DataFrame:
+    """(id, terms, weights): sublinear tf, smoothed idf, unit length, over all terms (or the ``max_features`` most frequent).
 
-    Terms are 64-bit hashes.  Occurrence counts per document come from one map-side-combined
-    aggregate; the vocabulary is at most ``max_features`` rows of two numbers, hence the broadcast.
+    Terms are 64-bit hashes; two grams of one hash stay apart in the vocabulary.  Occurrence counts per document come from one
+    map-side-combined aggregate, and the vocabulary, which grows with the corpus, is joined rather than broadcast.  A term of many
+    documents is dealt out by id: the vocabulary is repeated SALT times.
     """
     occ = K.explode_rows(docs, [id_col], grams, "g").groupBy(id_col, F.xxhash64("g").alias("term"), "g").agg(F.count(F.lit(1)).alias("tf"))
     n = docs.count()
     vocab = occ.groupBy("term", "g").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total")).filter(F.col("df") >= min_df)
-    vocab = most_frequent(vocab, "total", "g", max_features).select("term", (F.log((1.0 + n) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
-    weighted = occ.join(F.broadcast(vocab), "term").select(id_col, "term", ((1.0 + F.log("tf")) * F.col("idf")).alias("w"))
+    vocab = vocab if max_features is None else most_frequent(vocab, "total", "g", max_features)
+    vocab = vocab.select("term", "g", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("_s"), (F.log((1.0 + n) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
+    salted = occ.withColumn("_s", F.pmod(F.xxhash64(id_col), F.lit(SALT)).cast("int"))
+    weighted = salted.join(vocab, ["term", "g", "_s"]).select(id_col, "term", ((1.0 + F.log("tf")) * F.col("idf")).alias("w"))
     rows = weighted.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("term", "w"))).alias("tw"))
     norm = F.sqrt(F.aggregate("tw", F.lit(0.0), lambda a, x: a + x["w"] * x["w"]))
     # The norm is bound once per row; as a plain column it would be inlined into the lambda.
@@ -182,7 +195,7 @@ GRAMS = {
 
 def tfidf_neighbors(
     train: DataFrame, test: DataFrame, method: str = "word_tfidf_1_2", k: int = 5, train_id: str = "doc_id", test_id: str = "doc_id",
-    text: str = "text_norm", min_df: int = 2, max_features: int = 200_000,
+    text: str = "text_norm", min_df: int = 2, max_features: int | None = None,
 ) -> DataFrame:
     """Exact top-k cosine neighbours of each test row; the weights are fitted on both sides together."""
     grams = GRAMS[method](F.col("_text"))

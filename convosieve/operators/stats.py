@@ -169,13 +169,13 @@ def correlations(df: DataFrame, features: list[str], label: str = "label") -> Da
 
 
 def ngram_log_odds(
-    df: DataFrame, grams: Column, label: str = "label", min_df: int = 3, max_features: int = 30000, alpha: float = 1.0,
+    df: DataFrame, grams: Column, label: str = "label", min_df: int = 3, max_features: int | None = None, alpha: float = 1.0,
 ) -> DataFrame:
     """Smoothed log-odds of each n-gram in TRUE against FALSE documents.
 
     Occurrences and first occurrences go through one aggregate by gram, combined map-side,
     so frequent grams never travel row by row.  The vocabulary keeps grams in at least
-    ``min_df`` documents, then the ``max_features`` most frequent.
+    ``min_df`` documents, all of them unless ``max_features`` asks for the most frequent only.
     """
     once = F.get(F.transform(F.array(grams), lambda g: F.concat(
         F.transform(g, lambda x: F.struct(x.alias("ngram"), F.lit(1).alias("tf"), F.lit(0).alias("first"))),
@@ -188,12 +188,11 @@ def ngram_log_odds(
         F.sum(F.when(F.col(label) == "FALSE", F.col("tf")).otherwise(0)).alias("false_count"),
     )
     vocab = vocab.filter(F.col("df") >= min_df)
-    kept = most_frequent(vocab.withColumn("total", F.col("true_count") + F.col("false_count")), "total", "ngram", max_features)
-    # The vocabulary is at most max_features rows from here on.
-    everything = Window.partitionBy(F.lit(0))
-    size = F.count(F.lit(1)).over(everything)
-    tt = F.sum("true_count").over(everything) + alpha * size
-    ft = F.sum("false_count").over(everything) + alpha * size
+    if max_features is not None:
+        vocab = most_frequent(vocab.withColumn("total", F.col("true_count") + F.col("false_count")), "total", "ngram", max_features)
+    kept = vocab
+    sums = kept.agg(F.struct(F.count(F.lit(1)).alias("n"), F.sum("true_count").alias("t"), F.sum("false_count").alias("f")).alias("sums")).scalar()
+    tt, ft = sums["t"] + alpha * sums["n"], sums["f"] + alpha * sums["n"]
     odds = F.log((F.col("true_count") + alpha) / tt) - F.log((F.col("false_count") + alpha) / ft)
     return kept.select("ngram", "true_count", "false_count", odds.alias("log_odds_true_minus_false"))
 
