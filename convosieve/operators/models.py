@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import itertools
 import math
+import warnings
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Transformer
 from pyspark.ml.classification import LogisticRegression
@@ -25,6 +27,19 @@ from convosieve.operators.sampling import folds
 from convosieve.session import checkpoint
 
 
+#: Every term of the rows that a model is fitted on.
+ALL_TERMS = 2**31 - 1
+#: The tolerance ends a fit; one that gets here is reported as not converged.
+MAX_ITER = 2_000
+
+
+def fit_sample(df: DataFrame, id_col: str, rows: int, seed: int = 42) -> DataFrame:
+    """About `rows` labelled rows to fit on, the share of them with the lowest hashes of seed and id; all, if there are fewer."""
+    share = rows / max(df.count(), 1)
+    draw = F.pmod(F.xxhash64(F.lit(seed), id_col), F.lit(1_000_000)) / 1_000_000
+    return df.filter(draw < share)
+
+
 class EngineeredFeatures(Transformer, HasInputCol, DefaultParamsReadable, DefaultParamsWritable):
     """Pipeline stage that appends the 15 engineered text features."""
 
@@ -63,7 +78,7 @@ def add_grams(df: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumn("wg", K.word_ngrams(t, 1, 2)).withColumn("cg", K.char_wb_ngrams(t, 3, 5))
 
 
-def text_features(fit_on: DataFrame, tables: list[DataFrame], engineered: bool = False, min_df: int = 2, vocab: int = 100_000, chars: bool = True) -> list[DataFrame]:
+def text_features(fit_on: DataFrame, tables: list[DataFrame], engineered: bool = False, min_df: int = 2, vocab: int = ALL_TERMS, chars: bool = True) -> list[DataFrame]:
     """``features`` vectors fitted on one table and applied to several: word and character TF-IDF, optional scaled features."""
     gram_cols = ["wg", "cg"] if chars else ["wg"]
     base = add_grams(fit_on)
@@ -89,32 +104,39 @@ def text_features(fit_on: DataFrame, tables: list[DataFrame], engineered: bool =
     return out
 
 
-def fit_logreg(train: DataFrame, y: str = "y", c: float = 1.0, balanced: bool = True, max_iter: int = 100, standardize: bool = False):
+def fit_logreg(train: DataFrame, y: str = "y", c: float = 1.0, balanced: bool = True, max_iter: int = MAX_ITER, standardize: bool = False):
     """L2 logistic regression; ``c`` is the inverse penalty of the summed loss."""
     weights = class_weights(train, y) if balanced else {0: 1.0, 1: 1.0}
     weighted = train.withColumn("_w", _weight_col(weights, y))
     n = weighted.agg(F.sum("_w")).first()[0]
     lr = LogisticRegression(featuresCol="features", labelCol=y, weightCol="_w", regParam=1.0 / (c * n), elasticNetParam=0.0, maxIter=max_iter, standardization=standardize)
-    return lr.fit(weighted)
+    model = lr.fit(weighted)
+    if model.summary.totalIterations >= max_iter:
+        warnings.warn(f"logistic regression did not converge in {max_iter} iterations", stacklevel=2)
+    return model
 
 
 def predict(model, df: DataFrame, out: str = "prob") -> DataFrame:
     return model.transform(df).withColumn(out, vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction")
 
 
-def tfidf_baseline(train: DataFrame, test: DataFrame, engineered: bool = False, id_col: str = "doc_id", chars: bool = True, vocab: int = 100_000, max_iter: int = 50) -> DataFrame:
-    """(id, prob) of the test rows."""
-    tr, te = text_features(train, [train, test], engineered, vocab=vocab, chars=chars)
+def tfidf_baseline(train: DataFrame, test: DataFrame, engineered: bool = False, id_col: str = "doc_id", chars: bool = True, vocab: int = ALL_TERMS, max_iter: int = MAX_ITER, fit_rows: int = 200_000) -> DataFrame:
+    """(id, prob) of all test rows.  ``fit_rows`` bounds the labelled rows of the fit, and with them the vocabulary."""
+    fit = fit_sample(train, id_col, fit_rows)
+    tr, te = text_features(fit, [fit, test], engineered, vocab=vocab, chars=chars)
     return predict(fit_logreg(checkpoint(tr.select("y", "features")), max_iter=max_iter), te).select(id_col, "prob")
 
 
-def cross_validate(train: DataFrame, test: DataFrame | None = None, k: int = 5, engineered: bool = True, id_col: str = "doc_id", chars: bool = True, vocab: int = 100_000, max_iter: int = 50, seed: int = 42) -> dict[str, DataFrame]:
-    """Out-of-fold scores, fold-averaged test scores and the OOF threshold sweep."""
+def cross_validate(train: DataFrame, test: DataFrame | None = None, k: int = 5, engineered: bool = True, id_col: str = "doc_id", chars: bool = True, vocab: int = ALL_TERMS, max_iter: int = MAX_ITER, seed: int = 42, fit_rows: int = 200_000) -> dict[str, DataFrame]:
+    """Out-of-fold scores of all rows, fold-averaged scores of all test rows and the OOF threshold sweep.
+
+    ``fit_rows`` bounds the labelled rows that each fold's model is fitted on, and with them its vocabulary.
+    """
     folded = folds(train.select(id_col, "y"), "y", k, id_col, seed)
-    data = train.join(folded.select(id_col, "fold"), id_col).persist()
+    data = checkpoint(train.join(folded.select(id_col, "fold"), id_col))
     oof, tests = None, None
     for i in range(k):
-        fit, held = data.filter(F.col("fold") != i), data.filter(F.col("fold") == i)
+        fit, held = fit_sample(data.filter(F.col("fold") != i), id_col, fit_rows, seed), data.filter(F.col("fold") == i)
         tables = text_features(fit, [fit, held] + ([test] if test is not None else []), engineered, vocab=vocab, chars=chars)
         model = fit_logreg(checkpoint(tables[0].select("y", "features")), max_iter=max_iter)
         part = predict(model, tables[1]).select(id_col, "y", "fold", "prob")
@@ -122,7 +144,7 @@ def cross_validate(train: DataFrame, test: DataFrame | None = None, k: int = 5,
         if test is not None:
             tp = predict(model, tables[2]).select(id_col, F.lit(i).alias("fold"), "prob")
             tests = tp if tests is None else tests.unionByName(tp)
-    oof = oof.persist()
+    oof = checkpoint(oof)
     result = {"oof": oof, "sweep": threshold_sweep(oof, "prob", lex.THRESHOLD_GRID)}
     if tests is not None:
         result["test"] = fold_average(tests, id_col)
@@ -134,7 +156,7 @@ def fold_average(scores: DataFrame, id_col: str = "doc_id", prob: str = "prob")
     return scores.groupBy(id_col).agg(F.avg(prob).alias("prob_mean"), F.stddev_pop(prob).alias("prob_std"), F.count(prob).alias("models"))
 
 
-def embedding_baseline(train: DataFrame, test: DataFrame, vec: str = "embedding", id_col: str = "vec_id", max_iter: int = 50) -> DataFrame:
+def embedding_baseline(train: DataFrame, test: DataFrame, vec: str = "embedding", id_col: str = "vec_id", max_iter: int = MAX_ITER) -> DataFrame:
     to = lambda d: d.withColumn("features", array_to_vector(F.transform(vec, lambda x: x.cast("double"))))
     return predict(fit_logreg(to(train), max_iter=max_iter), to(test)).select(id_col, "prob")
 
@@ -142,9 +164,14 @@ def embedding_baseline(train: DataFrame, test: DataFrame, vec: str = "embedding"
 # --- style calibrator -------------------------------------------------------------
 
 
-def _scaled(fit_on: DataFrame, features: list[str]):
-    s = fit_on.agg(*[F.avg(f).alias(f"m{i}") for i, f in enumerate(features)], *[F.stddev_pop(f).alias(f"s{i}") for i, f in enumerate(features)]).first()
-    vec = F.array(*[(F.col(f) - s[f"m{i}"]) / (s[f"s{i}"] or 1.0) for i, f in enumerate(features)])
+def _moments(df: DataFrame, features: list[str]) -> tuple[list[float], list[float]]:
+    """Means and population deviations (1 for a constant feature)."""
+    s = df.agg(*[F.avg(f) for f in features], *[F.stddev_pop(f) for f in features]).first()
+    return [m or 0.0 for m in s[: len(features)]], [d or 1.0 for d in s[len(features) :]]
+
+
+def _scaled(mean: list[float], dev: list[float], features: list[str]):
+    vec = F.array(*[(F.col(f) - m) / d for f, m, d in zip(features, mean, dev)])
     return lambda d: d.withColumn("features", array_to_vector(vec))
 
 
@@ -153,22 +180,41 @@ def calibrator_frame(scored: DataFrame, text: str = "text", prob: str = "prob")
     return add_features(scored, "style", text).withColumn("score_logit", safe_logit(prob))
 
 
-def calibrator_search(frame: DataFrame, feature_sets=None, c_values=None, class_weight=("none", "balanced"), k: int = 5, id_col: str = "doc_id", grid=None, max_iter: int = 100) -> DataFrame:
-    """One row per candidate: tuned threshold (ties towards 0.32), F1, AUC over inner out-of-fold scores."""
+def calibrator_search(
+    frame: DataFrame, feature_sets=None, c_values=None, class_weight=("none", "balanced"), k: int = 5, id_col: str = "doc_id", grid=None,
+    max_iter: int = MAX_ITER, fit_rows: int = 200_000, parallelism: int = 8,
+) -> DataFrame:
+    """One row per candidate: tuned threshold (ties towards 0.32), F1, AUC over inner out-of-fold scores.
+
+    Features are scaled once per fold and feature set; candidates are fitted ``parallelism`` at a time on at most about ``fit_rows``
+    labelled rows.  All rows are then scored by all candidates in one pass over the models of their fold, a table of one row per
+    candidate and fold.
+    """
     feature_sets = feature_sets or lex.CALIBRATOR_FEATURE_SETS
     columns = sorted({c for cols in feature_sets.values() for c in cols})
-    # Every candidate plans many small jobs over this table: cut its lineage once.
+    # Every candidate runs many small jobs over this table: cut its lineage once.
     data = checkpoint(folds(frame.select(id_col, "y", *columns), "y", k, id_col))
-    parts = None
-    for (name, cols), c, cw in itertools.product(feature_sets.items(), c_values or lex.CALIBRATOR_C, class_weight):
-        key = f"{name}|{c}|{cw}"
-        for i in range(k):
-            fit, held = data.filter(F.col("fold") != i), data.filter(F.col("fold") == i)
-            scale = _scaled(fit, cols)
-            model = fit_logreg(scale(fit), c=c, balanced=cw == "balanced", max_iter=max_iter)
-            part = predict(model, scale(held)).select(id_col, "y", F.lit(key).alias("candidate"), "prob")
-            parts = part if parts is None else parts.unionByName(part)
-    oof = checkpoint(parts)
+    tables = {}
+    for (name, cols), i in itertools.product(feature_sets.items(), range(k)):
+        fit = fit_sample(data.filter(F.col("fold") != i), id_col, fit_rows)
+        mean, dev = _moments(fit, cols)
+        tables[name, i] = mean, dev, checkpoint(_scaled(mean, dev, cols)(fit).select("y", "features"))
+
+    def candidate(task) -> tuple:
+        (name, i), c, cw = task
+        mean, dev, scaled = tables[name, i]
+        model = fit_logreg(scaled, c=c, balanced=cw == "balanced", max_iter=max_iter)
+        raw = {f: float(w) / s for f, w, s in zip(feature_sets[name], model.coefficients.toArray(), dev)}
+        start = float(model.intercept) - sum(raw[f] * m for f, m in zip(feature_sets[name], mean))
+        return f"{name}|{c}|{cw}", i, start, [raw.get(f, 0.0) for f in columns]
+
+    tasks = list(itertools.product(tables, c_values or lex.CALIBRATOR_C, class_weight))
+    with ThreadPool(parallelism) as pool:
+        models = pool.map(candidate, tasks, chunksize=1)
+    models = frame.sparkSession.createDataFrame(models, "candidate string, fold int, start double, w array<double>")
+    scored = data.withColumn("x", F.array(*[F.col(c).cast("double") for c in columns])).join(F.broadcast(models), "fold")
+    margin = F.aggregate(F.zip_with("x", "w", lambda x, w: x * w), F.col("start"), lambda a, b: a + b)
+    oof = checkpoint(scored.select(id_col, "y", "candidate", (1.0 / (1.0 + F.exp(-margin))).alias("prob")))
     best = best_threshold(threshold_sweep(oof, "prob", grid or lex.THRESHOLD_GRID_WIDE, group="candidate"), 0.32, "candidate")
     auc = roc_auc(oof, "prob", group="candidate").select("candidate", "roc_auc")
     split = F.split("candidate", r"\|")
@@ -179,8 +225,8 @@ def calibrator_search(frame: DataFrame, feature_sets=None, c_values=None, class_
 
 def fit_calibrator(frame: DataFrame, test: DataFrame, features: list[str], c: float, balanced: bool, id_col: str = "doc_id") -> dict[str, DataFrame]:
     """Final model: calibrated test scores and the coefficients by absolute size."""
-    scale = _scaled(frame, features)
-    model = fit_logreg(scale(frame), c=c, balanced=balanced)
+    scale = _scaled(*_moments(frame, features), features)
+    model = fit_logreg(checkpoint(scale(frame).select("y", "features")), c=c, balanced=balanced)
     scores = predict(model, scale(test), "calibrated_prob_TRUE")
     coefs = [(f, float(w), abs(float(w))) for f, w in zip(features, model.coefficients.toArray())]
     table = frame.sparkSession.createDataFrame(coefs, "feature string, coefficient double, abs_coefficient double")
