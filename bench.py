@@ -18,6 +18,7 @@ HEADLINE = [
     "percentile_ranks", "rank_ensemble_manifest", "swap_manifest", "route_summary", "stratified_folds", "style_effect_sizes", "word_log_odds",
     "word_ngram_counts", "duplicate_groups_all_documents", "cross_matches_template_key", "word_tfidf_neighbors", "embedding_neighbors", "strong_patterns",
     "teacher_soft_targets", "hard_subset", "occurrence_alignment_report", "heuristic_tags",
+    "char_tfidf_neighbors", "duplicate_group_members_all_documents", "char_log_odds", "near_duplicate_pairs",
 ]
 
 
