@@ -1,14 +1,17 @@
 """Exact n-gram Jaccard join through a token-group matrix.
 
-A document is the set of its hashed word shingles; equal sets are one node.  Each node probes with its first tokens in a common order:
-where n tokens must share at least `percent` per cent with a partner's, the first (n less that share, plus `depth`) tokens of either
-side have at least `depth` in common.  Tokens of many documents come last in the order, so passages that many documents share hardly
-ever probe; which ones these are is told by a fixed number of counters over all documents.
-
-Groups of similar nodes form first: nodes that share enough probing tokens with the least node of these tokens are compared with that
-leader (and with the greatest), and what links is one group.  The matrix holds, per probing token, the groups that have it, so a node's overlap with a
-group's union of tokens is a count of matrix cells.  It bounds the overlap with every member; groups below the bound stay closed, the
-members of the others are bounded the same way and then compared exactly.  Pairs within a group are never listed: they are linked.
+A document is the set of its hashed word shingles; equal sets are one node.  Two filters and one index, all without loss:
+
+* Each node probes with its first tokens by hash.  Where n tokens must share at least `percent` per cent with a partner's, the first
+  (n less that share, plus `depth`) tokens of either side have at least `depth` in common; a node with fewer probes that any other
+  node has too can link with nothing and goes.  That leaves few nodes, whose whole sets are read.
+* Among these the number of nodes that have a token is exact.  Tokens go in the order of that number, rarest first, and only as many
+  as can hold the first token in common with a partner are indexed.  A node's place of a token bounds what it can share from there
+  on, so a pair (or a node and a group) meets at its first common token only where enough is left on both sides.
+* Groups of similar nodes form first: nodes are compared with the most ordinary node (with the smallest share of tokens of its own)
+  and the least node of their tokens, and what links is one group.  The matrix holds, per indexed token, the groups that have it with
+  bounds over their members; groups below the bound stay closed, the members of the others are bounded the same way and then compared
+  exactly.  Pairs within a group are never listed: they are linked.
 """
 
 from __future__ import annotations
@@ -25,15 +28,9 @@ from convosieve.llm.common import arrow_schema, batch, free_name, lower_words, s
 from convosieve.llm.graphs import components
 from convosieve.llm.hashing import Runs, hashed, word_hashes
 
-COUNTERS, CHUNK = 1 << 20, 1 << 14
-#: A counter of so many times the mean marks its tokens as common.
-COMMON = 1.25
-#: A set of n tokens probes deep enough to have 1 + n / DEPTH in common with a partner's probes ...
+#: A set of n tokens probes deep enough to have 1 + n / DEPTH in common with a partner's probes.
 DEPTH = 20
-#: ... and leaves out one in so many of these, the ones that most sets probe with.
-SPARE = 4
 SIGNATURES = "doc_id long, key long, n_shingles long, node long, probe array<long>"
-COUNTS = "chunk int, salt int, counts binary"
 
 
 def shingle_set(text: str | None, size: int, memo) -> np.ndarray:
@@ -50,62 +47,19 @@ def _long_lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(values.view(np.int64)))
 
 
-def _count(size: int):
-    schema = arrow_schema(COUNTS)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        memo, totals = word_hashes(), np.zeros(COUNTERS, "<i8")
-        for own in batches:
-            for text in own.column("text").to_pylist():
-                np.add.at(totals, (shingle_set(text, size, memo) >> np.uint64(1)) % np.uint64(COUNTERS), 1)
-        salt = TaskContext.get().partitionId() // 256
-        rows = [(c, salt, part.tobytes()) for c, part in enumerate(totals.reshape(-1, CHUNK)) if part.any()]
-        yield batch(rows, schema)
-
-    return count
-
-
-def _add(schema: pa.Schema):
-    def add(counts: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(c, "<i8") for c in counts.column("counts").to_pylist())
-        return pa.Table.from_batches([batch([(counts.column("chunk")[0].as_py(), counts.column("salt")[0].as_py(), total.tobytes())], schema)])
-
-    return add
-
-
-def common_counters(docs: DataFrame, size: int) -> np.ndarray:
-    """Marks of the counters that common tokens fall on, from all documents.  Counters travel in chunks and are added up 256 tasks at a
-    time, then over these; the driver gets COUNTERS numbers, however large the table."""
-    add = _add(arrow_schema(COUNTS))
-    counts = docs.select("text").mapInArrow(_count(size), COUNTS).groupBy("chunk", "salt").applyInArrow(add, COUNTS)
-    totals = np.zeros(COUNTERS, np.int64)
-    for r in counts.groupBy("chunk").applyInArrow(add, COUNTS).toLocalIterator():
-        totals[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["counts"], "<i8")
-    return totals > COMMON * max(1.0, totals.mean())
-
-
-def _sign(size: int, percent: int, common):
+def _sign(size: int, percent: int):
     schema = arrow_schema(SIGNATURES)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, marks = word_hashes(), common.value
+        memo = word_hashes()
         for own in batches:
             sizes, nodes, probe = [], [], []
             for text in own.column("text").to_pylist():
                 found = shingle_set(text, size, memo)
                 n = len(found)
                 sizes.append(n)
-                if not n:
-                    nodes.append(None)
-                    probe.append(found)
-                    continue
-                tokens = found >> np.uint64(1)
-                rank = marks[tokens % np.uint64(COUNTERS)].astype(np.uint64) << np.uint64(63) | tokens
-                take = min(n, n - -(-percent * n // 100) + 1 + n // DEPTH)
-                probe.append(np.partition(rank, take - 1)[:take])
-                nodes.append(xxhash.xxh3_64_intdigest(found.tobytes()) - (1 << 63))
+                nodes.append(xxhash.xxh3_64_intdigest(found.tobytes()) - (1 << 63) if n else None)
+                probe.append(found[: n - -(-percent * n // 100) + 1 + n // DEPTH])
             columns = [own.column("doc_id"), own.column("key"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), _long_lists(probe)]
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
 
@@ -129,69 +83,85 @@ def _fits(a: str, b: str, percent: int):
     return (100 * F.col(a) >= percent * F.col(b)) & (100 * F.col(b) >= percent * F.col(a))
 
 
-def _spare(n):
-    return F.floor(F.floor(n / DEPTH) / SPARE)
-
-
-def _enough(shared: str, least, n, m):
-    """As many common probing tokens as sets of n and m tokens, the smaller of at least `least`, must have left."""
-    return F.col(shared) >= 1 + F.floor(least / DEPTH) - _spare(n) - _spare(m)
-
-
 class Join:
-    """The steps over one table: signatures, nodes, probing tokens, groups, candidates, links."""
+    """The steps over one table: signatures, nodes, the nodes that may link, their sets and index, groups, candidates, links."""
 
     def __init__(self, docs: DataFrame, size: int, percent: int):
         self.docs, self.size, self.percent = docs, size, percent
-        common = docs.sparkSession.sparkContext.broadcast(common_counters(docs, size))  # COUNTERS bytes
-        self.signatures = stored(docs.mapInArrow(_sign(size, percent, common), SIGNATURES))
+        self.signatures = stored(docs.mapInArrow(_sign(size, percent), SIGNATURES))
         some = self.signatures.where("node IS NOT NULL").groupBy("node")
         self.nodes = stored(some.agg(F.min("doc_id").alias("doc_id"), F.min("key").alias("key"), F.first("n_shingles").cast("int").alias("n"), F.first("probe").alias("probe")))
-        # Dealt out by token once; only tokens of two nodes or more go on.
-        each = self.nodes.select(F.explode("probe").alias("token"), "node").repartition("token")
-        ends = each.groupBy("token").agg(F.min("node").alias("leader"), F.max("node").alias("last"), F.count("*").alias("df")).where("leader < last")
-        shared = each.join(ends, "token").join(self.nodes.select("node", "n"), "node")
-        common_first = Window.partitionBy("node").orderBy(F.desc("df"), "token")
-        shared = shared.withColumn("place", F.row_number().over(common_first)).where(F.col("place") > _spare(F.col("n")))
-        self.tokens = stored(shared.select("token", "node", "n", "leader", "last"))
-
-    def sets(self, wanted: DataFrame) -> DataFrame:
+        self.sets = self.whole_sets(self.likely())
+        self.index = self.rare_first()
+
+    def likely(self) -> DataFrame:
+        """(node, key) of the nodes with enough probes that another node has too."""
+        each = self.nodes.select("node", F.explode("probe").alias("token"))
+        often = each.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").select("token")
+        shared = each.join(often, "token").groupBy("node").agg(F.count("*").alias("shared"))
+        smallest = F.ceil(self.percent * F.col("n") / 100)  # of a partner
+        enough = F.least(smallest, 1 + F.floor(smallest / DEPTH))  # a set that probes with all its tokens has `smallest` in common
+        return stored(self.nodes.join(shared, "node").where(F.col("shared") >= enough).select("node", "key"))
+
+    def whole_sets(self, wanted: DataFrame) -> DataFrame:
         """The token sets of some nodes, from one text each."""
-        keys = self.nodes.join(wanted.select("node").distinct(), "node", "left_semi").select("node", "key")
-        texts = self.docs.join(keys.select("key"), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
-        return stored(keys.join(texts, "key").select("node", "text").mapInArrow(_sets(self.size), "node long, tokens array<long>"))
-
-    def linked(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        texts = self.docs.join(wanted.select("key"), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+        return stored(wanted.join(texts, "key").select("node", "text").mapInArrow(_sets(self.size), "node long, tokens array<long>"))
+
+    def rare_first(self) -> DataFrame:
+        """The index: token, node, n, own (tokens that no other node has), left (tokens from this one on), before (the token before).
+
+        Tokens of one node come first in the order and never meet, so they are counted and left out.
+        """
+        each = self.sets.select("node", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+        often = each.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+        order = Window.partitionBy("node").orderBy("df", "token")
+        rows = each.join(often, "token").select(
+            "*", F.row_number().over(order).alias("place"), F.lag("token").over(order).alias("before"), F.count("*").over(Window.partitionBy("node")).alias("met")
+        )
+        rows = rows.withColumn("own", F.col("n") - F.col("met")).withColumn("left", F.col("met") - F.col("place") + 1)
+        return stored(rows.where(100 * F.col("left") >= self.percent * F.col("n")).select("token", "node", "n", "own", "left", "before"))
+
+    def reaches(self, left: str, other_left: str, n: str, m: str):
+        """Sets of n and m tokens that share what is left on the scarcer side would be similar enough."""
+        return (100 + self.percent) * F.least(left, other_left) >= self.percent * (F.col(n) + F.col(m))
+
+    def linked(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose sets are similar enough."""
-        a, b = sets.select(F.col("node").alias("a"), F.col("tokens").alias("ta")), sets.select(F.col("node").alias("b"), F.col("tokens").alias("tb"))
+        a, b = (self.sets.select(F.col("node").alias(x), F.col("tokens").alias(f"t{x}")) for x in "ab")
         met = pairs.join(a, "a").join(b, "b").withColumn("both", F.size(F.array_intersect("ta", "tb")))
         union = F.size("ta") + F.size("tb") - F.col("both")
         return met.where(100 * F.col("both") >= self.percent * union).select("a", "b")
 
     def group_links(self) -> DataFrame:
-        """Links of nodes with the least and the greatest node of their tokens."""
-        leaders = self.tokens.select("node", "n", F.explode(F.array("leader", "last")).alias("b"))
-        pairs = leaders.where("node <> b").groupBy(F.col("node").alias("a"), "b", "n").agg(F.count("*").alias("shared"))
-        pairs = pairs.join(self.nodes.select(F.col("node").alias("b"), F.col("n").alias("m")), "b")
-        pairs = stored(pairs.where(_enough("shared", F.least("n", "m"), F.col("n"), F.col("m")) & _fits("n", "m", self.percent)).select("a", "b"))
-        return stored(self.linked(pairs, self.sets(pairs.select(F.explode(F.array("a", "b")).alias("node")))))
+        """Links of nodes with the most ordinary and the least node of their tokens."""
+        row = F.struct("node", "n", "left")
+        ordinary = F.min(F.struct((F.col("own") / F.col("n")).alias("share"), row.alias("row"))).alias("ordinary")
+        leaders = self.index.groupBy("token").agg(ordinary, F.min(row).alias("least"), F.count("*").alias("df")).where("df > 1")
+        leaders = leaders.select("token", F.explode(F.array_distinct(F.array("ordinary.row", "least"))).alias("b"))
+        leaders = leaders.select("token", F.col("b.node").alias("b"), F.col("b.n").alias("m"), F.col("b.left").alias("other_left"))
+        pairs = self.index.join(leaders, "token").where((F.col("node") != F.col("b")) & self.reaches("left", "other_left", "n", "m"))
+        pairs = pairs.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
+        return stored(self.linked(stored(pairs)))
 
     def other_links(self, groups: DataFrame) -> DataFrame:
-        """Links between nodes of different groups, given (node, component) of the grouped ones."""
-        tokens = self.tokens.join(groups, "node", "left").select("token", "node", "n", F.coalesce("component", "node").alias("group"))
-        tokens = stored(tokens)
-        matrix = tokens.groupBy("token", F.col("group").alias("other")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-        near = (100 * F.col("n") >= self.percent * F.col("lo")) & (100 * F.col("hi") >= self.percent * F.col("n"))
-        met = tokens.join(matrix, "token").where((F.col("other") < F.col("group")) & near)
-        met = met.groupBy("node", "n", "other").agg(F.count("*").alias("shared"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-        smallest = F.least(F.col("n"), F.greatest(F.col("lo"), F.col("n") * self.percent / 100))
-        largest = F.least(F.col("hi"), F.col("n") * 100 / self.percent)
-        opened = stored(met.where(_enough("shared", smallest, F.col("n"), largest)).select("node", "n", "other"))
-        members = tokens.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("group").alias("other"), "token")
-        inside = opened.join(tokens.select("node", "token"), "node").join(members, ["other", "token"]).where(_fits("n", "m", self.percent))
-        inside = inside.groupBy(F.col("node").alias("a"), "b", "n", "m").agg(F.count("*").alias("shared"))
-        pairs = stored(inside.where(_enough("shared", F.least("n", "m"), F.col("n"), F.col("m"))).select("a", "b"))
-        return self.linked(pairs, self.sets(pairs.select(F.explode(F.array("a", "b")).alias("node"))))
+        """Links between nodes of different groups, given (node, component) of the grouped ones.
+
+        A pair is met at its first common token: where both have the same token before this one, they have met there.
+        """
+        index = stored(self.index.join(groups, "node", "left").withColumn("group", F.coalesce("component", "node")).drop("component"))
+        bounds = [F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("left").alias("most_left"), F.min("before").alias("before_lo"), F.max("before").alias("before_hi")]
+        matrix = index.groupBy("token", F.col("group").alias("other")).agg(*bounds, (F.count("before") < F.count("*")).alias("starts"))
+        smallest = F.greatest(F.col("lo"), F.ceil(F.col("n") * self.percent / 100))
+        fits = (100 * F.col("n") >= self.percent * F.col("lo")) & (100 * F.col("hi") >= self.percent * F.col("n"))
+        enough = (100 + self.percent) * F.least("left", "most_left") >= self.percent * (F.col("n") + smallest)
+        earlier = ~F.col("starts") & (F.col("before_lo") == F.col("before_hi")) & F.col("before").eqNullSafe(F.col("before_lo"))
+        opened = index.join(matrix, "token").where((F.col("other") < F.col("group")) & fits & enough & ~earlier)
+        opened = stored(opened.select("token", "other", F.col("node").alias("a"), "n", "left", "before"))
+        members = index.select("token", F.col("group").alias("other"), F.col("node").alias("b"), F.col("n").alias("m"), F.col("left").alias("other_left"), F.col("before").alias("other_before"))
+        met = opened.join(members, ["token", "other"]).where(_fits("n", "m", self.percent) & self.reaches("left", "other_left", "n", "m"))
+        met = met.where(F.col("before").isNull() | ~F.col("before").eqNullSafe(F.col("other_before")))
+        return self.linked(stored(met.select("a", "b").distinct()))
 
     def components(self) -> DataFrame:
         """(node, component) of the nodes with links."""

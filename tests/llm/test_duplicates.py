@@ -71,9 +71,8 @@ def test_components_are_exact(request, name, size, percent):
 
 
 def test_groups_do_not_hide_links(near, monkeypatch):
-    """The same without leaders, so that all links come from the matrix, and with nothing marked common."""
+    """The same without leaders, so that all links come from the matrix."""
     expected = brute_components(texts_of(near), 3, 90)
-    monkeypatch.setattr(jaccard, "COMMON", 10**9)
     monkeypatch.setattr(jaccard.Join, "group_links", lambda self: self.nodes.selectExpr("node AS a", "node AS b").limit(0))
     got = jaccard.similar(near, 3, 90).collect()
     assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == expected
