@@ -29,7 +29,11 @@ from convosieve.llm.graphs import components
 from convosieve.llm.hashing import Runs, hashed, word_hashes
 
 #: A set of n tokens probes deep enough to have 1 + n / DEPTH in common with a partner's probes.
-DEPTH = 20
+DEPTH = 10
+#: Nodes that go leave others without the probes they shared, so the first filter is run so often.  Any number is right.
+ROUNDS = 3
+#: Up to so many text keys are broadcast (8 bytes each); more are joined by a shuffle of the texts.
+KEYS = 1_000_000
 SIGNATURES = "doc_id long, key long, n_shingles long, node long, probe array<long>"
 
 
@@ -83,6 +87,12 @@ def _fits(a: str, b: str, percent: int):
     return (100 * F.col(a) >= percent * F.col(b)) & (100 * F.col(b) >= percent * F.col(a))
 
 
+def _alone(sets: DataFrame, tokens: str) -> DataFrame:
+    """(node, alone): how many of a node's tokens no other node has.  Rows of one node may repeat; hot tokens combine before the shuffle."""
+    ends = sets.select("node", F.explode(tokens).alias("token")).groupBy("token").agg(F.min("node").alias("node"), F.max("node").alias("last"))
+    return ends.where("node = last").groupBy("node").agg(F.count("*").alias("alone"))
+
+
 class Join:
     """The steps over one table: signatures, nodes, the nodes that may link, their sets and index, groups, candidates, links."""
 
@@ -90,23 +100,32 @@ class Join:
         self.docs, self.size, self.percent = docs, size, percent
         self.signatures = stored(docs.mapInArrow(_sign(size, percent), SIGNATURES))
         some = self.signatures.where("node IS NOT NULL").groupBy("node")
-        self.nodes = stored(some.agg(F.min("doc_id").alias("doc_id"), F.min("key").alias("key"), F.first("n_shingles").cast("int").alias("n"), F.first("probe").alias("probe")))
+        first = [F.min("doc_id").alias("doc_id"), F.min("key").alias("key"), F.first("n_shingles").cast("int").alias("n"), F.first(F.size("probe")).alias("probes")]
+        self.nodes = stored(some.agg(*first))
         self.sets = self.whole_sets(self.likely())
         self.index = self.rare_first()
 
     def likely(self) -> DataFrame:
-        """(node, key) of the nodes with enough probes that another node has too."""
-        each = self.nodes.select("node", F.explode("probe").alias("token"))
-        often = each.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").select("token")
-        shared = each.join(often, "token").groupBy("node").agg(F.count("*").alias("shared"))
+        """(node, key) of the nodes with enough probes that another such node has too."""
         smallest = F.ceil(self.percent * F.col("n") / 100)  # of a partner
         enough = F.least(smallest, 1 + F.floor(smallest / DEPTH))  # a set that probes with all its tokens has `smallest` in common
-        return stored(self.nodes.join(shared, "node").where(F.col("shared") >= enough).select("node", "key"))
+        rows = self.signatures.where("node IS NOT NULL").select("node", "probe")
+        nodes, once = self.nodes, rows.groupBy("node").agg(F.first("probe").alias("probe"))
+        for _ in range(ROUNDS):
+            shared = F.col("probes") - F.coalesce("alone", F.lit(0))
+            nodes = stored(nodes.join(_alone(rows, "probe"), "node", "left").where(shared >= enough).select("node", "key", "n", "probes"))
+            rows = once = stored(once.join(nodes.select("node"), "node", "left_semi"))
+        return nodes.select("node", "key")
 
     def whole_sets(self, wanted: DataFrame) -> DataFrame:
-        """The token sets of some nodes, from one text each."""
-        texts = self.docs.join(wanted.select("key"), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
-        return stored(wanted.join(texts, "key").select("node", "text").mapInArrow(_sets(self.size), "node long, tokens array<long>"))
+        """The token sets of some nodes, from one text each, without nodes that have too many tokens of their own."""
+        keys = wanted.select("key")
+        keys = F.broadcast(keys) if wanted.count() <= KEYS else keys
+        texts = self.docs.join(keys, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+        sets = stored(wanted.join(texts, "key").select("node", "text").mapInArrow(_sets(self.size), "node long, tokens array<long>"))
+        shared = F.col("n") - F.coalesce("alone", F.lit(0))
+        sizes = sets.select("node", F.size("tokens").alias("n")).join(_alone(sets, "tokens"), "node", "left")
+        return stored(sets.join(sizes.where(100 * shared >= self.percent * F.col("n")).select("node"), "node", "left_semi"))
 
     def rare_first(self) -> DataFrame:
         """The index: token, node, n, own (tokens that no other node has), left (tokens from this one on), before (the token before).
