@@ -31,7 +31,7 @@ from convosieve.llm.hashing import Runs, hashed, word_hashes
 #: A set of n tokens probes deep enough to have 1 + n / DEPTH in common with a partner's probes.
 DEPTH = 10
 #: Nodes that go leave others without the probes they shared, so the first filter is run so often.  Any number is right.
-ROUNDS = 3
+ROUNDS = 2
 #: Up to so many text keys are broadcast (8 bytes each); more are joined by a shuffle of the texts.
 KEYS = 1_000_000
 SIGNATURES = "doc_id long, key long, n_shingles long, node long, probe array<long>"
