@@ -66,6 +66,29 @@ def test_rules_keep_good_documents(spark, data):
     assert all(good) and sum(bad) < 0.6 * len(bad)
 
 
+def rare_language(n=30, seed=4):
+    """Good texts of a language with words of its own, common ones among them."""
+    rng = np.random.default_rng(seed)
+    often, seldom = ([f"{kind}{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200)] for kind in ("zu", "mkhon"))
+    return [" ".join(often[int(w) % 10] if k % 2 else seldom[int(w)] for k, w in enumerate(rng.integers(0, 200, 300))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("languages", [1000, 1])
+def test_rules_keep_good_documents_of_rare_languages(spark, documents, data, monkeypatch, languages):
+    monkeypatch.setattr(quality_rules, "LANGUAGES", languages, raising=False)  # 1: a block for about every language
+    planted = [(10**6 + i, t, "zu") for i, t in enumerate(rare_language())] + [(2 * 10**6, " ".join(f"unlike{i}" for i in range(300)), None)]
+    docs = documents.select("doc_id", "text", "lang").union(spark.createDataFrame(planted, "doc_id long, text string, lang string"))
+    rows = {r["doc_id"]: r for r in quality_rules.report(docs).collect()}
+    good = {r["doc_id"] for r in spark.read.parquet(f"{data}/labels.parquet").where("quality = 1").collect()} | {p[0] for p in planted}
+    fine = {d for d in good if d in rows and not rows[d]["base_failed"]}
+    assert fine >= {p[0] for p in planted} and all(rows[d]["kept"] for d in fine)
+    assert fine <= {r["doc_id"] for r in quality_rules.accepted(docs).collect()}
+    known = quality_rules.references(docs)
+    assert len(known.words) == len(known.classes) == 5
+    least = min(quality_rules.distances(planted[0][1].encode(), quality_rules.class_counts(planted[0][1].encode()), known))
+    assert least in (rows[10**6]["class_distance"], rows[10**6]["word_distance"])
+
+
 def held(doc_id, parts):
     return zlib.crc32(("null" if doc_id is None else str(doc_id)).encode()) % parts
 
