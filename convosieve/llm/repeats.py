@@ -6,6 +6,11 @@ are kept.  Each is then extended to the left and right to all passages of `lengt
 are compared again: agreeing neighbours are repeats, and all but the first (by id, then place) are later copies.  Overlapping passages
 join into maximal spans.
 
+`spans` gives a word that lies in a first and in a later passage to the first.  `cut` takes out every later passage whole, also where
+it is nested in a longer one that is first seen there; of a later passage that overlaps its own first copy (in a periodic text) the part
+behind that copy goes.  So no later passage stays, and each word that goes stands, at its place in the first copy, nearer to the
+front of the corpus, where at last it is kept.  Passages that arise only where a cut joins two sides are not looked for again.
+
 Neighbours are compared by counting equal keys before the shuffle, so a passage in a third of all documents is one row per task, not
 one group.  Equal texts are one text with its copies.  No pair of occurrences is ever made.
 """
@@ -77,7 +82,7 @@ def islands(covered: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges[::2].tolist(), edges[1::2].tolist()))
 
 
-SPANS = "key long, doc_id long, copies long, n_words long, firsts array<int>, first_ends array<int>, laters array<int>, later_ends array<int>"
+SPANS = "key long, doc_id long, copies long, n_words long, firsts array<int>, first_ends array<int>, laters array<int>, later_ends array<int>, cuts array<int>, cut_ends array<int>"
 
 
 def _join_spans(length: int):
@@ -86,17 +91,21 @@ def _join_spans(length: int):
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for own in batches:
             rows = []
-            for key, doc_id, copies, n, places in pairs(own, "key", "doc_id", "copies", "n_words", "places"):
+            for key, doc_id, copies, n, places, near in pairs(own, "key", "doc_id", "copies", "n_words", "places", "near"):
                 first, later = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
                 for place in places or ():
                     mark = later if place & 1 else first
                     mark[place >> 1] += 1
                     mark[(place >> 1) + length] -= 1
-                first, later = np.cumsum(first)[:-1] > 0, np.cumsum(later)[:-1] > 0
+                cut = later.copy()
+                for place in near or ():
+                    cut[place // length] -= 1
+                    cut[place // length + place % length] += 1
+                first, later, cut = (np.cumsum(marks)[:-1] > 0 for marks in (first, later, cut))
                 later &= ~first
                 if copies > 1:
                     first = ~later
-                rows.append((key, doc_id, copies, n, *(list(e) for s in (first, later) for e in (zip(*islands(s)) if s.any() else ((), ())))))
+                rows.append((key, doc_id, copies, n, *(list(e) for s in (first, later, cut) for e in (zip(*islands(s)) if s.any() else ((), ())))))
             yield batch(rows, schema)
 
     return join
@@ -122,7 +131,10 @@ def repeated_texts(docs: DataFrame, length: int = 50) -> tuple[DataFrame, DataFr
     first = each.groupBy("runs").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "key", "starts")).alias("first")).where("n > 1")
     met = each.join(first, "runs")
     later = (F.col("key") != F.col("first.key")) | (F.col("starts") != F.col("first.starts"))
-    places = met.groupBy("key").agg(F.collect_list(F.col("starts") * 2 + later.cast("int")).alias("places"))
+    # Words of a later passage that its own first copy reaches; with its start, of the few that have any.
+    reached = F.col("first.starts") + length - F.col("starts")
+    near = F.when(later & (F.col("key") == F.col("first.key")) & (reached > 0), F.col("starts").cast("long") * length + reached)
+    places = met.groupBy("key").agg(F.collect_list(F.col("starts") * 2 + later.cast("int")).alias("places"), F.collect_list(near).alias("near"))
     found = texts.drop("suffixes").join(places, "key", "left").where("copies > 1 OR places IS NOT NULL")
     return rows.drop("suffixes"), stored(found.mapInArrow(_join_spans(length), SPANS))
 
@@ -163,12 +175,12 @@ def cut(docs: DataFrame, length: int = 50) -> DataFrame:
     """`docs` with the later copies of repeated passages cut out of `text`; a row of which no word is left goes.  n_chars, if there
     is such a column, follows the text; all other columns pass through."""
     _, texts = repeated_texts(docs, length)
-    marks = [free_name(docs, c) for c in ("key", "first_id", "laters", "later_ends")]
-    key, first_id, laters, ends = marks
-    texts = texts.select(F.col("key").alias(key), F.col("doc_id").alias(first_id), F.col("laters").alias(laters), F.col("later_ends").alias(ends))
+    marks = [free_name(docs, c) for c in ("key", "first_id", "cuts", "cut_ends")]
+    key, first_id, cuts, ends = marks
+    texts = texts.select(F.col("key").alias(key), F.col("doc_id").alias(first_id), F.col("cuts").alias(cuts), F.col("cut_ends").alias(ends))
     met = docs.withColumn(key, F.xxhash64(F.coalesce("text", F.lit("")))).join(texts, key, "left")
-    copy = F.col(key).isNotNull() & F.col(laters).isNotNull() & ~F.col("doc_id").cast("long").eqNullSafe(F.col(first_id))
-    met = met.where(~copy).select(*docs.columns, F.when(F.size(laters) > 0, F.col(laters)).alias(laters), F.col(ends).alias(ends))
+    copy = F.col(key).isNotNull() & F.col(cuts).isNotNull() & ~F.col("doc_id").cast("long").eqNullSafe(F.col(first_id))
+    met = met.where(~copy).select(*docs.columns, F.when(F.size(cuts) > 0, F.col(cuts)).alias(cuts), F.col(ends).alias(ends))
     schema = docs.schema
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -163,6 +163,21 @@ def test_cut_leaves_one_copy(spark, passages):
     assert {w for run in before for w in run} == {w for _, t in texts_of(left) for w in split(t) if w != "la"} & {w for run in before for w in run}
 
 
+@pytest.mark.parametrize("size", [50, 60, 80, 98, 120])
+def test_cut_of_nested_passages(spark, size):
+    """P in doc 1, Y P X in docs 2 and 3: no passage is left twice and no word is lost, also where P is periodic."""
+    words = lambda kind, n: " ".join(f"{kind}{i}" for i in range(n))
+    p, y, x, a = words("p", size), words("y", 70), words("x", 60), words("a", 40)
+    rows = [(1, f"{words('b', 9)} {p} {words('c', 9)}"), (2, f"{words('d', 55)} {y} {p} {x}"), (3, f"{y} {p} {x} {words('e', 55)}")]
+    rows += [(4, f"{words('f', 55)} {y[::-1]} {a} {a} {a} {x[::-1]}"), (5, f"{y[::-1]} {a} {a} {a} {x[::-1]} {words('g', 55)}"), (6, "la " * 200)]
+    left = dict(texts_of(repeats.cut(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))))
+    seen = Counter(run for t in left.values() for run in (tuple(split(t)[i : i + 50]) for i in range(len(split(t)) - 49)))
+    assert set(seen.values()) == {1}
+    assert {w for _, t in rows for w in split(t)} == {w for t in left.values() for w in split(t)}
+    assert left[1] == rows[0][1] and split(left[2]) == split(f"{words('d', 55)} {y} {x}") and split(left[3]) == split(words("e", 55))
+    assert split(left[6]) == ["la"] * 50
+
+
 def test_cut_keeps_columns_and_lengths(awkward, empty):
     left = repeats.cut(awkward)
     assert left.schema == awkward.schema and repeats.cut(empty).count() == 0
