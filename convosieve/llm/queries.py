@@ -131,7 +131,7 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op9_unigram_token_counts")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
-    return unigram.token_counts(table(spark, folder, "documents"), tokenizer_file("piece_bpe_32k.model"))
+    return unigram.token_counts(table(spark, folder, "documents"), tokenizer_file("piece_bpe_32k.model"), byte_fallback=True)
 
 
 @query("op10_crf_language")

@@ -3,8 +3,8 @@
 A text is cut before every space (written as U+2581, one more is put in front); inside a word, an Aho-Corasick automaton lists the
 pieces that end at each character, longest first, and dynamic programming keeps the best score and its number of pieces there.
 The tie rules are those of the unigram tokenizer: scores add from the left, only a strictly better score replaces a path, so the
-longest piece wins a tie; a character that no one-character piece covers may stand alone at the lowest score less 10, and
-neighbouring such characters count as one piece.
+longest piece wins a tie; a character that no one-character piece covers may stand alone at the lowest score less 10.
+Neighbouring such characters count as one piece, or, with byte fallback, each as the byte pieces of its UTF-8 form.
 """
 
 from __future__ import annotations
@@ -30,10 +30,19 @@ def vocabulary(path: str) -> list[tuple[str, float]]:
     return [(model.id_to_piece(i), model.get_score(i)) for i in range(model.get_piece_size()) if not special(i)]
 
 
+def has_byte_pieces(path: str) -> bool:
+    """Whether a sentencepiece file has a piece for every byte."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    return sum(map(model.is_byte, range(model.get_piece_size()))) == 256
+
+
 class PieceCounter:
-    def __init__(self, pieces: list[tuple[str, float]]):
+    def __init__(self, pieces: list[tuple[str, float]], byte_fallback: bool = False):
         import ahocorasick
 
+        self.byte_fallback = byte_fallback
         self.automaton = ahocorasick.Automaton()
         for piece, score in pieces:
             self.automaton.add_word(piece, (len(piece), score))
@@ -49,7 +58,7 @@ class PieceCounter:
         def stand_alone(end: int, reached: bool, single: bool) -> None:
             if not single and (not reached or score[end - 1] + self.lowest > score[end]):
                 score[end] = score[end - 1] + self.lowest
-                count[end] = count[end - 1] + (not unknown[end - 1])
+                count[end] = count[end - 1] + (len(word[end - 1].encode()) if self.byte_fallback else not unknown[end - 1])
                 unknown[end] = True
 
         reached = single = False
@@ -78,13 +87,16 @@ class PieceCounter:
 COUNTS = "doc_id long, score double, n_pieces long"
 
 
-def token_counts(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, best score and n_pieces of every whole text; a null or empty text has none and score 0.  Other columns are not read."""
+def token_counts(docs: DataFrame, path: str, byte_fallback: bool = False) -> DataFrame:
+    """doc_id, best score and n_pieces of every whole text; a null or empty text has none and score 0.  Other columns are not read.
+
+    With `byte_fallback` and a file that has the byte pieces, a character that no piece covers counts as its UTF-8 bytes, as in the
+    file's tokenizer; otherwise a run of such characters is one unknown piece."""
 
     schema = arrow_schema(COUNTS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = per_process(("piece counter", path), lambda: PieceCounter(vocabulary(path)))
+        counter = per_process(("piece counter", path, byte_fallback), lambda: PieceCounter(vocabulary(path), byte_fallback and has_byte_pieces(path)))
         for own in batches:
             yield batch([(doc_id, *counter.count(text)) for doc_id, text in pairs(own, "doc_id", "text")], schema)
 

@@ -114,6 +114,23 @@ def test_unigram_counts(awkward, documents, empty):
     assert pre.pre_tokenize_str("a  b")
 
 
+def test_unigram_byte_fallback(spark, awkward, tmp_path):
+    """The query against the tokenizers library with the file's byte pieces."""
+    from tokenizers import Tokenizer, models
+
+    from convosieve.llm.queries import QUERIES
+
+    pieces = unigram.vocabulary(PIECE)
+    model = Tokenizer(models.Unigram([("<unk>", -1e9), *pieces, *((f"<0x{b:02X}>", -1e9) for b in range(256))], unk_id=0, byte_fallback=True))
+    rows = texts_of(awkward) + [(10**6 + i, t) for i, t in enumerate(["龘", "龘龘 龘", "a\n\nb", "\t\t", "🫠🫠x🫠", "ꦲꦏ ꦱꦫ", "<0x0A>"])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = Counter((r["doc_id"], r["n_pieces"]) for r in QUERIES["op9_unigram_token_counts"](spark, str(tmp_path)).collect())
+    of = lambda text: sum(len(model.encode("▁" + w, add_special_tokens=False).tokens) for w in text.replace("▁", " ").split(" ")) if text else 0
+    literal = unigram.PieceCounter(pieces).count("<0x0A>")[1]  # text that looks like a byte piece is not one
+    assert got == Counter((d, literal if t == "<0x0A>" else of(t)) for d, t in rows)
+    assert got[10**6, 4] == got[10**6 + 2, 4] == 1 and unigram.has_byte_pieces(PIECE)
+
+
 def test_unigram_ties():
     toy = unigram.PieceCounter([("▁", -1.0), ("a", -1.0), ("b", -1.0), ("ab", -2.0), ("▁a", -2.0), ("▁ab", -3.0)])
     assert toy.best("▁ab") == (-3.0, 1)
