@@ -1,9 +1,9 @@
-"""Repeated passages by a sparse suffix array over words.
+"""Repeated passages by the sparsely retained suffixes of a suffix array over words, counted by hash instead of sorted.
 
 A suffix is retained where the hash of the next K words is the least of a passage-long window: the choice depends on the words alone,
-so every copy of a passage retains the same suffixes.  Suffixes are brought together by those K words; neighbours that agree
-are kept.  Each is then extended to the left and right to all passages of `length` words whose least suffix it is, and these
-are compared again: agreeing neighbours are repeats, and all but the first (by id, then place) are later copies.  Overlapping passages
+so every copy of a passage retains the same suffixes.  No suffix is sorted or compared with a neighbour: the
+hashes of those K words are counted, and those met twice or more are kept.  For each, all passages of `length` words whose least
+suffix it is are hashed whole and counted again: equal hashes are repeats, and all but the first (by id, then place) are later copies.  Overlapping passages
 join into maximal spans.
 
 `spans` gives a word that lies in a first and in a later passage to the first.  `cut` takes out every later passage whole, also where
@@ -11,8 +11,8 @@ it is nested in a longer one that is first seen there; of a later passage that o
 behind that copy goes.  So no later passage stays, and each word that goes stands, at its place in the first copy, nearer to the
 front of the corpus, where at last it is kept.  Passages that arise only where a cut joins two sides are not looked for again.
 
-Neighbours are compared by counting equal keys before the shuffle, so a passage in a third of all documents is one row per task, not
-one group.  Equal texts are one text with its copies.  No pair of occurrences is ever made.
+Equal keys are counted before the shuffle, so a passage in a third of all documents is one row per task there; in a sorted order it
+would be one run for one task to compare.  Equal texts are one text with its copies.  No pair of occurrences is ever made.
 """
 
 from __future__ import annotations
