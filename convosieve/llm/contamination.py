@@ -2,8 +2,9 @@
 
 A pattern is a run of words of a benchmark item: `window` consecutive ones, or the whole item if it is shorter.  For patterns of one
 length, the shift table of word pairs says how far the search may jump; where it says 0, the bucket of the last pair's hash gives the
-patterns to compare word by word.  The patterns are broadcast in blocks of at most BLOCK_WORDS words, and the documents pass
-block after block without a shuffle.
+patterns to compare word by word.  The patterns are broadcast in blocks of about BLOCK_WORDS words: repeated items are dropped and long
+ones cut into parts of a hundredth of a block, which overlap so that no pattern is lost, before the parts are dealt by hash.  The
+documents pass block after block without a shuffle; a task has the tables of all blocks open.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from convosieve.llm.common import arrow_schema, batch, free_name, pairs
+from convosieve.llm.common import arrow_schema, batch, free_name, pairs, stored
 
 BLOCK_WORDS = 2_000_000
 #: A-Z become lower case; ASCII other than digits and letters becomes a space; bytes of other characters stay.
@@ -89,20 +90,45 @@ def _scan(block, window: int):
     return scan
 
 
+def _parts(window: int, step: int):
+    """The items as parts that start every `step` words and overlap by `window` - 1."""
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = arrow_schema(PARTS)
+        for own in batches:
+            rows = []
+            for item, text in pairs(own, "item", "text"):
+                words = item_words(text)
+                for i in range(0, max(1, len(words) - window + 1) if words else 0, step):
+                    rows.append((item, b" ".join(words[i : i + step + window - 1]).decode()))
+            yield batch(rows, schema)
+
+    return parts
+
+
+PARTS = "item string, part string"
+
+
+def pattern_blocks(benchmark: DataFrame, window: int = 13) -> Iterator[list[tuple[str, list[bytes]]]]:
+    """(item, words) of the parts of the items, block by block."""
+    items = benchmark.where("item_id IS NOT NULL").select(F.col("item_id").cast("string").alias("item"), "text").distinct()
+    parts = stored(items.mapInArrow(_parts(window, max(20 * window, BLOCK_WORDS // 100)), PARTS).distinct())
+    size = parts.agg(F.sum(F.octet_length("part"))).first()[0] or 0
+    blocks = max(1, -(-size // (5 * BLOCK_WORDS)))
+    for b in range(blocks):
+        rows = parts.where(F.pmod(F.xxhash64("item", "part"), F.lit(blocks)) == b).collect()
+        yield [(r["item"], r["part"].encode().split()) for r in rows]
+
+
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> DataFrame:
     """`docs` with two more columns at the end: word spans covered by occurrences (they may overlap) and the items met.
 
     Null and empty texts have no words and no hits; an item without words has no pattern; items of a null id take no part.  An empty
     benchmark leaves every document without hits.  All other columns pass through.
     """
-    spark = docs.sparkSession
-    items = benchmark.where("item_id IS NOT NULL").select(F.col("item_id").cast("string").alias("item"), "text")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // (5 * BLOCK_WORDS)))
     out = docs.withColumns({free_name(docs, "hits"): F.array().cast("array<array<int>>"), free_name(docs, "items"): F.array().cast("array<string>")})
-    for b in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b).collect()
-        block = spark.sparkContext.broadcast([(r["item"], item_words(r["text"])) for r in rows])
+    for own in pattern_blocks(benchmark, window):
+        block = docs.sparkSession.sparkContext.broadcast(own)
         out = out.mapInArrow(_scan(block, window), out.schema)
     return out
 

@@ -50,6 +50,18 @@ def test_against_brute_force(request, spark, data, name, monkeypatch):
     assert sorted(map(key, contamination.report(docs, bench).collect())) == expected
 
 
+def test_blocks_of_repeated_and_long_items(spark, monkeypatch):
+    long = " ".join(f"w{i}" for i in range(12000))
+    items = [(1, long), *[(2, " ".join(f"v{i}" for i in range(40)))] * 300, (3, "short item")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(k, " ".join(f"w{i}" for i in range(k * 97, k * 97 + 13 + k % 3))) for k in range(41)] + [(50, "a short item v3 v4"), (51, " ".join(f"v{i}" for i in range(20)))]
+    monkeypatch.setattr(contamination, "BLOCK_WORDS", 3000)
+    sizes = [sum(len(b" ".join(words)) for _, words in block) for block in contamination.pattern_blocks(bench)]
+    assert len(sizes) > 1 and max(sizes) < 2 * 5 * contamination.BLOCK_WORDS
+    got = sorted(map(key, contamination.report(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()))
+    assert got == sorted(map(key, brute(rows, items)))
+
+
 def test_no_benchmark(spark, awkward):
     none = spark.createDataFrame([], "item_id long, text string")
     assert contamination.report(awkward, none).where("n_hit > 0 OR contaminated").count() == 0
