@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convosieve.llm import contamination, crf, jaccard, packing, pairwise, quality_rules, repeats, sharding, unigram, wavelet
+from convosieve.llm import contamination, crf, jaccard, merkle, packing, pairwise, quality_rules, repeats, sharding, unigram, wavelet
 from convosieve.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -137,3 +137,70 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_crf_language")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return crf.languages(table(spark, folder, "documents"))
+
+
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: crc32 of an ASCII string `s` by the polynomial's bits: DuckDB has no such function.
+CRC32_SQL = (
+    "xor(list_reduce(list_concat([4294967295::UBIGINT], list_transform(range(strlen({s})), lambda i: ascii({s}[i + 1])::UBIGINT)), "
+    "lambda c, b: list_reduce(list_concat([xor(c, b)], [0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[]), lambda x, z: xor(x >> 1, (x & 1::UBIGINT) * 3988292384::UBIGINT))), 4294967295::UBIGINT)"
+)
+
+
+def _leaf_sql(text: str) -> str:
+    parts = [f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in ("doc_id", "source", "lang", "n_chars", text)]
+    return f"sha256({' || '.join(parts)})"
+
+
+def _climb_sql(name: str, leaves: str) -> str:
+    """A recursive table (grp, lvl, pos, h) over rows (grp, pos, h): every level up to the single node."""
+    return f"""{name} AS (
+  SELECT grp, 0 AS lvl, pos, h FROM {leaves}
+  UNION ALL
+  SELECT grp, any_value(lvl) + 1, pos // 8, sha256(string_agg(h, '' ORDER BY pos))
+  FROM (SELECT *, count(*) OVER (PARTITION BY grp) AS n FROM {name}) WHERE n > 1 GROUP BY grp, pos // 8)"""
+
+
+MERKLE_SQL = f"""
+WITH RECURSIVE d AS (
+  SELECT coalesce('=' || lang, '') AS grp, doc_id, {_leaf_sql("text")} AS h,
+    CASE WHEN {CRC32_SQL.format(s="CAST(doc_id AS VARCHAR)")} % 3 = 0 THEN {_leaf_sql(LOWER)} END AS changed
+  FROM documents),
+l AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, h) - 1 AS pos FROM d),
+{_climb_sql("t", "l")},
+s AS (SELECT grp AS lang_grp, h, '' AS grp, row_number() OVER (ORDER BY grp) - 1 AS pos FROM (SELECT grp, arg_max(h, lvl) AS h FROM t GROUP BY grp)),
+{_climb_sql("u", "s")},
+-- One row per step: where the group's own tree ends, the siblings are the other groups' roots.
+step AS (
+  SELECT l.grp, l.pos AS leaf, i.lvl, l.pos // CAST(8 ** i.lvl AS BIGINT) AS own
+  FROM l JOIN (SELECT grp, lvl FROM t GROUP BY grp, lvl HAVING count(*) > 1) i ON i.grp = l.grp),
+low AS (
+  SELECT step.grp, step.leaf, step.lvl, coalesce(string_agg(t.h, '' ORDER BY t.pos) FILTER (t.pos < own), '') AS a, coalesce(string_agg(t.h, '' ORDER BY t.pos) FILTER (t.pos > own), '') AS b
+  FROM step JOIN t ON t.grp = step.grp AND t.lvl = step.lvl AND t.pos // 8 = own // 8 GROUP BY ALL),
+up AS (
+  SELECT s.lang_grp AS grp, i.lvl, coalesce(string_agg(u.h, '' ORDER BY u.pos) FILTER (u.pos < s.pos // CAST(8 ** i.lvl AS BIGINT)), '') AS a,
+    coalesce(string_agg(u.h, '' ORDER BY u.pos) FILTER (u.pos > s.pos // CAST(8 ** i.lvl AS BIGINT)), '') AS b
+  FROM s, (SELECT lvl FROM u GROUP BY lvl HAVING count(*) > 1) i, u
+  WHERE u.lvl = i.lvl AND u.pos // 8 = (s.pos // CAST(8 ** i.lvl AS BIGINT)) // 8 GROUP BY ALL),
+path AS (
+  SELECT l.grp, l.pos, coalesce((SELECT list({{'a': a, 'b': b}} ORDER BY lvl) FROM low WHERE low.grp = l.grp AND low.leaf = l.pos), [])
+    || coalesce((SELECT list({{'a': a, 'b': b}} ORDER BY lvl) FROM up WHERE up.grp = l.grp), []) AS p
+  FROM l),
+f AS (
+  SELECT l.grp, l.pos, 1 AS k, coalesce(changed, h) AS h, p FROM l JOIN path USING (grp, pos)
+  UNION ALL
+  SELECT grp, pos, k + 1, sha256(p[k].a || h || p[k].b), p FROM f WHERE k <= len(p)),
+r AS (SELECT arg_max(h, lvl) AS root FROM u)
+SELECT l.doc_id, l.h AS leaf, s.h AS subroot, r.root, sha256(array_to_string(list_transform(path.p, lambda x: x.a || x.b), '')) AS proof_sha256,
+  f.h AS folded_root, f.h = r.root AS verified
+FROM l JOIN path USING (grp, pos) JOIN f ON f.grp = l.grp AND f.pos = l.pos AND f.k = len(path.p) + 1 JOIN s ON s.lang_grp = l.grp, r
+"""
+
+
+@query("op13_merkle_manifest", MERKLE_SQL)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    third = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    rows = merkle.manifest(table(spark, folder, "documents"), changed={"text": F.translate("text", UPPER, UPPER.lower())}, where=third)
+    root = merkle.folded(F.coalesce("changed_leaf", "leaf"), F.col("path"))
+    rows = rows.select("doc_id", "leaf", "subroot", "root", merkle.siblings_hash(F.col("path")).alias("proof_sha256"), root.alias("folded_root"))
+    return rows.withColumn("verified", F.col("folded_root") == F.col("root"))
