@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convosieve.llm import contamination, crf, jaccard, merkle, packing, pairwise, quality_rules, repeats, sharding, unigram, wavelet
+from convosieve.llm import bpe, contamination, crf, jaccard, merkle, packing, pairwise, quality_rules, repeats, sharding, unigram, wavelet
 from convosieve.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -139,6 +139,11 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return crf.languages(table(spark, folder, "documents"))
 
 
+@query("op12_rank_array_bpe")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.digests(table(spark, folder, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: crc32 of an ASCII string `s` by the polynomial's bits: DuckDB has no such function.
 CRC32_SQL = (
