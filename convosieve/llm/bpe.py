@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from convosieve.llm.common import Memo, arrow_schema, batch, pairs, per_process
+from convosieve.llm.common import Memo, arrow_schema, batch, pairs, per_process, sliced
 from convosieve.llm.subwords import BYTE_CHARS, LATIN, SEPARATORS, WORD_PATTERN
 
 SHORT = 64
@@ -108,7 +108,7 @@ class Codec:
         self.tokens = [tokens.get(i) for i in range(max(tokens) + 1)]
         self.normal, self.pre = tokenizer.normalizer.normalize_str, tokenizer.pre_tokenizer.pre_tokenize_str
         self.cut = regex.compile(WORD_PATTERN).findall
-        self.pre_tokens = Memo(self.merges.ids)
+        self.pre_tokens = Memo(lambda p: np.array(self.merges.ids(p), "<u4").tobytes())
         self.words = Memo(self.word)
 
     def word(self, word: str) -> bytes:
@@ -117,7 +117,7 @@ class Codec:
             found = (p if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(BYTE_CHARS) for p in self.cut(word.lower()))
         else:
             found = (p for p, _ in self.pre(self.normal(word)))
-        return np.array([i for p in found for i in self.pre_tokens[p]], "<u4").tobytes()
+        return b"".join(map(self.pre_tokens.__getitem__, found))
 
     def encode(self, text: str | None) -> bytes:
         """Packed little-endian 32-bit ids.  The strings of special tokens in the text are these tokens, as the library has it."""
@@ -136,7 +136,7 @@ class Codec:
         return b"".join(map(self.words.__getitem__, text.split()))
 
     def by_file(self, text: str) -> bytes:
-        return np.array([i for p, _ in self.pre(self.normal(text)) for i in self.pre_tokens[p]], "<u4").tobytes()
+        return b"".join([self.pre_tokens[p] for p, _ in self.pre(self.normal(text))])
 
     def decode(self, ids: list[int]) -> str:
         """The tokens of the ids, joined by spaces, since the file names no decoder; ids that it lacks give nothing."""
@@ -173,7 +173,7 @@ def _mapped(docs: DataFrame, path: str, ddl: str, of) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(path)
-        for own in batches:
+        for own in sliced(batches):
             rows = []
             for doc_id, text in pairs(own, "doc_id", "text"):
                 ids = codec.encode(text)

@@ -7,7 +7,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,20 +38,47 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def _bytes(value) -> int:
+    return sys.getsizeof(value) + (sum(map(_bytes, value)) if isinstance(value, (tuple, list)) else 0)
+
+
+#: Bytes of a dict's slot, and those that one memo may hold.
+SLOT, MEMO_BYTES = 100, 32 << 20
+
+
 class Memo(dict):
-    """A function's results by argument.  `trim`, called between documents, empties it once it holds more than `limit`."""
+    """A function's results by argument.  `trim`, called between documents, empties it once it holds more than `limit` bytes."""
 
-    def __init__(self, fn: Callable, limit: int = 400_000):
+    def __init__(self, fn: Callable, limit: int = MEMO_BYTES):
         super().__init__()
-        self.fn, self.limit = fn, limit
+        self.fn, self.limit, self.held = fn, limit, 0
 
     def __missing__(self, key):
         value = self[key] = self.fn(key)
+        self.held += _bytes(key) + _bytes(value) + SLOT
         return value
 
     def trim(self) -> None:
-        if len(self) > self.limit:
+        if self.held > self.limit:
             self.clear()
+            self.held = 0
+
+
+#: Bytes of text that a task turns into Python values at a time.
+SLICE_BYTES = 2 << 20
+
+
+def sliced(batches: Iterable[pa.RecordBatch], column: str = "text") -> Iterable[pa.RecordBatch]:
+    """The batches in parts of about SLICE_BYTES of a text column, cut without a copy; a longer text is a part of its own.  At the end
+    Arrow's unused memory goes back, since the worker lives on for other tasks."""
+    for own in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(own.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+        first = 0
+        while first < len(ends):
+            last = int(np.searchsorted(ends, (ends[first - 1] if first else 0) + SLICE_BYTES, "right"))
+            yield own.slice(first, max(1, last - first))
+            first = max(first + 1, last)
+    pa.default_memory_pool().release_unused()
 
 
 def words(text: str | None) -> list[bytes]:
@@ -99,8 +128,9 @@ def free_name(df: DataFrame, name: str) -> str:
 
 def per_process(key: tuple, make: Callable):
     """`make()`, kept for the later tasks of this Python worker.  The functions of this package are unpickled for each task, so it
-    is kept on `sys`; only the last one of each kind (the first part of the key) stays."""
-    kept = sys.__dict__.setdefault("_convosieve_kept", {})
-    if kept.get(key[0], (None,))[0] != key:
-        kept[key[0]] = key, make()
-    return kept[key[0]][1]
+    is kept on `sys`.  Only the last one stays: a worker that goes on to another stage drops what the one before had built."""
+    kept = sys.__dict__.setdefault("_convosieve_kept", [None, None])
+    if kept[0] != key:
+        kept[:] = None, None
+        kept[:] = key, make()
+    return kept[1]

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from convosieve.llm.common import arrow_schema, batch, free_name, pairs, stored
+from convosieve.llm.common import arrow_schema, batch, free_name, pairs, sliced, stored
 
 BLOCK_WORDS = 2_000_000
 #: A-Z become lower case; ASCII other than digits and letters becomes a space; bytes of other characters stay.
@@ -72,7 +72,7 @@ def _scan(block, window: int):
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         searches = tables(block.value, window)
-        for own in batches:
+        for own in sliced(batches):
             hits, found = [], []
             for text, old_hits, old_items in pairs(own, "text", *own.schema.names[-2:]):
                 words, spans, items = item_words(text), old_hits, set(old_items)
@@ -95,7 +95,7 @@ def _parts(window: int, step: int):
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = arrow_schema(PARTS)
-        for own in batches:
+        for own in sliced(batches):
             rows = []
             for item, text in pairs(own, "item", "text"):
                 words = item_words(text)
@@ -150,7 +150,7 @@ def _contaminated(n_words: int, n_hit: int) -> bool:
 
 def _report(schema: pa.Schema):
     def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for own in batches:
+        for own in sliced(batches):
             rows = []
             for doc_id, text, hits, items in pairs(own, "doc_id", "text", "hits", "items"):
                 n, hit, names = len(item_words(text)), _hit_words(hits), ",".join(sorted(items))
@@ -169,7 +169,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> DataFrame:
     """The rows of `docs` that are not contaminated, with their columns."""
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for own in batches:
+        for own in sliced(batches):
             fine = [not _contaminated(len(item_words(text)), _hit_words(hits)) for text, hits in pairs(own, "text", own.schema.names[-2])]
             yield pa.RecordBatch.from_arrays(own.columns[:-2], names=own.schema.names[:-2]).filter(pa.array(fine, pa.bool_()))
 

@@ -138,7 +138,7 @@ class Tagger:
         self.model, self.labels = model, len(model.languages)
         self.t = np.exp(model.transitions)
         self.table, self.used = np.zeros((1 << 16, self.labels)), 0
-        self.places = Memo(self._place, 400_000)
+        self.places = Memo(self._place)
 
     def _place(self, word: str) -> int:
         if self.used == len(self.table):

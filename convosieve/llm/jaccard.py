@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from convosieve.llm.common import arrow_schema, batch, free_name, lower_words, stored
+from convosieve.llm.common import arrow_schema, batch, free_name, lower_words, sliced, stored
 from convosieve.llm.graphs import components
 from convosieve.llm.hashing import Runs, hashed, word_hashes
 
@@ -56,7 +56,7 @@ def _sign(size: int, percent: int):
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = word_hashes()
-        for own in batches:
+        for own in sliced(batches):
             sizes, nodes, probe = [], [], []
             for text in own.column("text").to_pylist():
                 found = shingle_set(text, size, memo)
@@ -75,7 +75,7 @@ def _sets(size: int):
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = word_hashes()
-        for own in batches:
+        for own in sliced(batches):
             found = [shingle_set(t, size, memo) for t in own.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([own.column("node"), _long_lists(found).cast(schema[1].type)], schema=schema)
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from convosieve.llm.common import arrow_schema, batch, pairs, per_process, stored
+from convosieve.llm.common import arrow_schema, batch, pairs, per_process, sliced, stored
 from convosieve.llm.subwords import ByteEncoder
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, window long, offset long, open boolean, ids binary"
@@ -57,7 +57,7 @@ def _pack(path: str, end_id: int, size: int, limit: int, keep_ids: bool):
         encoder, end = per_process(("byte encoder", path), lambda: ByteEncoder(path)), np.array([end_id], "<u4").tobytes()
         windows = OpenWindows(size, limit, TaskContext.get().partitionId() << 32)
         open_rows: dict[int, list[tuple]] = {}
-        for own in batches:
+        for own in sliced(batches):
             rows: list[tuple] = []
             for doc_id, text in pairs(own, "doc_id", "text"):
                 ids = encoder.packed(text) + end

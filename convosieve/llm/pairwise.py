@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from convosieve.llm.common import arrow_schema, batch, fold, pairs, stored
+from convosieve.llm.common import arrow_schema, batch, fold, pairs, sliced, stored
 from convosieve.llm.hashing import word_hashes
 from convosieve.llm.profiles import Profile
 
@@ -39,7 +39,7 @@ def features(profile: Profile) -> list[float]:
 def _features(schema: pa.Schema):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = word_hashes()
-        for own in batches:
+        for own in sliced(batches):
             yield batch([(d, [float(x) for x in features(Profile(t, memo))]) for d, t in pairs(own, "doc_id", "text")], schema)
 
     return of

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from convosieve.llm.common import arrow_schema, batch, pairs, stored
+from convosieve.llm.common import arrow_schema, batch, pairs, sliced, stored
 from convosieve.llm.contamination import item_words
 from convosieve.llm.hashing import word_hashes
 from convosieve.llm.profiles import CLASSES, Profile, class_counts
@@ -51,7 +51,7 @@ def _count(schema: pa.Schema):
             classes.clear()
             return batch(rows, schema)
 
-        for own in batches:
+        for own in sliced(batches):
             for lang, text in pairs(own, "lang", "text"):
                 if text:
                     classes[lang] = classes.get(lang, 0) + class_counts(text.encode())
@@ -171,7 +171,7 @@ def report(docs: DataFrame) -> DataFrame:
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, blocks = word_hashes(), _opened(shared)
-        for own in batches:
+        for own in sliced(batches):
             rows, texts = [], []
             for doc_id, lang, text in pairs(own, "doc_id", "lang", "text"):
                 p = Profile(text, memo)
@@ -188,7 +188,7 @@ def accepted(docs: DataFrame) -> DataFrame:
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, blocks = word_hashes(), _opened(shared)
-        for own in batches:
+        for own in sliced(batches):
             profiles = [(p.base_failed, (p.body, p.classes)) for p in (Profile(t, memo) for t in own.column("text").to_pylist())]
             far = nearest([p[1] for p in profiles], blocks)
             fine = [kept(failed, lang, *d) for (failed, _), lang, d in zip(profiles, own.column("lang").to_pylist(), far)]

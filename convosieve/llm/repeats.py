@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from convosieve.llm.common import arrow_schema, batch, free_name, pairs, stored, words
+from convosieve.llm.common import arrow_schema, batch, free_name, pairs, sliced, stored, words
 from convosieve.llm.hashing import Runs, hashed, word_hashes
 
 #: Words by which suffixes are chosen and first compared.
@@ -50,7 +50,7 @@ def _suffixes(length: int):
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = word_hashes()
-        for own in batches:
+        for own in sliced(batches):
             rows = []
             for doc_id, key, text in pairs(own, "doc_id", "key", "text"):
                 _, place, keys = _retained(text, length, memo)
@@ -66,7 +66,7 @@ def _passages(length: int):
 
     def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = word_hashes()
-        for own in batches:
+        for own in sliced(batches):
             rows = []
             for doc_id, key, text, wanted in pairs(own, "doc_id", "key", "text", "wanted"):
                 runs, _, keys = _retained(text, length, memo)
@@ -184,7 +184,7 @@ def cut(docs: DataFrame, length: int = 50) -> DataFrame:
     schema = docs.schema
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for own in batches:
+        for own in sliced(batches):
             names = own.schema.names[:-2]
             out, texts = own.select(names), []
             for text, a, b in zip(own.column("text").to_pylist(), own.column(-2).to_pylist(), own.column(-1).to_pylist()) if own.num_rows else ():

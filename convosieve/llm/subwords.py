@@ -57,7 +57,7 @@ class ByteEncoder:
 
     def __init__(self, path: str):
         tokenizer, cut = load(path), regex.compile(BYTE_PATTERN).findall
-        self.pre_tokens = Memo(pre_token_ids(tokenizer), 1_000_000)
+        self.pre_tokens = Memo(pre_token_ids(tokenizer))
         self.cut = lambda s: b"".join(map(self.pre_tokens.__getitem__, cut(s)))
         self.after_space = Memo(lambda s: self.cut(" " + s))
 
@@ -78,7 +78,7 @@ class WordEncoder:
     def __init__(self, path: str):
         tokenizer, cut = load(path), regex.compile(WORD_PATTERN).findall
         plain = lambda s: np.array(tokenizer.encode(s, add_special_tokens=False).ids, "<u4").tobytes()
-        self.plain, self.pre_tokens = plain, Memo(pre_token_ids(tokenizer), 1_000_000)
+        self.plain, self.pre_tokens = plain, Memo(pre_token_ids(tokenizer))
         join = lambda s: b"".join(map(self.pre_tokens.__getitem__, cut(s.lower())))
         self.by_word = Memo(lambda s: join(s) if max(s) <= LATIN else plain(s))
 

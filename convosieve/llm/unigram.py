@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from convosieve.llm.common import Memo, arrow_schema, batch, pairs, per_process
+from convosieve.llm.common import Memo, arrow_schema, batch, pairs, per_process, sliced
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -97,7 +97,7 @@ def token_counts(docs: DataFrame, path: str, byte_fallback: bool = False) -> Dat
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = per_process(("piece counter", path, byte_fallback), lambda: PieceCounter(vocabulary(path), byte_fallback and has_byte_pieces(path)))
-        for own in batches:
+        for own in sliced(batches):
             yield batch([(doc_id, *counter.count(text)) for doc_id, text in pairs(own, "doc_id", "text")], schema)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(count, COUNTS)
