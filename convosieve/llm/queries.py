@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convosieve.llm import bpe, contamination, crf, jaccard, merkle, packing, pairwise, quality_rules, repeats, sharding, unigram, wavelet
+from convosieve.llm import bpe, contamination, crf, dialogue, jaccard, merkle, packing, pairwise, quality_rules, repeats, sharding, unigram, wavelet
 from convosieve.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -152,6 +152,66 @@ CRC32_SQL = (
 )
 
 
+def _repair_sql() -> str:
+    crc = CRC32_SQL.format(s="name")
+    order = "turn NULLS FIRST, role, md5(text)"
+    asked = "CASE q WHEN 2 THEN 3 ELSE 2 END"
+    kept = "CASE WHEN q = 0 AND initial = 's' THEN 1 WHEN q <> 2 AND initial = 'u' THEN 2 WHEN q = 2 AND initial = 'a' THEN 3 END"
+    return rf"""
+WITH RECURSIVE c AS (
+  SELECT conv_id, coalesce(CAST(conv_id AS VARCHAR), 'null') AS key, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name
+  FROM conversations),
+k AS (SELECT *, {crc} % 20 AS kind FROM c),
+d AS (
+  SELECT key, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM k, (VALUES (1), (2)) v(copy) WHERE kind <> 0 AND (copy = 1 OR kind = 3)),
+o AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY {order}) AS i FROM d),
+p AS (SELECT *, left(role, 1) AS initial, row_number() OVER (PARTITION BY key, role, text ORDER BY i) AS seen FROM o),
+f AS (
+  SELECT *, lag(initial) OVER (PARTITION BY key ORDER BY i) AS before,
+    CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 'b' WHEN seen > 1 THEN 'd' WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*$') THEN 't' ELSE '' END AS fault
+  FROM p),
+-- Up to two inserts and one edit for each row; states: nothing yet, after system, after user, after assistant.
+ins AS (
+  SELECT q, n, CASE n WHEN 0 THEN q WHEN 1 THEN one ELSE 5 - one END AS q2,
+    CASE WHEN n = 0 THEN [] WHEN n = 1 THEN [names[one - 1]] ELSE [names[one - 1], names[4 - one]] END AS more
+  FROM (SELECT q, {asked} AS one, ['user:', 'assistant:'] AS names FROM range(4) r(q)), range(3) t(n)),
+s AS (
+  SELECT DISTINCT key, 0::BIGINT AS i, 0::BIGINT AS q, 0::BIGINT AS cost, '' AS audit, []::VARCHAR[] AS lines FROM c
+  UNION ALL
+  SELECT key, i, q, cost, audit, lines FROM (
+    SELECT *, row_number() OVER (PARTITION BY key, q ORDER BY cost, audit) AS best FROM (
+      SELECT s.key, f.i, e.to_q AS q, s.cost + 3 * ins.n + e.more AS cost, s.audit || repeat('I', ins.n) || e.edit AS audit, s.lines || ins.more || e.line AS lines
+      FROM s JOIN f ON f.key = s.key AND f.i = s.i + 1 JOIN ins ON ins.q = s.q JOIN LATERAL (
+        SELECT ins.q2 AS to_q, 4 AS more, 'D' AS edit, []::VARCHAR[] AS line
+        UNION ALL
+        SELECT {kept.replace("q ", "ins.q2 ").replace("initial", "f.initial")}, CASE f.fault WHEN 't' THEN 3 ELSE 0 END, 'K', [f.role || ':' || f.text] WHERE f.fault IN ('', 't')
+        UNION ALL
+        SELECT CASE ins.q2 WHEN 2 THEN 3 ELSE 2 END, CASE f.fault WHEN 't' THEN 6 ELSE 3 END, 'R', [CASE ins.q2 WHEN 2 THEN 'assistant:' ELSE 'user:' END || f.text] WHERE f.fault IN ('', 't')
+      ) e ON e.to_q IS NOT NULL)) WHERE best = 1),
+n AS (
+  SELECT key, count(*) AS n, count_if(fault = 'b') AS blank, count_if(fault = 'd') AS duplicate, count_if(fault = 't') AS truncated,
+    count_if(before || initial NOT IN ('su', 'ua', 'au')) AS illegal, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps
+  FROM f GROUP BY key),
+e AS (
+  SELECT s.key, s.cost + CASE q WHEN 1 THEN 6 WHEN 2 THEN 3 ELSE 0 END AS cost, s.audit || CASE q WHEN 1 THEN 'II' WHEN 2 THEN 'I' ELSE '' END AS audit,
+    s.lines || CASE q WHEN 1 THEN ['user:', 'assistant:'] WHEN 2 THEN ['assistant:'] ELSE [] END AS lines
+  FROM s LEFT JOIN n ON n.key = s.key WHERE s.i = coalesce(n.n, 0)),
+z AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY key ORDER BY cost, audit) = 1)
+SELECT a.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+  coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, z.cost::BIGINT AS cost, z.audit, sha256(array_to_string(z.lines, chr(10))) AS repaired_sha256
+FROM (SELECT DISTINCT key, conv_id FROM c) a JOIN z ON z.key = a.key LEFT JOIN n ON n.key = a.key
+"""
+
+
+@query("op11_persistent_audit_repair", _repair_sql())
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return dialogue.report(dialogue.damaged(table(spark, folder, "conversations")))
+
+
 def _leaf_sql(text: str) -> str:
     parts = [f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in ("doc_id", "source", "lang", "n_chars", text)]
     return f"sha256({' || '.join(parts)})"
