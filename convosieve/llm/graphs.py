@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from convosieve.llm.common import stored
+from convosieve.llm.common import discard, stored
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -22,7 +22,8 @@ def components(links: DataFrame) -> DataFrame:
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b")).distinct()
         lower = large.groupBy("a").agg(F.min("b").alias("least"))
         rest = large.join(lower, "a").where("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b"))
-        edges = stored(rest.union(lower.select("a", F.col("least").alias("b"))).distinct())
+        before, edges = edges, stored(rest.union(lower.select("a", F.col("least").alias("b"))).distinct())
+        discard(before)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == mark:
             break

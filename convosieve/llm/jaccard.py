@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from convosieve.llm.common import arrow_schema, batch, free_name, lower_words, sliced, stored
+from convosieve.llm.common import arrow_schema, batch, discard, free_name, lower_words, sliced, stored
 from convosieve.llm.graphs import components
 from convosieve.llm.hashing import Runs, hashed, word_hashes
 
@@ -93,39 +93,48 @@ def _alone(sets: DataFrame, tokens: str) -> DataFrame:
     return ends.where("node = last").groupBy("node").agg(F.count("*").alias("alone"))
 
 
+def _bounded(keys: DataFrame) -> DataFrame:
+    """Up to KEYS keys are broadcast, more are left to a shuffle."""
+    return F.broadcast(keys) if keys.count() <= KEYS else keys
+
+
 class Join:
     """The steps over one table: signatures, nodes, the nodes that may link, their sets and index, groups, candidates, links."""
 
     def __init__(self, docs: DataFrame, size: int, percent: int):
         self.docs, self.size, self.percent = docs, size, percent
-        self.signatures = stored(docs.mapInArrow(_sign(size, percent), SIGNATURES))
+        signed = stored(docs.mapInArrow(_sign(size, percent), SIGNATURES))
+        self.signatures = stored(signed.select("doc_id", "key", "n_shingles", "node", F.size("probe").alias("probes")))
         some = self.signatures.where("node IS NOT NULL").groupBy("node")
-        first = [F.min("doc_id").alias("doc_id"), F.min("key").alias("key"), F.first("n_shingles").cast("int").alias("n"), F.first(F.size("probe")).alias("probes")]
+        first = [F.min("doc_id").alias("doc_id"), F.min("key").alias("key"), F.first("n_shingles").cast("int").alias("n"), F.first("probes").alias("probes")]
         self.nodes = stored(some.agg(*first))
-        self.sets = self.whole_sets(self.likely())
+        self.sets = self.whole_sets(self.likely(signed))
         self.index = self.rare_first()
 
-    def likely(self) -> DataFrame:
-        """(node, key) of the nodes with enough probes that another such node has too."""
+    def likely(self, signed: DataFrame) -> DataFrame:
+        """(node, key) of the nodes with enough probes that another such node has too; the signatures go."""
         smallest = F.ceil(self.percent * F.col("n") / 100)  # of a partner
         enough = F.least(smallest, 1 + F.floor(smallest / DEPTH))  # a set that probes with all its tokens has `smallest` in common
-        rows = self.signatures.where("node IS NOT NULL").select("node", "probe")
-        nodes, once = self.nodes, rows.groupBy("node").agg(F.first("probe").alias("probe"))
-        for _ in range(ROUNDS):
+        rows, nodes, last = signed.where("node IS NOT NULL").select("node", "probe"), self.nodes, [signed]
+        for left in reversed(range(ROUNDS)):
             shared = F.col("probes") - F.coalesce("alone", F.lit(0))
-            nodes = stored(nodes.join(_alone(rows, "probe"), "node", "left").where(shared >= enough).select("node", "key", "n", "probes"))
-            rows = once = stored(once.join(nodes.select("node"), "node", "left_semi"))
+            fewer = stored(nodes.join(_alone(rows, "probe"), "node", "left").where(shared >= enough).select("node", "key", "n", "probes"))
+            if left:
+                rows = stored(rows.join(_bounded(fewer.select("node")), "node", "left_semi").groupBy("node").agg(F.first("probe").alias("probe")))
+            discard(*last)
+            nodes, last = fewer, [rows, fewer] if left else []
         return nodes.select("node", "key")
 
     def whole_sets(self, wanted: DataFrame) -> DataFrame:
         """The token sets of some nodes, from one text each, without nodes that have too many tokens of their own."""
-        keys = wanted.select("key")
-        keys = F.broadcast(keys) if wanted.count() <= KEYS else keys
-        texts = self.docs.join(keys, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+        texts = self.docs.join(_bounded(wanted.select("key")), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
         sets = stored(wanted.join(texts, "key").select("node", "text").mapInArrow(_sets(self.size), "node long, tokens array<long>"))
         shared = F.col("n") - F.coalesce("alone", F.lit(0))
         sizes = sets.select("node", F.size("tokens").alias("n")).join(_alone(sets, "tokens"), "node", "left")
-        return stored(sets.join(sizes.where(100 * shared >= self.percent * F.col("n")).select("node"), "node", "left_semi"))
+        likely = stored(sizes.where(100 * shared >= self.percent * F.col("n")).select("node"))
+        fewer = stored(sets.join(_bounded(likely), "node", "left_semi"))
+        discard(sets, likely)
+        return fewer
 
     def rare_first(self) -> DataFrame:
         """The index: token, node, n, own (tokens that no other node has), left (tokens from this one on), before (the token before).
@@ -161,7 +170,10 @@ class Join:
         leaders = leaders.select("token", F.col("b.node").alias("b"), F.col("b.n").alias("m"), F.col("b.left").alias("other_left"))
         pairs = self.index.join(leaders, "token").where((F.col("node") != F.col("b")) & self.reaches("left", "other_left", "n", "m"))
         pairs = pairs.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
-        return stored(self.linked(stored(pairs)))
+        pairs = stored(pairs)
+        links = stored(self.linked(pairs))
+        discard(pairs)
+        return links
 
     def other_links(self, groups: DataFrame) -> DataFrame:
         """Links between nodes of different groups, given (node, component) of the grouped ones.
@@ -176,11 +188,14 @@ class Join:
         enough = (100 + self.percent) * F.least("left", "most_left") >= self.percent * (F.col("n") + smallest)
         earlier = ~F.col("starts") & (F.col("before_lo") == F.col("before_hi")) & F.col("before").eqNullSafe(F.col("before_lo"))
         opened = index.join(matrix, "token").where((F.col("other") < F.col("group")) & fits & enough & ~earlier)
-        opened = stored(opened.select("token", "other", F.col("node").alias("a"), "n", "left", "before"))
+        opened = opened.select("token", "other", F.col("node").alias("a"), "n", "left", "before")
         members = index.select("token", F.col("group").alias("other"), F.col("node").alias("b"), F.col("n").alias("m"), F.col("left").alias("other_left"), F.col("before").alias("other_before"))
         met = opened.join(members, ["token", "other"]).where(_fits("n", "m", self.percent) & self.reaches("left", "other_left", "n", "m"))
         met = met.where(F.col("before").isNull() | ~F.col("before").eqNullSafe(F.col("other_before")))
-        return self.linked(stored(met.select("a", "b").distinct()))
+        pairs = stored(met.select("a", "b").distinct())
+        links = stored(self.linked(pairs))
+        discard(pairs, index, self.index, self.sets)
+        return links
 
     def components(self) -> DataFrame:
         """(node, component) of the nodes with links."""
