@@ -1,7 +1,9 @@
 """Count-only Viterbi over a unigram vocabulary.
 
-A text is cut before every space (written as U+2581, one more is put in front); inside a word, an Aho-Corasick automaton lists the
-pieces that end at each character, longest first, and dynamic programming keeps the best score and its number of pieces there.
+A text's spaces are written as U+2581, and one more is put in front.  It is cut where a run of them starts, so the run and the word
+behind it stay together: pieces may hold several spaces, but none in this position goes over the cut (a vocabulary with such pieces is
+not cut at all).  Inside a part, an Aho-Corasick automaton lists the pieces that end at each character, longest first, and dynamic
+programming keeps the best score and its number of pieces there.
 The tie rules are those of the unigram tokenizer: scores add from the left, only a strictly better score replaces a path, so the
 longest piece wins a tie; a character that no one-character piece covers may stand alone at the lowest score less 10.
 Neighbouring such characters count as one piece, or, with byte fallback, each as the byte pieces of its UTF-8 form.
@@ -9,6 +11,7 @@ Neighbouring such characters count as one piece, or, with byte fallback, each as
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -48,10 +51,12 @@ class PieceCounter:
             self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
         self.lowest = min(score for _, score in pieces) - UNKNOWN_PENALTY
-        self.by_word = Memo(lambda word: self.best(SPACE + word))
+        across = any(re.search(f"[^{SPACE}]{SPACE}", piece) for piece, _ in pieces)
+        self.parts = re.compile(".+" if across else f"{SPACE}+[^{SPACE}]*", re.DOTALL).findall
+        self.by_part = Memo(self.best)
 
     def best(self, word: str) -> tuple[float, int]:
-        """Score and number of pieces of the best path through one word."""
+        """Score and number of pieces of the best path through one part."""
         n = len(word)
         score, count, unknown, at = [0.0] * (n + 1), [0] * (n + 1), [False] * (n + 1), 0
 
@@ -79,8 +84,8 @@ class PieceCounter:
     def count(self, text: str | None) -> tuple[float, int]:
         if not text:
             return 0.0, 0
-        self.by_word.trim()
-        found = list(map(self.by_word.__getitem__, text.replace(SPACE, " ").split(" ")))
+        self.by_part.trim()
+        found = list(map(self.by_part.__getitem__, self.parts(SPACE + text.replace(" ", SPACE))))
         return sum(f[0] for f in found), sum(f[1] for f in found)
 
 
@@ -88,7 +93,8 @@ COUNTS = "doc_id long, score double, n_pieces long"
 
 
 def token_counts(docs: DataFrame, path: str, byte_fallback: bool = False) -> DataFrame:
-    """doc_id, best score and n_pieces of every whole text; a null or empty text has none and score 0.  Other columns are not read.
+    """doc_id, best score and n_pieces of every whole text; a null or empty text has none and score 0.  Very long texts are taken whole,
+    a null id stays null, repeated rows each have a row, an empty table gives none.  Other columns are not read and may have any name.
 
     With `byte_fallback` and a file that has the byte pieces, a character that no piece covers counts as its UTF-8 bytes, as in the
     file's tokenizer; otherwise a run of such characters is one unknown piece."""

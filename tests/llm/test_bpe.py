@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from convosieve.llm import bpe, queries
-from tests.llm.conftest import LONG, TEXTS, texts_of
+from conftest import LONG, TEXTS, texts_of
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 AWKWARD = [

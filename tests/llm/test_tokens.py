@@ -6,6 +6,8 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from conftest import texts_of
 
 from convosieve.llm import packing, unigram, wavelet
@@ -102,18 +104,44 @@ def test_unigram_counts(awkward, documents, empty):
     for df in (awkward, documents):
         got = {(r["doc_id"], r["n_pieces"]) for r in unigram.token_counts(df, PIECE).collect()}
         for doc_id, text in texts_of(df):
-            n = 0
-            for word in (text or "").replace("▁", " ").split(" ") if text else []:
-                found = model.encode("▁" + word, add_special_tokens=False).tokens
-                n += len(found)
-                score, count = counter.best("▁" + word)
-                assert count == len(found), (word[:50], found[:20])
-                if all(t in scores for t in found):
-                    assert score == sum(scores[t] for t in found)
-            assert (doc_id, n) in got
+            found = model.encode(uncut(text), add_special_tokens=False).tokens if text else []
+            score, count = counter.count(text)
+            assert count == len(found) and (doc_id, len(found)) in got, (text or "")[:50]
+            if all(t in scores for t in found):
+                assert score == pytest.approx(sum(scores[t] for t in found))
     assert pre.pre_tokenize_str("a  b")
 
 
+def uncut(text):
+    return "▁" + text.replace(" ", "▁")
+
+
+RUNS = ["x = 1;" + " " * 16 + "y", "a    b", "    ", " " * 500 + "z", "if x:\n        return  1\n", "a " * 40 + "  b   c", "▁▁ ▁a", "tab \t  end  "]
+
+
+@pytest.mark.parametrize("fallback", [False, True])
+def test_unigram_runs_of_spaces(fallback):
+    """Against the best path through the uncut text, whose pieces may hold several spaces."""
+    pieces = unigram.vocabulary(PIECE)
+    assert max(len(p) for p, _ in pieces if not p.strip("▁")) == 16
+    counter, whole = (unigram.PieceCounter(pieces, fallback) for _ in range(2))
+    whole.parts = lambda text: [text]
+    for text in RUNS:
+        score, count = counter.count(text)
+        assert (pytest.approx(score), count) == whole.count(text) and whole.count(text) == whole.best(uncut(text))
+    assert counter.count(RUNS[0])[1] == 7 and counter.count(RUNS[1])[1] == 3
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(st.sampled_from("ab  ▁\nxé"), max_size=40))
+def test_unigram_cuts_lose_nothing(text):
+    toy = [("▁", -1.0), ("▁▁", -1.5), ("▁▁▁", -1.7), ("a", -1.0), ("b", -2.0), ("ab", -2.5), ("▁▁a", -2.0), ("x", -3.0), ("\n", -2.0)]
+    counter, whole = unigram.PieceCounter(toy), unigram.PieceCounter([*toy, ("b▁a", -99.0)])
+    assert whole.parts("▁a▁b") == ["▁a▁b"]  # a piece goes over a cut, so nothing is cut
+    got = counter.count(text)
+    assert (pytest.approx(got[0]), got[1]) == ((0.0, 0) if not text else counter.best(uncut(text)))
+
+
 def test_unigram_byte_fallback(spark, awkward, tmp_path):
     """The query against the tokenizers library with the file's byte pieces."""
     from tokenizers import Tokenizer, models
@@ -122,10 +150,10 @@ def test_unigram_byte_fallback(spark, awkward, tmp_path):
 
     pieces = unigram.vocabulary(PIECE)
     model = Tokenizer(models.Unigram([("<unk>", -1e9), *pieces, *((f"<0x{b:02X}>", -1e9) for b in range(256))], unk_id=0, byte_fallback=True))
-    rows = texts_of(awkward) + [(10**6 + i, t) for i, t in enumerate(["龘", "龘龘 龘", "a\n\nb", "\t\t", "🫠🫠x🫠", "ꦲꦏ ꦱꦫ", "<0x0A>"])]
+    rows = texts_of(awkward) + [(10**6 + i, t) for i, t in enumerate(["龘", "龘龘 龘", "a\n\nb", "\t\t", "🫠🫠x🫠", "ꦲꦏ ꦱꦫ", "<0x0A>", *RUNS])]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = Counter((r["doc_id"], r["n_pieces"]) for r in QUERIES["op9_unigram_token_counts"](spark, str(tmp_path)).collect())
-    of = lambda text: sum(len(model.encode("▁" + w, add_special_tokens=False).tokens) for w in text.replace("▁", " ").split(" ")) if text else 0
+    of = lambda text: len(model.encode(uncut(text), add_special_tokens=False).tokens) if text else 0
     literal = unigram.PieceCounter(pieces).count("<0x0A>")[1]  # text that looks like a byte piece is not one
     assert got == Counter((d, literal if t == "<0x0A>" else of(t)) for d, t in rows)
     assert got[10**6, 4] == got[10**6 + 2, 4] == 1 and unigram.has_byte_pieces(PIECE)
