@@ -2,21 +2,17 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from convosieve.functions import lexicons as lex
 from convosieve.functions import text as T
 from convosieve.functions import tokens as K
 from convosieve.functions.scalar import let
+from convosieve.operators.neighbors import candidate_pairs, dot_products, embedding_neighbors, ranked
 from convosieve.operators.ranking import most_frequent
-from convosieve.operators.sampling import top_per_group
 from convosieve.operators.stats import stack
+from convosieve.session import checkpoint
 
 
 def add_keys(df: DataFrame, text: str = "text") -> DataFrame:
@@ -96,72 +92,6 @@ def matched_rows(train: DataFrame, test: DataFrame, key: str, test_id: str = "do
 # --- exact nearest neighbours -----------------------------------------------------
 
 
-def _blocked_top_k(
-    corpus: DataFrame, queries: DataFrame, payload: list[str], k: int, scorer: Callable[[pd.DataFrame, pd.DataFrame], np.ndarray],
-    max_queries: int = 1024, max_corpus: int = 8192,
-) -> DataFrame:
-    """(test_id, train_id, similarity, neighbor_rank): exact top k over a grid of bounded blocks.
-
-    Both sides are cut into blocks by id hash.  Each grid cell scores one bounded query block
-    against one bounded corpus block and keeps only k rows per query, so memory per task is
-    fixed, the work is even whatever the data looks like, and what is shuffled afterwards is
-    k rows per query and corpus block instead of all pairs.
-    """
-    nq, nc = queries.count(), corpus.count()
-    slots = corpus.sparkSession.sparkContext.defaultParallelism
-    qb = max(1, math.ceil(nq / max_queries))
-    cb = max(1, math.ceil(nc / max_corpus), math.ceil(slots / qb) if nc > 512 else 1)
-    q = queries.withColumn("_qb", F.pmod(F.xxhash64("test_id"), F.lit(qb)).cast("int"))
-    q = q.withColumn("_cb", F.explode(F.sequence(F.lit(0), F.lit(cb - 1))))
-    c = corpus.withColumn("_cb", F.pmod(F.xxhash64("train_id"), F.lit(cb)).cast("int"))
-    c = c.withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(qb - 1))))
-
-    def cell(cp: pd.DataFrame, qp: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"test_id": pd.Series(dtype="int64"), "train_id": pd.Series(dtype="int64"), "similarity": pd.Series(dtype="float64")})
-        if not len(cp) or not len(qp):
-            return empty
-        cp = cp.sort_values("train_id", ignore_index=True)
-        qp = qp.sort_values("test_id", ignore_index=True)
-        sims = np.round(scorer(cp, qp), 6)  # queries x corpus
-        take = min(k, len(cp))
-        # Rows are id-sorted and the sort is stable, so ties go to the smaller train id.
-        order = np.argsort(-sims, axis=1, kind="stable")[:, :take]
-        return pd.DataFrame({
-            "test_id": np.repeat(qp["test_id"].to_numpy(), take),
-            "train_id": cp["train_id"].to_numpy()[order.ravel()],
-            "similarity": np.take_along_axis(sims, order, axis=1).ravel(),
-        })
-
-    cells = c.groupBy("_qb", "_cb").cogroup(q.groupBy("_qb", "_cb"))
-    found = cells.applyInPandas(cell, "test_id long, train_id long, similarity double")
-    w = Window.partitionBy("test_id").orderBy(F.desc("similarity"), "train_id")
-    return found.withColumn("neighbor_rank", F.row_number().over(w)).filter(F.col("neighbor_rank") <= k)
-
-
-def _sparse_scorer(cp: pd.DataFrame, qp: pd.DataFrame) -> np.ndarray:
-    """Dot products through postings of the query block; only shared terms cost anything."""
-    sims = np.zeros((len(qp), len(cp)))
-    q_terms = np.concatenate([np.asarray(x, dtype=np.int64) for x in qp["terms"]]) if len(qp) else np.zeros(0, np.int64)
-    q_w = np.concatenate([np.asarray(x, dtype=np.float64) for x in qp["weights"]])
-    q_row = np.repeat(np.arange(len(qp)), [len(x) for x in qp["terms"]])
-    order = np.argsort(q_terms, kind="stable")
-    q_terms, q_w, q_row = q_terms[order], q_w[order], q_row[order]
-    for j, (terms, weights) in enumerate(zip(cp["terms"], cp["weights"])):
-        t = np.asarray(terms, dtype=np.int64)
-        lo, hi = np.searchsorted(q_terms, t, "left"), np.searchsorted(q_terms, t, "right")
-        n = hi - lo
-        if not n.sum():
-            continue
-        # Flatten the posting ranges [lo, hi) of all shared terms into one index vector.
-        at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        sims[:, j] = np.bincount(q_row[at], np.repeat(np.asarray(weights, dtype=np.float64), n) * q_w[at], len(qp))
-    return sims
-
-
-def _dense_scorer(cp: pd.DataFrame, qp: pd.DataFrame) -> np.ndarray:
-    return np.stack(qp["vec"].to_numpy()).astype(np.float64) @ np.stack(cp["vec"].to_numpy()).astype(np.float64).T
-
-
 #: A term's occurrences meet the vocabulary in so many parts.
 SALT = 8
 
@@ -204,7 +134,7 @@ def tfidf_neighbors(
     )
     # One id space for both sides: even for train, odd for test.
     both = both.withColumn("_key", F.col("_id") * 2 + F.when(F.col("_train"), 0).otherwise(1))
-    vec = tfidf_vectors(both, grams, "_key", min_df, max_features).persist()
+    vec = checkpoint(tfidf_vectors(both, grams, "_key", min_df, max_features))
     side = lambda odd, name: vec.filter(F.pmod("_key", F.lit(2)) == odd).select(
         F.expr("_key div 2").alias(name), "terms", "weights"
     )
@@ -216,8 +146,9 @@ def tfidf_neighbors(
             name, *[F.coalesce(c, e).alias(c) for c, e in empty.items()]
         )
 
-    out = _blocked_top_k(whole(train, train_id, 0, "train_id"), whole(test, test_id, 1, "test_id"), ["terms", "weights"], k, _sparse_scorer)
-    return out.withColumn("method", F.lit(method))
+    corpus, queries = whole(train, train_id, 0, "train_id"), whole(test, test_id, 1, "test_id")
+    pairs = candidate_pairs(corpus, queries, k)
+    return ranked(dot_products(pairs, corpus, queries), k).withColumn("method", F.lit(method))
 
 
 def describe_neighbors(neighbors: DataFrame, train: DataFrame, test: DataFrame, train_id: str = "doc_id", test_id: str = "doc_id", label: str = "label") -> DataFrame:
@@ -233,18 +164,6 @@ def describe_neighbors(neighbors: DataFrame, train: DataFrame, test: DataFrame,
     return neighbors.join(a, "train_id").join(b, "test_id")
 
 
-def embedding_neighbors(train: DataFrame, test: DataFrame, k: int = 1, train_id: str = "vec_id", test_id: str = "vec_id", vec: str = "embedding") -> DataFrame:
-    """Exact top-k cosine neighbours of dense vectors (normalised first)."""
-
-    def unit(df: DataFrame, id_col: str, name: str) -> DataFrame:
-        v = F.transform(vec, lambda x: x.cast("double"))
-        norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-        vector = let(F.struct(v.alias("v"), norm.alias("n")), lambda s: F.transform(s["v"], lambda x: F.when(s["n"] > 0, x / s["n"]).otherwise(0.0)))
-        return df.select(F.col(id_col).cast("long").alias(name), vector.alias("vec"))
-
-    return _blocked_top_k(unit(train, train_id, "train_id"), unit(test, test_id, "test_id"), ["vec"], k, _dense_scorer)
-
-
 # --- similarity reports -----------------------------------------------------------
 
 
