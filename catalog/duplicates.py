@@ -174,12 +174,35 @@ def char_neighbors(spark, folder):
         *[F.col(c).cast("long").alias(c) for c in ("train_char_length", "test_char_length", "train_word_count", "test_word_count")])
 
 
-@query("leakage_cases")
-def leakage(spark, folder):
+def _nearest_sql(grams_cte):
+    return f"(WITH {_knn_sql(1, grams_cte)} SELECT test_id, train_id, similarity, label FROM nn LEFT JOIN lab ON lab.doc_id = train_id)"
+
+
+def _leakage_sql(char_min, word_min):
+    return f"""
+WITH c AS {_nearest_sql(_CHAR_CTE)}, w AS {_nearest_sql(_WORD_CTE)}, dk AS {_keyed('documents')}, bk AS {_keyed('(SELECT item_id AS doc_id, text FROM benchmark)')},
+f AS (SELECT doc_id AS test_id, {', '.join(f'{k} IN (SELECT {k} FROM dk) AS has_{k[:-4]}_match' for k in ('exact_key', 'loose_key', 'template_key'))} FROM bk)
+SELECT test_id, c.similarity AS char_similarity, c.train_id AS char_nearest_id, c.label AS char_nearest_label, w.similarity AS word_similarity, w.train_id AS word_nearest_id,
+  w.label AS word_nearest_label, has_exact_match, has_loose_match, has_template_match, CASE WHEN c.similarity >= w.similarity THEN c.label ELSE w.label END AS nearest_train_label
+FROM c JOIN w USING (test_id) JOIN f USING (test_id) WHERE has_exact_match OR has_loose_match OR has_template_match OR c.similarity >= {char_min} OR w.similarity >= {word_min}"""
+
+
+def _leakage(spark, folder, **at_least):
     from convosieve.plans.leakage import inspect
 
     a, b = _corpora(spark, folder)
-    return inspect(a, b)["leakage_cases"]
+    return inspect(a, b, **at_least)["leakage_cases"]
+
+
+@query("leakage_cases", _leakage_sql(0.85, 0.80))
+def leakage(spark, folder):
+    return _leakage(spark, folder)
+
+
+# Passages are short beside documents, so lower bars find those that documents hold in part.
+@query("leakage_cases_in_part", _leakage_sql(0.24, 0.05))
+def leakage_in_part(spark, folder):
+    return _leakage(spark, folder, char_min=0.24, word_min=0.05)
 
 
 # --- embeddings --------------------------------------------------------------------
@@ -218,6 +241,15 @@ def embedding_report(spark, folder):
     return rounded(D.threshold_summary(best), ["test_pct", "nearest_TRUE_rate"])
 
 
-@query("near_duplicate_pairs")
+_GRAMS = f"CASE WHEN len(w) < 2 THEN w ELSE list_concat({S.grams('w', 2)}, {S.grams('w', 3)}) END"
+
+
+@query("near_duplicate_pairs", f"""
+WITH k AS {_keyed('documents')}, wd AS (SELECT doc_id, regexp_extract_all(lower(exact_key), {S.q(_w2)}) AS w FROM k),
+g AS (SELECT doc_id, list_sort(list_distinct({_GRAMS})) AS g FROM wd WHERE len(w) > 0),
+c AS (SELECT *, min(doc_id) OVER (PARTITION BY g) AS first FROM g), r AS (SELECT doc_id, len(g) AS n, unnest(g) AS x FROM c WHERE doc_id = first),
+p AS (SELECT a.doc_id AS l, b.doc_id AS r, count(*) AS c, a.n + b.n - count(*) AS u FROM r a JOIN r b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n)
+SELECT l AS left_id, r AS right_id, {S.r('1 - c::DOUBLE / u')} AS distance FROM p WHERE c >= 0.7::DOUBLE * u - 1e-9
+UNION ALL SELECT first, doc_id, 0.0 FROM c WHERE doc_id > first""")
 def near_duplicates(spark, folder):
-    return D.near_duplicates(V.documents(spark, folder).select("doc_id", "text"), max_distance=0.3)
+    return rounded(D.near_duplicates(V.documents(spark, folder).select("doc_id", "text"), max_distance=0.3), ["distance"])

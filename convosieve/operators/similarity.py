@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from convosieve.functions import lexicons as lex
@@ -212,19 +212,60 @@ def leakage_cases(char_best: DataFrame, word_best: DataFrame, flags: dict[str, D
     )
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", max_distance: float = 0.3, tables: int = 8, features: int = 1 << 18, seed: int = 42) -> DataFrame:
-    """Approximate near-duplicate pairs by MinHash over word n-grams (a < b, Jaccard distance).
+#: Rows of one gram that a task joins with the gram's other rows; grams with more are dealt out in parts.
+GRAM_ROWS = 5000
 
-    Exact copies collapse to one representative first: a text copied into a third of the
-    corpus would otherwise meet itself in every hash bucket.
+
+def gram_sets(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, digest, grams): the sorted distinct word 2- and 3-grams of each text; a single word is a gram.  Texts without words are left out."""
+    words = K.tokens(F.lower(T.exact_key(T.normalize_text(text))), K.WORD_MIN2)
+    grams = let(words, lambda w: F.when(F.size(w) < 2, w).otherwise(F.concat(K.ngrams(w, 2), K.ngrams(w, 3))))
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.array_sort(F.array_distinct(grams)).alias("grams"))
+    return rows.select("id", F.sha2(F.array_join("grams", "|"), 256).alias("digest"), "grams").filter(F.size("grams") > 0)
+
+
+def _prefixes(sets: DataFrame, least: float) -> DataFrame:
+    """(id, n, gram, place): a set's rarest grams, as many as must have one in common with those of any set that is similar enough.
+
+    Grams that only one set has come first in the order and meet nothing, so they are counted and left out.
+    """
+    each = sets.select("id", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
+    often = each.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    whole = Window.partitionBy("id")
+    rows = each.join(often, "gram").withColumn("met", F.count(F.lit(1)).over(whole))
+    place = F.row_number().over(whole.orderBy("df", "gram")) + F.col("n") - F.col("met")
+    return rows.select("id", "n", "gram", place.alias("place")).filter(F.col("place") <= F.col("n") - F.ceil(least * F.col("n") - 1e-9) + 1)
+
+
+def _in_parts(rows: DataFrame, gram_rows: int) -> tuple[DataFrame, DataFrame]:
+    """The rows twice, with a `part` to join on: a gram of many rows has parts by their number; one side is dealt out, the other is in all."""
+    hot = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > gram_rows)
+    hot = hot.select("gram", F.ceil(F.col("rows") / gram_rows).cast("int").alias("parts"))
+    sized = rows.join(hot, "gram", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    dealt = sized.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    return dealt.drop("parts"), sized.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", max_distance: float = 0.3, gram_rows: int = GRAM_ROWS) -> DataFrame:
+    """(left_id, right_id, distance): all pairs of different gram sets within a Jaccard distance, by their smallest ids, and the
+    smallest id of each set with every other row of the set, at distance 0.
+
+    The pairs are complete.  Sets are ordered by the number of sets that have a gram; two sets that are similar enough share one of
+    their first grams, and from there on must have enough left to share.  What remains is compared whole.
     """
-    from pyspark.ml.feature import HashingTF, MinHashLSH
-
-    norm = df.select(F.col(id_col).alias("_id"), T.exact_key(T.normalize_text(text)).alias("_t"))
-    reps = norm.groupBy(F.sha2("_t", 256).alias("_h")).agg(F.min("_id").alias("_id"), F.min_by("_t", F.col("_id")).alias("_t"))
-    grams = reps.select("_id", F.array_distinct(K.word_ngrams("_t", 2, 3)).alias("_g")).filter(F.size("_g") > 0)
-    vec = HashingTF(inputCol="_g", outputCol="_v", numFeatures=features, binary=True).transform(grams).select("_id", "_v").persist()
-    model = MinHashLSH(inputCol="_v", outputCol="_m", numHashTables=tables, seed=seed).fit(vec)
-    pairs = model.approxSimilarityJoin(vec, vec, max_distance, "distance")
-    a, b = F.col("datasetA._id"), F.col("datasetB._id")
-    return pairs.filter(a < b).select(a.alias("left_id"), b.alias("right_id"), "distance")
+    least = 1 - max_distance
+    sets = checkpoint(gram_sets(df, id_col, text))
+    groups = sets.groupBy("digest").agg(F.min("id").alias("left_id"), F.count(F.lit(1)).alias("rows"))
+    members = sets.select("id", "digest").join(groups.filter("rows > 1").drop("rows"), "digest").filter("id > left_id")
+    first = sets.join(groups.select("digest", F.col("left_id").alias("id")), ["digest", "id"], "left_semi").dropDuplicates(["id"]).select("id", "grams")
+    a, b = _in_parts(checkpoint(_prefixes(first, least)), gram_rows)
+    a = a.select("gram", "part", F.col("id").alias("left_id"), F.col("n").alias("n"), (F.col("n") - F.col("place") + 1).alias("left"))
+    b = b.select("gram", "part", F.col("id").alias("right_id"), F.col("n").alias("m"), (F.col("n") - F.col("place") + 1).alias("right"))
+    n, m = F.col("n"), F.col("m")
+    fits = (F.least(n, m) >= least * F.greatest(n, m) - 1e-9) & (F.least("left", "right") * (1 + least) >= least * (n + m) - 1e-9)
+    pairs = checkpoint(a.join(b, ["gram", "part"]).filter((F.col("left_id") < F.col("right_id")) & fits).select("left_id", "right_id").distinct())
+    side = lambda name: first.select(F.col("id").alias(f"{name}_id"), F.col("grams").alias(name))
+    both = F.size(F.array_intersect("left", "right"))
+    met = pairs.join(side("left"), "left_id").join(side("right"), "right_id").select("left_id", "right_id", both.alias("both"), (F.size("left") + F.size("right") - both).alias("union"))
+    near = met.filter(F.col("both") >= least * F.col("union") - 1e-9).select("left_id", "right_id", (1 - F.col("both") / F.col("union")).alias("distance"))
+    return near.unionByName(members.select("left_id", F.col("id").alias("right_id"), F.lit(0.0).alias("distance")))

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from convosieve.operators import similarity as D
+from convosieve.session import checkpoint
 
 
-def inspect(train: DataFrame, test: DataFrame, train_id: str = "doc_id", test_id: str = "doc_id", label: str = "label") -> dict[str, DataFrame]:
+def inspect(train: DataFrame, test: DataFrame, train_id: str = "doc_id", test_id: str = "doc_id", label: str = "label", char_min: float = 0.85, word_min: float = 0.80) -> dict[str, DataFrame]:
     """Key matches, duplicates, neighbours by both n-gram views and the resulting leakage cases.
 
     Both inputs carry the match keys (see ``similarity.add_keys``).
@@ -16,7 +17,7 @@ def inspect(train: DataFrame, test: DataFrame, train_id: str = "doc_id", test_id
     flags = {f"has_{k}_match": D.matched_rows(train, test, f"{k}_key", test_id) for k in ("exact", "loose", "template")}
     labels = train.select(F.col(train_id).alias("train_id"), F.col(label).alias("train_label"))
     best = {
-        m: D.tfidf_neighbors(train, test, m, 1, train_id, test_id).join(labels, "train_id").persist()
+        m: checkpoint(D.tfidf_neighbors(train, test, m, 1, train_id, test_id).join(labels, "train_id"))
         for m in ("char_tfidf_3_5", "word_tfidf_1_2")
     }
     return {
@@ -25,5 +26,5 @@ def inspect(train: DataFrame, test: DataFrame, train_id: str = "doc_id", test_id
         "test_duplicates": D.duplicate_groups(test, "exact_key", test_id),
         "char_best": best["char_tfidf_3_5"],
         "word_best": best["word_tfidf_1_2"],
-        "leakage_cases": D.leakage_cases(best["char_tfidf_3_5"], best["word_tfidf_1_2"], flags),
+        "leakage_cases": D.leakage_cases(best["char_tfidf_3_5"], best["word_tfidf_1_2"], flags, char_min, word_min),
     }

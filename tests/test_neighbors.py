@@ -89,6 +89,58 @@ def test_bounds_hold_for_every_pair(spark):
                     assert added <= min(r["tops"], r["length"]) + 1e-9 and added + query[r["term"]] * doc.get(r["term"], 0.0) <= r["rest"] + 1e-9
 
 
+# --- near duplicates --------------------------------------------------------------
+
+
+def sets_of(texts):
+    out = {}
+    for i, text in texts:
+        w = [x for x in " ".join((text or "").lower().split()).split() if len(x) >= 2]
+        grams = w if len(w) < 2 else [" ".join(w[j : j + n]) for n in (2, 3) for j in range(len(w) - n + 1)]
+        if grams:
+            out[i] = frozenset(grams)
+    return out
+
+
+def all_near(texts, max_distance):
+    sets, first, out = sets_of(texts), {}, {}
+    for i in sorted(sets):
+        if first.setdefault(sets[i], i) != i:
+            out[first[sets[i]], i] = 0.0
+    reps = sorted((i, s) for s, i in first.items())
+    for n, (i, a) in enumerate(reps):
+        for j, b in reps[n + 1 :]:
+            if len(a & b) >= (1 - max_distance) * len(a | b) - 1e-9:
+                out[i, j] = 1 - len(a & b) / len(a | b)
+    return out
+
+
+def near(spark, texts, **how):
+    docs = spark.createDataFrame([(i, t, "clash", 1) for i, t in texts], "doc_id long, text string, gram string, n int").repartition(4)
+    return {(r["left_id"], r["right_id"]): r["distance"] for r in D.near_duplicates(docs, **how).collect()}
+
+
+@pytest.mark.parametrize("max_distance", [0.0, 0.3, 0.6])
+def test_near_duplicates_are_complete(spark, max_distance):
+    draw, texts = np.random.default_rng(6), corpus(7, 120, 60)
+    for t in texts[:60]:
+        w = t.split()
+        for _ in range(2):
+            w[draw.integers(len(w))] = "changed"
+            texts.append(" ".join(w))
+    texts += [None, "", " ", "word", "Word", "two words", "TWO  words", "x y", "a " * 30 + "same words here"] + [texts[0]] * 40
+    texts += [f"everyone shares this long beginning of a text and only the end differs {i}{i}" for i in range(60)]
+    rows = list(enumerate(texts))
+    expected = all_near(rows, max_distance)
+    got = near(spark, rows, max_distance=max_distance, gram_rows=7)  # frequent grams in parts
+    assert got.keys() == expected.keys() and all(got[p] == pytest.approx(d) for p, d in expected.items())
+    assert len(expected) > 40
+
+
+def test_near_duplicates_of_nothing(spark):
+    assert near(spark, []) == {} and near(spark, [(1, None), (2, ""), (3, " \n")]) == {}
+
+
 # --- dense ------------------------------------------------------------------------
 
 
