@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from convosieve.llm.common import Memo, arrow_schema, batch, pairs, per_process, sliced
-from convosieve.llm.subwords import BYTE_CHARS, LATIN, SEPARATORS, WORD_PATTERN
+from convosieve.llm.subwords import BYTE_CHARS, SEPARATORS, WORD_PATTERN, is_latin
 
 SHORT = 64
 #: Rank of neighbours that no merge joins.
@@ -113,7 +113,7 @@ class Codec:
 
     def word(self, word: str) -> bytes:
         """Packed ids of a run of characters without white space."""
-        if max(word) <= LATIN:
+        if is_latin(word):
             found = (p if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(BYTE_CHARS) for p in self.cut(word.lower()))
         else:
             found = (p for p, _ in self.pre(self.normal(word)))

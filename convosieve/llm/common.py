@@ -53,7 +53,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def _bytes(value) -> int:
-    return sys.getsizeof(value) + (sum(map(_bytes, value)) if isinstance(value, (tuple, list)) else 0)
+    return sys.getsizeof(value) + (sum(map(_bytes, value)) if type(value) in (tuple, list) else 0)
 
 
 #: Bytes of a dict's slot, and those that one memo may hold.
@@ -61,19 +61,24 @@ SLOT, MEMO_BYTES = 100, 32 << 20
 
 
 class Memo(dict):
-    """A function's results by argument.  `trim`, called between documents, empties it once it holds more than `limit` bytes."""
+    """A function's results by argument, of at most about `limit` bytes.  `trim`, called between documents, sets the results aside once
+    they take half of that, in place of those set aside before; what is asked for again comes back, so frequent arguments stay."""
 
     def __init__(self, fn: Callable, limit: int = MEMO_BYTES):
         super().__init__()
-        self.fn, self.limit, self.held = fn, limit, 0
+        self.fn, self.limit, self.held, self.aside = fn, limit, 0, {}
 
     def __missing__(self, key):
-        value = self[key] = self.fn(key)
-        self.held += _bytes(key) + _bytes(value) + SLOT
+        value = self.aside.get(key)
+        if value is None:
+            value = self.fn(key)
+        self[key] = value
+        self.held += sys.getsizeof(key) + _bytes(value) + SLOT
         return value
 
     def trim(self) -> None:
-        if self.held > self.limit:
+        if 2 * self.held > self.limit:
+            self.aside = dict(self)
             self.clear()
             self.held = 0
 

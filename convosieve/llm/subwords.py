@@ -21,9 +21,15 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 #: str.split and `\s` of `re` count these as white space, the tokenizers do not.
 SEPARATORS = re.compile("[\x1c-\x1f]")
-#: Up to here every character is in NFC, also next to others, and lower-cases by itself.
-LATIN = "\xff"
-WIDE_SPACE = re.compile(r"\s\s|^\s")
+
+
+def is_latin(text: str) -> bool:
+    """Whether all characters are in Latin-1: each is in NFC, also next to others, and lower-cases by itself."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 def load(path: str):
@@ -53,23 +59,15 @@ def pre_token_ids(tokenizer):
 
 
 class ByteEncoder:
-    """For byte-level BPE.  A single space between two other characters always starts a pre-token, so the text is cut there."""
+    """For byte-level BPE, pre-token by pre-token."""
 
     def __init__(self, path: str):
-        tokenizer, cut = load(path), regex.compile(BYTE_PATTERN).findall
-        self.pre_tokens = Memo(pre_token_ids(tokenizer))
-        self.cut = lambda s: b"".join(map(self.pre_tokens.__getitem__, cut(s)))
-        self.after_space = Memo(lambda s: self.cut(" " + s))
+        self.pre_tokens = Memo(pre_token_ids(load(path)), 64 << 20)
+        self.cut = regex.compile(BYTE_PATTERN).findall
 
     def packed(self, text: str | None) -> bytes:
-        if not text:
-            return b""
         self.pre_tokens.trim()
-        self.after_space.trim()
-        if WIDE_SPACE.search(text) or SEPARATORS.search(text):
-            return self.cut(text)
-        first, *rest = text.split(" ")
-        return self.cut(first) + b"".join(map(self.after_space.__getitem__, rest))
+        return b"".join(map(self.pre_tokens.__getitem__, self.cut(text))) if text else b""
 
 
 class WordEncoder:
@@ -78,9 +76,9 @@ class WordEncoder:
     def __init__(self, path: str):
         tokenizer, cut = load(path), regex.compile(WORD_PATTERN).findall
         plain = lambda s: np.array(tokenizer.encode(s, add_special_tokens=False).ids, "<u4").tobytes()
-        self.plain, self.pre_tokens = plain, Memo(pre_token_ids(tokenizer))
+        self.plain, self.cut, self.pre_tokens = plain, cut, Memo(pre_token_ids(tokenizer), 64 << 20)
         join = lambda s: b"".join(map(self.pre_tokens.__getitem__, cut(s.lower())))
-        self.by_word = Memo(lambda s: join(s) if max(s) <= LATIN else plain(s))
+        self.by_word = Memo(lambda s: join(s) if is_latin(s) else plain(s))
 
     def packed(self, text: str | None) -> bytes:
         if not text:
@@ -89,4 +87,6 @@ class WordEncoder:
         self.by_word.trim()
         if SEPARATORS.search(text):
             return self.plain(text)
+        if is_latin(text):
+            return b"".join(map(self.pre_tokens.__getitem__, self.cut(text.lower())))
         return b"".join(map(self.by_word.__getitem__, text.split()))

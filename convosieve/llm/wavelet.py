@@ -35,6 +35,7 @@ class WaveletMatrix:
     def build(cls, ids: np.ndarray) -> WaveletMatrix:
         n = len(ids)
         width = max(1, int(ids.max()).bit_length()) if n else 1
+        ids = ids.astype(np.uint16) if width <= 16 else ids
         blocks = n // BLOCK + 1
         bits, ranks, zeros = np.zeros((width, blocks * BLOCK // 8), np.uint8), np.zeros((width, blocks), "<u4"), []
         for p in range(width):
@@ -98,13 +99,14 @@ class WaveletMatrix:
 
     def decode(self) -> np.ndarray:
         """All ids in order: the planes are undone from the lowest to the highest."""
-        value = np.zeros(self.n, "<u4")
+        kind = np.uint16 if self.width <= 16 else np.uint32
+        value = np.zeros(self.n, kind)
         for p in reversed(range(self.width)):
             ones = np.unpackbits(self.bits[p])[: self.n].astype(bool)
             back = np.empty_like(value)
             back[~ones], back[ones] = value[: self.zeros[p]], value[self.zeros[p] :]
-            value = back | ones.astype("<u4") << np.uint32(self.width - 1 - p)
-        return value
+            value = back | ones.astype(kind) << kind(self.width - 1 - p)
+        return value.astype("<u4")
 
     def payload(self) -> tuple[bytes, bytes]:
         return self.bits.tobytes(), self.ranks.tobytes()
