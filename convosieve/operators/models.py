@@ -1,34 +1,27 @@
-"""Text classification baselines on pyspark.ml."""
+"""Classification on dense features with pyspark.ml; `text_models` has the n-gram models."""
 
 from __future__ import annotations
 
 import itertools
-import math
 import warnings
 from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Transformer
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, Normalizer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import Vectors
 from pyspark.ml.param.shared import HasInputCol
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from convosieve.functions import lexicons as lex
-from convosieve.functions import text as T
-from convosieve.functions import tokens as K
-from convosieve.functions.features import add_features, feature_names
+from convosieve.functions.features import add_features
 from convosieve.functions.scalar import safe_logit
 from convosieve.operators.evaluation import best_threshold, roc_auc, threshold_sweep
 from convosieve.operators.sampling import folds
 from convosieve.session import checkpoint
 
 
-#: Every term of the rows that a model is fitted on.
-ALL_TERMS = 2**31 - 1
 #: The tolerance ends a fit; one that gets here is reported as not converged.
 MAX_ITER = 2_000
 
@@ -62,48 +55,6 @@ def _weight_col(weights: dict[int, float], y: str):
     return F.element_at(F.create_map(*[F.lit(x) for k, v in weights.items() for x in (int(k), float(v))]), F.col(y).cast("int"))
 
 
-def _tfidf(fit_on: DataFrame, grams: str, min_df: int, vocab: int):
-    """Count vectors with smoothed idf and unit length: returns a function that adds the vector column."""
-    cv = CountVectorizer(inputCol=grams, outputCol=f"{grams}_tf", minDF=float(min_df), vocabSize=vocab).fit(fit_on)
-    counted = cv.transform(fit_on)
-    stats = IDF(inputCol=f"{grams}_tf", outputCol="_unused").fit(counted)
-    idf = [math.log((1 + stats.numDocs) / (1 + d)) + 1 for d in stats.docFreq]
-    scale = ElementwiseProduct(inputCol=f"{grams}_tf", outputCol=f"{grams}_w", scalingVec=Vectors.dense(idf))
-    unit = Normalizer(inputCol=f"{grams}_w", outputCol=f"{grams}_v", p=2.0)
-    return lambda d: unit.transform(scale.transform(cv.transform(d))).drop(f"{grams}_tf", f"{grams}_w")
-
-
-def add_grams(df: DataFrame, text: str = "text") -> DataFrame:
-    t = T.normalize_text(text)
-    return df.withColumn("wg", K.word_ngrams(t, 1, 2)).withColumn("cg", K.char_wb_ngrams(t, 3, 5))
-
-
-def text_features(fit_on: DataFrame, tables: list[DataFrame], engineered: bool = False, min_df: int = 2, vocab: int = ALL_TERMS, chars: bool = True) -> list[DataFrame]:
-    """``features`` vectors fitted on one table and applied to several: word and character TF-IDF, optional scaled features."""
-    gram_cols = ["wg", "cg"] if chars else ["wg"]
-    base = add_grams(fit_on)
-    steps = [_tfidf(base, g, min_df, vocab) for g in gram_cols]
-    parts = [f"{g}_v" for g in gram_cols]
-    stats = None
-    names = feature_names("engineered")
-    if engineered:
-        eng = EngineeredFeatures("text").transform(fit_on)
-        # Population deviation, as the features are defined over it.
-        stats = eng.agg(*[F.avg(n).alias(f"m_{n}") for n in names], *[F.stddev_pop(n).alias(f"s_{n}") for n in names]).first()
-        parts.append("eng_v")
-    out = []
-    for t in tables:
-        d = add_grams(t)
-        for s in steps:
-            d = s(d)
-        if engineered:
-            d = EngineeredFeatures("text").transform(d)
-            d = d.withColumn("eng_v", array_to_vector(F.array(*[(F.col(n) - stats[f"m_{n}"]) / (stats[f"s_{n}"] or 1.0) for n in names])))
-        d = VectorAssembler(inputCols=parts, outputCol="features").transform(d)
-        out.append(d.drop("wg", "cg", *parts, *(names if engineered else [])))
-    return out
-
-
 def fit_logreg(train: DataFrame, y: str = "y", c: float = 1.0, balanced: bool = True, max_iter: int = MAX_ITER, standardize: bool = False):
     """L2 logistic regression; ``c`` is the inverse penalty of the summed loss."""
     weights = class_weights(train, y) if balanced else {0: 1.0, 1: 1.0}
@@ -120,37 +71,6 @@ def predict(model, df: DataFrame, out: str = "prob") -> DataFrame:
     return model.transform(df).withColumn(out, vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction")
 
 
-def tfidf_baseline(train: DataFrame, test: DataFrame, engineered: bool = False, id_col: str = "doc_id", chars: bool = True, vocab: int = ALL_TERMS, max_iter: int = MAX_ITER, fit_rows: int = 200_000) -> DataFrame:
-    """(id, prob) of all test rows.  ``fit_rows`` bounds the labelled rows of the fit, and with them the vocabulary."""
-    fit = fit_sample(train, id_col, fit_rows)
-    tr, te = text_features(fit, [fit, test], engineered, vocab=vocab, chars=chars)
-    return predict(fit_logreg(checkpoint(tr.select("y", "features")), max_iter=max_iter), te).select(id_col, "prob")
-
-
-def cross_validate(train: DataFrame, test: DataFrame | None = None, k: int = 5, engineered: bool = True, id_col: str = "doc_id", chars: bool = True, vocab: int = ALL_TERMS, max_iter: int = MAX_ITER, seed: int = 42, fit_rows: int = 200_000) -> dict[str, DataFrame]:
-    """Out-of-fold scores of all rows, fold-averaged scores of all test rows and the OOF threshold sweep.
-
-    ``fit_rows`` bounds the labelled rows that each fold's model is fitted on, and with them its vocabulary.
-    """
-    folded = folds(train.select(id_col, "y"), "y", k, id_col, seed)
-    data = checkpoint(train.join(folded.select(id_col, "fold"), id_col))
-    oof, tests = None, None
-    for i in range(k):
-        fit, held = fit_sample(data.filter(F.col("fold") != i), id_col, fit_rows, seed), data.filter(F.col("fold") == i)
-        tables = text_features(fit, [fit, held] + ([test] if test is not None else []), engineered, vocab=vocab, chars=chars)
-        model = fit_logreg(checkpoint(tables[0].select("y", "features")), max_iter=max_iter)
-        part = predict(model, tables[1]).select(id_col, "y", "fold", "prob")
-        oof = part if oof is None else oof.unionByName(part)
-        if test is not None:
-            tp = predict(model, tables[2]).select(id_col, F.lit(i).alias("fold"), "prob")
-            tests = tp if tests is None else tests.unionByName(tp)
-    oof = checkpoint(oof)
-    result = {"oof": oof, "sweep": threshold_sweep(oof, "prob", lex.THRESHOLD_GRID)}
-    if tests is not None:
-        result["test"] = fold_average(tests, id_col)
-    return result
-
-
 def fold_average(scores: DataFrame, id_col: str = "doc_id", prob: str = "prob") -> DataFrame:
     """Mean and population deviation over folds or seeds."""
     return scores.groupBy(id_col).agg(F.avg(prob).alias("prob_mean"), F.stddev_pop(prob).alias("prob_std"), F.count(prob).alias("models"))

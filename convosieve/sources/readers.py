@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from convosieve.functions import lexicons as lex
 from convosieve.functions import text as T
 from convosieve.operators.checks import bad_prob, require_columns
 from convosieve.operators.ranking import rank01
+from convosieve.session import checkpoint
 
 CORPUS_SCHEMA = "doc_id long, text string, label string"
 SCORE_SCHEMA = "doc_id long, text string, pred_prob_TRUE string"
@@ -28,11 +29,25 @@ def read_jsonl(spark: SparkSession, path: str, schema: str = CORPUS_SCHEMA, corr
     return reader.schema(schema).json(path)
 
 
+def number_rows(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Rows read from files with `id_col`: 0, 1, 2, ... in the order of the files' paths and of the rows in each.
+
+    The rows are written once with the split that they come from; one row per split is counted and summed up, so no row leaves its
+    place and nothing depends on how splits were dealt out to tasks.
+    """
+    marks = {"_path": "_metadata.file_path", "_start": "_metadata.file_block_start"}
+    rows = checkpoint(df.select("*", *[F.col(c).alias(m) for m, c in marks.items()], F.monotonically_increasing_id().alias("_at")))
+    splits = rows.groupBy(*marks).agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    earlier = Window.orderBy(*marks).rowsBetween(Window.unboundedPreceding, -1)
+    starts = splits.select(*marks, (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"))
+    return rows.join(starts, list(marks)).withColumn(id_col, F.col("_at") + F.col("_shift")).drop(*marks, "_at", "_shift")
+
+
 def read_corpus(spark: SparkSession, path: str, schema: str = CORPUS_SCHEMA, id_col: str = "doc_id") -> DataFrame:
-    """(id, text, norm_text, label, y).  Files without an id get one: increasing in file order, not dense."""
+    """(id, text, norm_text, label, y).  Files without an id get the row number."""
     df = read_jsonl(spark, path, schema)
     if id_col not in df.columns:
-        df = df.withColumn(id_col, F.monotonically_increasing_id())
+        df = number_rows(df, id_col)
     label = T.normalize_label("label") if "label" in df.columns else F.lit(None).cast("string")
     return df.select(id_col, "text", T.normalize_text("text").alias("norm_text"), label.alias("label"), T.encode_label(label).alias("y"))
 

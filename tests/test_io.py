@@ -85,6 +85,85 @@ def test_stream_processes_each_id_once(spark, tmp_path):
     assert {r.doc_id for r in spark.read.parquet(str(tmp_path / "failed")).collect()} == {2}
 
 
+def test_append_remembers_failed_ids_and_reads_touched_folders_only(spark, tmp_path):
+    out, failed, tried = str(tmp_path / "out"), str(tmp_path / "failed"), []
+
+    def tag(df):
+        tried.append(sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in df.select("doc_id").collect()))
+        return df.withColumn("valid", F.col("text").isNotNull())
+
+    make = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    W.append_new(make([(1, "b"), (1, "a"), (1, None), (2, None), (None, "null id")]), tag, out, failed)
+    W.append_new(make([(1, "later"), (2, "has a text now"), (3, "c"), (None, "again")]), tag, out, failed)
+    W.append_new(make([(1, "b"), (3, "d")]), tag, out, failed)
+    assert tried == [[(False, 1), (False, 2), (True, 0)], [(False, 3)], []]
+    assert {(r["doc_id"], r["text"]) for r in spark.read.parquet(out).collect()} == {(1, "a"), (3, "c"), (None, "null id")}
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(W.ID_PARTS))
+    assert spark.read.parquet(out).filter(F.col("id_part") != part).count() == 0
+    # Folders of other ids are not read: a broken file there does no harm.
+    mine = spark.createDataFrame([(50,)], "doc_id long").select(part.alias("p")).first()[0]
+    broken = tmp_path / "out" / f"id_part={(mine + 1) % W.ID_PARTS}"
+    broken.mkdir(exist_ok=True)
+    (broken / "part-broken.parquet").write_bytes(b"not a table")
+    W.append_new(make([(50, "e")]), tag, out, failed)
+    assert tried[-1] == [(False, 50)]
+
+
+def test_stream_keeps_ids_as_state(spark, tmp_path):
+    src = tmp_path / "in"
+    src.mkdir()
+    tried = []
+
+    def tag(df):
+        tried.append({r["doc_id"]: r["text"] for r in df.collect()})
+        return tag_batch(df)
+
+    run = lambda **how: tag_stream(spark, str(src), str(tmp_path / "out"), str(tmp_path / "failed"), str(tmp_path / "ck"), tag=tag, **how).awaitTermination(120)
+    (src / "1.json").write_text('{"doc_id": 1, "text": "b"}\n{"doc_id": 1, "text": "a"}\n{"doc_id": 1}\n{"doc_id": 2}\n{"text": "null id"}\n')
+    run()
+    assert tried == [{1: "a", 2: None, None: "null id"}]
+    # What was written is not asked: the state alone knows the ids, the failed one too.
+    spark.createDataFrame([(7, "x")], "doc_id long, text string").write.mode("overwrite").parquet(str(tmp_path / "out" / "batch=0"))
+    (src / "2.json").write_text('{"doc_id": 1, "text": "0"}\n{"doc_id": 2, "text": "now with a text"}\n{"doc_id": 3, "text": "c"}\n{"text": "again"}\n')
+    run()
+    run()
+    assert tried[1:] == [{3: "c"}]
+
+
+def test_stream_repeats_a_batch_that_failed(spark, tmp_path):
+    src = tmp_path / "in"
+    src.mkdir()
+    (src / "1.json").write_text("".join(json.dumps({"doc_id": i, "text": f"text {i}"}) + "\n" for i in range(20)))
+    broken = [True]
+
+    def tag(df):
+        if broken.pop() if broken else False:
+            raise RuntimeError("stopped in the middle")
+        return tag_batch(df)
+
+    args = (spark, str(src), str(tmp_path / "out"), str(tmp_path / "failed"), str(tmp_path / "ck"))
+    with pytest.raises(Exception, match="stopped in the middle"):
+        tag_stream(*args, tag=tag).awaitTermination(120)
+    tag_stream(*args, tag=tag).awaitTermination(120)
+    assert sorted(r["doc_id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == list(range(20))
+
+
+def test_row_numbers_are_dense_in_file_order(spark, tmp_path):
+    folder, expected = tmp_path / "files", []
+    folder.mkdir()
+    for name, n in (("b.jsonl", 700), ("a.jsonl", 3), ("c.jsonl", 0), ("d.jsonl", 41)):
+        (folder / name).write_text("".join(json.dumps({"text": f"{name} {i} " + "x" * 200}) + "\n" + "\n" * (i % 5 == 0) for i in range(n)))
+    for name, n in (("a.jsonl", 3), ("b.jsonl", 700), ("d.jsonl", 41)):
+        expected += [f"{name} {i} " for i in range(n)]
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")  # several splits a file, several files a task
+    try:
+        rows = R.read_corpus(spark, str(folder), "text string, label string").select("doc_id", "text").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert [r["text"].rstrip("x") for r in sorted(rows)] == expected and sorted(r["doc_id"] for r in rows) == list(range(744))
+
+
 def test_path_exists_asks_the_file_system(spark, tmp_path):
     from convosieve.sources.readers import path_exists
 
