@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from convosieve.llm.common import Memo, arrow_schema, batch, fold, pairs
+from convosieve.llm.common import Memo, arrow_schema, batch, fold, pairs, sliced
 
 BUCKETS = 1 << 16
 LEXICON = 300
@@ -148,10 +148,10 @@ class Tagger:
         self.used += 1
         return self.used - 1
 
-    def shares(self, docs: list[list[str]]) -> np.ndarray:
-        """Mean marginals of each document; documents must not be empty."""
-        if len(self.places) > self.places.limit:
-            self.places.clear()
+    def words(self, docs: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """The marginals of all words, and where each document begins among them; documents must not be empty."""
+        if len(self.places) > PLACES:
+            self.places = Memo(self._place)
             self.used = 0
         at = [list(map(self.places.__getitem__, d)) for d in docs]
         lengths = np.array([len(d) for d in at])
@@ -183,69 +183,107 @@ class Tagger:
             step = (state @ self.t) * e[:, i]
             state = np.where(real[:, i, None], step / step.sum(axis=1, keepdims=True), state)
             alpha[:, i] = state
-        sums, state = np.zeros((total, self.labels)), leave
+        state = leave
         for i in range(BLOCK - 1, -1, -1):
             marginal = alpha[:, i] * state
-            sums += np.where(real[:, i, None], marginal / marginal.sum(axis=1, keepdims=True), 0)
+            alpha[:, i] = marginal / marginal.sum(axis=1, keepdims=True)
             before = (e[:, i] * state) @ self.t.T
             state = np.where(real[:, i, None], before / before.sum(axis=1, keepdims=True), state)
-        return np.add.reduceat(sums, first, axis=0) / lengths[:, None]
+        return alpha.reshape(total * BLOCK, -1)[spots], np.concatenate([[0], np.cumsum(lengths)[:-1]])
+
+    def shares(self, docs: list[list[str]]) -> np.ndarray:
+        """Mean marginals of each document; documents must not be empty."""
+        marginals, first = self.words(docs)
+        return np.add.reduceat(marginals, first, axis=0) / np.array([len(d) for d in docs])[:, None]
+
+    def spans(self, docs: list[list[str]]) -> list[list[tuple[int, int, str, float]]]:
+        """Runs of words of one language in each document: first word, word behind the last, language, mean marginal."""
+        marginals, first = self.words(docs)
+        best, out = marginals.argmax(axis=1), []
+        sure = marginals[np.arange(len(best)), best]
+        for a, d in zip(first.tolist(), docs):
+            own, n = best[a : a + len(d)], len(d)
+            cuts = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), n]
+            out.append([(i, j, self.model.languages[own[i]], float(min(1.0, sure[a + i : a + j].mean()))) for i, j in zip(cuts, cuts[1:])])
+        return out
 
 
 PREDICTIONS = "doc_id long, lang_pred string, score double"
+SPANS = "doc_id long, start_word long, end_word long, lang string, score double"
+#: Words whose weights a worker keeps, and texts that the model is fitted on at most (but one a language).
+PLACES, FIT_ROWS = 400_000, 20_000
 #: Words that are chained at once, documents kept whole.
 CHUNK_WORDS = 200_000
 
 
-def _predict(model, schema: pa.Schema):
+def _of_documents(tagger: Tagger, chunk: list[tuple]) -> list[tuple]:
+    """PREDICTIONS: the language of the largest mean marginal."""
+    names = tagger.model.languages
+    some = [k for k, (_, found) in enumerate(chunk) if found and names]
+    out = [(doc_id, UNKNOWN, 0.0) for doc_id, _ in chunk]
+    if some:
+        for k, share in zip(some, tagger.shares([chunk[k][1] for k in some])):
+            best = int(share.argmax())
+            out[k] = (chunk[k][0], names[best], float(min(1.0, share[best])))
+    return out
+
+
+def _of_words(tagger: Tagger, chunk: list[tuple]) -> list[tuple]:
+    """SPANS."""
+    some = [(doc_id, found) for doc_id, found in chunk if found and tagger.model.languages]
+    runs = tagger.spans([found for _, found in some]) if some else []
+    return [(doc_id, *span) for (doc_id, _), own in zip(some, runs) for span in own]
+
+
+def _predict(model, schema: pa.Schema, of):
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = Tagger(Model(**model.value))
-        names = tagger.model.languages
-
-        def tagged(chunk):
-            some = [k for k, (_, found) in enumerate(chunk) if found and names]
-            out = [(doc_id, UNKNOWN, 0.0) for doc_id, _ in chunk]
-            if some:
-                for k, share in zip(some, tagger.shares([chunk[k][1] for k in some])):
-                    best = int(share.argmax())
-                    out[k] = (chunk[k][0], names[best], float(min(1.0, share[best])))
-            return batch(out, schema)
-
-        for own in batches:
+        for own in sliced(batches):
             chunk, size = [], 0
             for doc_id, text in pairs(own, "doc_id", "text"):
                 chunk.append((doc_id, letter_words(text)))
                 size += len(chunk[-1][1])
                 if size >= CHUNK_WORDS:
-                    yield tagged(chunk)
+                    yield batch(of(tagger, chunk), schema)
                     chunk, size = [], 0
             if chunk:
-                yield tagged(chunk)
+                yield batch(of(tagger, chunk), schema)
 
     return predict
 
 
-def sample(docs: DataFrame, fit_docs: int, parts: int, held: int) -> list[tuple[str, str]]:
-    """(language, text) of about `fit_docs` rows a language outside the held-out fold, by the hash of their id, twice as many at most."""
+def sample(docs: DataFrame, fit_docs: int, parts: int, held: int, fit_rows: int = FIT_ROWS) -> list[tuple[str, str]]:
+    """(language, text) of `fit_docs` rows a language outside the held-out fold, those with the lowest hashes of their id; all of a
+    language that has fewer.  With so many languages that these were over `fit_rows`, each has an equal smaller share, one at least."""
     usable = docs.where("lang IS NOT NULL AND text IS NOT NULL").where(fold("doc_id", parts) != held)
-    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(200).collect()}
-    place, rows = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)), []
-    if counts:
-        chosen = [(F.col("lang") == lang) & (place < (1 << 20) * fit_docs / n) for lang, n in counts.items()]
-        wanted = chosen[0]
-        for c in chosen[1:]:
-            wanted |= c
-        rows = usable.where(wanted).select("doc_id", "lang", "text").limit(2 * fit_docs * len(counts)).collect()
-    return [(r["lang"], r["text"]) for r in sorted(rows, key=lambda r: (r["lang"], str(r["doc_id"]), r["text"]))]
+    counts = usable.groupBy("lang").agg(F.count("*").alias("n"))
+    share = max(1, min(fit_docs, fit_rows // max(1, counts.count())))
+    place = (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / (1 << 20)).alias("place")
+    near = usable.select("doc_id", "lang", "text", place).join(counts, "lang").where(F.col("place") < max(2 * share, 20) / F.col("n"))
+    rows: dict[str, list] = {}
+    for r in near.select("lang", "place", "doc_id", "text").collect():
+        rows.setdefault(r["lang"], []).append((r["place"], str(r["doc_id"]), r["text"]))
+    return [(lang, text) for lang in sorted(rows) for _, _, text in sorted(rows[lang])[:share]]
+
+
+def _model(docs: DataFrame, fit_docs: int, parts: int, held: int):
+    return docs.sparkSession.sparkContext.broadcast(vars(fit(sample(docs, fit_docs, parts, held))))  # BUCKETS x languages numbers and the lexicons
 
 
 def languages(docs: DataFrame, fit_docs: int = 250, parts: int = 4, held: int = 2) -> DataFrame:
     """doc_id, held_out, lang_pred, score per row of `docs`; text and language of held-out ids are never learned from.
 
-    Texts that are null or have no letter are `und` with score 0, like all texts when no language is known.  The 200 most frequent
-    languages are learned.  Null ids count as the text `null` for the fold.
+    Texts that are null or have no letter are `und` with score 0, like all texts when no language is known.  Every language with a row
+    to learn from is learned.  Very long texts are chained whole; repeated rows each have a row; null ids count as the text `null` for
+    the fold; an empty table gives no rows.  Other columns are not read and may have any name.
     """
-    spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(vars(fit(sample(docs, fit_docs, parts, held))))  # BUCKETS x languages numbers and the lexicons
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_predict(model, arrow_schema(PREDICTIONS)), PREDICTIONS)
+    model = _model(docs, fit_docs, parts, held)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_predict(model, arrow_schema(PREDICTIONS), _of_documents), PREDICTIONS)
     return rows.select("doc_id", (fold("doc_id", parts) == held).alias("held_out"), "lang_pred", "score")
+
+
+def word_languages(docs: DataFrame, fit_docs: int = 250, parts: int = 4, held: int = 2) -> DataFrame:
+    """SPANS: the runs of words (with a letter, from 0) of one language in every text, from the marginals that `languages` averages.
+    Texts without such a word have no rows; other cases as in `languages`."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return rows.mapInArrow(_predict(_model(docs, fit_docs, parts, held), arrow_schema(SPANS), _of_words), SPANS)

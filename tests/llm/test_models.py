@@ -1,5 +1,6 @@
 """Quality rules, quality ranking and language models: definitions, awkward rows, held-out accuracy."""
 
+import random
 import re
 import zlib
 from collections import Counter
@@ -171,3 +172,36 @@ def test_forward_backward_by_enumeration(monkeypatch):
     potentials = lambda own: np.exp(np.array([model.weights[crf.feature_ids(w, {})].sum(axis=0) for w in own]))
     for got, own in zip(shares, (words, words[:2], words[:4])):
         assert np.allclose(got, chain(potentials(own), t).mean(axis=0))
+
+
+def speech(draw, language, n):
+    """Words of an invented language: its own syllables."""
+    syllables = [chr(97 + language % 26) + v + chr(97 + language // 26) for v in "aeiou"]
+    return " ".join("".join(draw.choices(syllables, k=draw.randint(1, 3))) for _ in range(n))
+
+
+def test_every_language_is_learned_from(spark):
+    """However many there are: the rows are bounded, not the languages."""
+    draw = random.Random(11)
+    rows = [(lang * 10 + i, speech(draw, lang, 6), f"l{lang}") for lang in range(400) for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    known = {lang for d, _, lang in rows if held(d, 4) != 2}
+    assert len(known) > 390 and {lang for lang, _ in crf.sample(docs, 250, 4, 2)} == known
+    few = crf.sample(docs, 250, 4, 2, fit_rows=450)
+    assert {lang for lang, _ in few} == known and len(few) == len(known)
+
+
+def test_runs_of_languages_in_one_text(spark):
+    draw = random.Random(12)
+    rows = [(i, speech(draw, i % 3, 30), f"l{i % 3}") for i in range(120)]
+    mixed = [(1000 + i, speech(draw, 0, 10) + " " + speech(draw, 1, 15) + ", " + speech(draw, 2, 8), None) for i in range(6)] + [(2000, None, None), (2001, " 12 ", None)]
+    docs = spark.createDataFrame(rows + mixed, "doc_id long, text string, lang string").repartition(3)
+    spans = {}
+    for r in sorted(crf.word_languages(docs).collect()):
+        spans.setdefault(r["doc_id"], []).append((r["start_word"], r["end_word"], r["lang"]))
+        assert 0 < r["score"] <= 1
+    for i in range(6):
+        assert spans[1000 + i] == [(0, 10, "l0"), (10, 25, "l1"), (25, 33, "l2")]
+    assert 2000 not in spans and 2001 not in spans and all(s[0][0] == 0 and s[-1][1] == 30 for d, s in spans.items() if d < 1000)
+    best = {r["doc_id"]: r["lang_pred"] for r in crf.languages(docs).collect()}
+    assert all(best[1000 + i] == "l1" for i in range(6)) and best[2000] == best[2001] == "und"
