@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import sys
 import tempfile
@@ -57,7 +58,7 @@ def _bytes(value) -> int:
 
 
 #: Bytes of a dict's slot, and those that one memo may hold.
-SLOT, MEMO_BYTES = 100, 32 << 20
+SLOT, MEMO_BYTES = 100, 24 << 20
 
 
 class Memo(dict):
@@ -83,13 +84,21 @@ class Memo(dict):
             self.held = 0
 
 
+def give_back() -> None:
+    """Returns memory that Arrow and, with glibc, the allocator of C libraries hold without use: the worker lives on for other tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 #: Bytes of text that a task turns into Python values at a time.
 SLICE_BYTES = 2 << 20
 
 
 def sliced(batches: Iterable[pa.RecordBatch], column: str = "text") -> Iterable[pa.RecordBatch]:
     """The batches in parts of about SLICE_BYTES of a text column, cut without a copy; a longer text is a part of its own.  At the end
-    Arrow's unused memory goes back, since the worker lives on for other tasks."""
+    unused memory goes back."""
     for own in batches:
         ends = np.cumsum(pc.fill_null(pc.binary_length(own.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
         first = 0
@@ -97,7 +106,7 @@ def sliced(batches: Iterable[pa.RecordBatch], column: str = "text") -> Iterable[
             last = int(np.searchsorted(ends, (ends[first - 1] if first else 0) + SLICE_BYTES, "right"))
             yield own.slice(first, max(1, last - first))
             first = max(first + 1, last)
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def words(text: str | None) -> list[bytes]:

@@ -13,7 +13,7 @@ _INVERSE = pow(BASE, -1, 1 << 64)
 
 
 def word_hashes() -> Memo:
-    return per_process(("word hashes",), lambda: Memo(xxhash.xxh3_64_intdigest, 64 << 20))
+    return per_process(("word hashes",), lambda: Memo(xxhash.xxh3_64_intdigest))
 
 
 def hashed(words: list[bytes], memo: Memo) -> np.ndarray:
