@@ -161,12 +161,18 @@ def _report(schema: pa.Schema):
 
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated (hits on a twentieth of the words or more) per document."""
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated (hits on a twentieth of the words or more) per document.
+
+    Null and empty texts have no words and are not contaminated; very long ones are scanned whole.  A null doc_id stays null, repeated
+    rows each have a row, an empty table gives none.  Other columns are not read and may have any name.  Items without words match
+    nothing, equal items of one id count once; with an empty benchmark nothing is hit.
+    """
     return scan(docs.select(F.col("doc_id").cast("long"), "text"), benchmark, window).mapInArrow(_report(arrow_schema(REPORT)), REPORT)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> DataFrame:
-    """The rows of `docs` that are not contaminated, with their columns."""
+    """The rows of `docs` that are not contaminated, with all their columns, whatever their names; cases as in `report`, and repeated
+    rows all stay or all go."""
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for own in sliced(batches):

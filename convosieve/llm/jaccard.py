@@ -224,7 +224,9 @@ def similar(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of `docs` without all but one of each component (the least by id and text hash); rows without words stay."""
+    """The rows of `docs` without all but one of each component (the least by id and text hash); rows without words (null, empty,
+    white space) stay.  Of rows that share id and text but differ in other columns any one stays.  Other columns pass through, whatever
+    their names.  An empty table stays empty."""
     found = stored(similar(docs, size, percent).where("node IS NOT NULL").select("doc_id", "key", "component"))
     copies = found.groupBy("doc_id", "key", "component").agg(F.count("*").alias("rows"))
     first = copies.groupBy("component").agg(F.min(F.struct("doc_id", "key", "rows")).alias("first"))

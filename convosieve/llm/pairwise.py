@@ -88,6 +88,7 @@ def scores(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, folds: in
 
     The score is a logistic of strength, moved so that the threshold strength scores `cut`.  Null and empty texts are scored from
     their (zero) counts; null ids are never labelled; labels other than 0 and 1 are left out.  Without labels every score is `cut`.
+    Very long texts are scored whole, repeated rows each have a row, an empty table gives none; other columns are not read.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = stored(rows.mapInArrow(_features(arrow_schema(FEATURES)), FEATURES))

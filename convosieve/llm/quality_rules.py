@@ -183,7 +183,8 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def accepted(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` that the rules keep, with their columns."""
+    """The rows of `docs` that the rules keep, with all their columns, whatever their names.  Null and empty texts go, very long ones are
+    judged whole, a null language is judged by the base rules alone; repeated rows all stay or all go; an empty table stays empty."""
     shared = _shared(docs)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

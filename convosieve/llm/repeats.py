@@ -173,7 +173,9 @@ def without_words(text: str, starts: list[int], ends: list[int]) -> str:
 
 def cut(docs: DataFrame, length: int = 50) -> DataFrame:
     """`docs` with the later copies of repeated passages cut out of `text`; a row of which no word is left goes.  n_chars, if there
-    is such a column, follows the text; all other columns pass through."""
+    is such a column, follows the text; all other columns pass through, whatever their names.  Null, empty and short texts stay as they
+    are, very long ones are cut whole.  Of equal texts the row with the least id stays (each row that also shares that id), the others go.
+    An empty table stays empty."""
     _, texts = repeated_texts(docs, length)
     marks = [free_name(docs, c) for c in ("key", "first_id", "cuts", "cut_ends")]
     key, first_id, cuts, ends = marks
