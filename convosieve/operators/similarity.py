@@ -23,7 +23,8 @@ def add_keys(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def _digest(key: str) -> Column:
-    return F.sha2(F.col(key), 256)
+    # Keys are never null; a digest that cannot be null is not filtered, and so evaluated, a second time below a join.
+    return F.coalesce(F.sha2(F.col(key), 256), F.lit(""))
 
 
 def duplicate_groups(df: DataFrame, key: str, id_col: str = "doc_id", label: str | None = None, text: str = "text_norm") -> DataFrame:
