@@ -30,4 +30,4 @@ def test_every_query_is_registered():
     import __spark_entry__
 
     names = " ".join(__spark_entry__.queries())
-    assert all(re.search(rf"\bop{n}_", names) for n in range(1, 11)) and "pipeline" in __spark_entry__.queries()
+    assert all(re.search(rf"\bop{n}_", names) for n in range(1, 14)) and "pipeline" in __spark_entry__.queries()
