@@ -9,7 +9,7 @@ from convosieve.functions import lexicons as lex
 from convosieve.functions import text as T
 from convosieve.functions import tokens as K
 from convosieve.functions.scalar import let
-from convosieve.operators.neighbors import candidate_pairs, dot_products, embedding_neighbors, ranked
+from convosieve.operators.neighbors import embedding_neighbors, nearest_by_terms, ranked
 from convosieve.operators.ranking import most_frequent
 from convosieve.operators.stats import stack
 from convosieve.session import checkpoint
@@ -128,28 +128,29 @@ def tfidf_neighbors(
     train: DataFrame, test: DataFrame, method: str = "word_tfidf_1_2", k: int = 5, train_id: str = "doc_id", test_id: str = "doc_id",
     text: str = "text_norm", min_df: int = 2, max_features: int | None = None,
 ) -> DataFrame:
-    """Exact top-k cosine neighbours of each test row; the weights are fitted on both sides together."""
-    grams = GRAMS[method](F.col("_text"))
-    both = train.select(F.col(train_id).alias("_id"), F.lit(True).alias("_train"), F.col(text).alias("_text")).unionByName(
-        test.select(F.col(test_id).alias("_id"), F.lit(False).alias("_train"), F.col(text).alias("_text"))
+    """Exact top-k cosine neighbours of each test row; the weights are fitted on both sides together.
+
+    Terms are 64-bit hashes.  Texts of one id count as one document, and repeated rows of an id each have their neighbours.
+    """
+    grams = GRAMS[method]
+    both = train.select(F.col(train_id).alias("_id"), F.lit(0).alias("_odd"), F.col(text).alias("_text")).unionByName(
+        test.select(F.col(test_id).alias("_id"), F.lit(1).alias("_odd"), F.col(text).alias("_text"))
     )
     # One id space for both sides: even for train, odd for test.
-    both = both.withColumn("_key", F.col("_id") * 2 + F.when(F.col("_train"), 0).otherwise(1))
-    vec = checkpoint(tfidf_vectors(both, grams, "_key", min_df, max_features))
-    side = lambda odd, name: vec.filter(F.pmod("_key", F.lit(2)) == odd).select(
-        F.expr("_key div 2").alias(name), "terms", "weights"
-    )
-    # A row without any kept term still has neighbours, at similarity 0.
-    empty = {"terms": F.array().cast("array<long>"), "weights": F.array().cast("array<double>")}
-
-    def whole(df: DataFrame, id_col: str, odd: int, name: str) -> DataFrame:
-        return df.select(F.col(id_col).cast("long").alias(name)).join(side(odd, name), name, "left").select(
-            name, *[F.coalesce(c, e).alias(c) for c, e in empty.items()]
-        )
-
-    corpus, queries = whole(train, train_id, 0, "train_id"), whole(test, test_id, 1, "test_id")
-    pairs = candidate_pairs(corpus, queries, k)
-    return ranked(dot_products(pairs, corpus, queries), k).withColumn("method", F.lit(method))
+    texts = checkpoint(both.groupBy((F.col("_id").cast("long") * 2 + F.col("_odd")).alias("key")).agg(F.collect_list("_text").alias("_texts")))
+    grams_of = texts.select("key", F.flatten(F.transform("_texts", grams)).alias("grams"))
+    hashed = grams_of.select("key", F.transform("grams", lambda g: F.xxhash64(g)).alias("hashes"))
+    if max_features is None:
+        terms = K.explode_rows(hashed, [], F.array_distinct("hashes"), "term").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        vocab = terms.filter(F.col("df") >= min_df)
+    else:
+        occ = K.explode_rows(grams_of, ["key"], "grams", "g").groupBy("key", "g").agg(F.count(F.lit(1)).alias("tf"))
+        vocab = occ.groupBy("g").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total")).filter(F.col("df") >= min_df)
+        vocab = most_frequent(vocab, "total", "g", max_features).select(F.xxhash64("g").alias("term"), "df")
+    best = ranked(nearest_by_terms(hashed, checkpoint(vocab), both.count(), k), k).drop("neighbor_rank")
+    for df, id_col, name in ((train, train_id, "train_id"), (test, test_id, "test_id")):
+        best = best.join(df.select(F.col(id_col).cast("long").alias(name)), name)
+    return ranked(best.select("test_id", "train_id", "similarity"), k).withColumn("method", F.lit(method))
 
 
 def describe_neighbors(neighbors: DataFrame, train: DataFrame, test: DataFrame, train_id: str = "doc_id", test_id: str = "doc_id", label: str = "label") -> DataFrame:

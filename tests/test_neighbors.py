@@ -57,6 +57,29 @@ def test_index_finds_the_nearest_texts(spark, seed):
         assert [i for i, _ in got[t]] == [i for i, _ in best] and [s for _, s in got[t]] == pytest.approx([s for _, s in best], abs=1.1e-6)
 
 
+@pytest.mark.parametrize("known, rows, postings", [(0, 7, 1 << 20), (40, 1000, 50), (1 << 20, 1, 1)])
+def test_blocks_of_queries_find_the_nearest_texts(spark, monkeypatch, known, rows, postings):
+    """Whatever a task knows or holds at once, the result is that of all pairs, and repeated ids each have their rows."""
+    monkeypatch.setattr(N.nearest_by_terms, "__defaults__", (known, rows, postings))
+    train, test = corpus(6, 60, 300, copies=20), [*corpus(7, 8, 300), "", "unknown words only"]
+    a, b = frames(spark, train, test)
+    got = {t: [] for t in range(len(test))}
+    for r in sorted(D.tfidf_neighbors(a, b, k=3).collect(), key=lambda r: (r["test_id"], r["neighbor_rank"])):
+        got[r["test_id"]].append((r["train_id"], r["similarity"]))
+    for t, best in plain(train, test, 3).items():
+        assert [i for i, _ in got[t]] == [i for i, _ in best] and [s for _, s in got[t]] == pytest.approx([s for _, s in best], abs=1.1e-6)
+    twice = D.tfidf_neighbors(a.union(a.filter("doc_id = 0")), b, k=60).collect()
+    assert sorted(r["neighbor_rank"] for r in twice if r["test_id"] == 0) == list(range(1, 61))
+    assert sum(r["train_id"] == 0 for r in twice) in range(0, 2 * len(test) + 1, 2)
+
+
+def test_no_pair_of_texts_is_shuffled(spark):
+    """Only each task's best rows leave it: a few a query, though every text shares a term with every query."""
+    a, b = frames(spark, ["the " + t for t in corpus(8, 400, 300)], ["the " + t for t in corpus(9, 20, 300)])
+    plan = D.tfidf_neighbors(a, b, k=2)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow scan" in plan and "term" not in plan.split("MapInArrow scan")[0]
+
+
 def test_few_pairs_are_scored(spark):
     """Queries that resemble something leave most of the corpus unscored, frequent terms notwithstanding."""
     train = corpus(3, 1500, 20_000, copies=300)
