@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from convosieve.llm.common import Memo, arrow_schema, batch, pairs, per_process, sliced
+from convosieve.llm.common import WORD_BYTES, Memo, arrow_schema, batch, pairs, per_process, sliced
 from convosieve.llm.subwords import BYTE_CHARS, SEPARATORS, WORD_PATTERN, is_latin
 
 SHORT = 64
@@ -108,8 +108,8 @@ class Codec:
         self.tokens = [tokens.get(i) for i in range(max(tokens) + 1)]
         self.normal, self.pre = tokenizer.normalizer.normalize_str, tokenizer.pre_tokenizer.pre_tokenize_str
         self.cut = regex.compile(WORD_PATTERN).findall
-        self.pre_tokens = Memo(lambda p: np.array(self.merges.ids(p), "<u4").tobytes())
-        self.words = Memo(self.word)
+        self.pre_tokens = Memo(lambda p: np.array(self.merges.ids(p), "<u4").tobytes(), WORD_BYTES)
+        self.words = Memo(self.word, WORD_BYTES)
 
     def word(self, word: str) -> bytes:
         """Packed ids of a run of characters without white space."""

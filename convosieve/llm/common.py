@@ -59,6 +59,8 @@ def _bytes(value) -> int:
 
 #: Bytes of a dict's slot, and those that one memo may hold.
 SLOT, MEMO_BYTES = 100, 24 << 20
+#: The same for a tokenizer's words, which are many and costly; its worker holds little else.
+WORD_BYTES = 96 << 20
 
 
 class Memo(dict):

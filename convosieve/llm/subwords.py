@@ -13,7 +13,7 @@ import struct
 import numpy as np
 import regex
 
-from convosieve.llm.common import Memo
+from convosieve.llm.common import WORD_BYTES, Memo
 
 # The pre-token patterns of the two tokenizer files.
 BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -62,7 +62,7 @@ class ByteEncoder:
     """For byte-level BPE, pre-token by pre-token."""
 
     def __init__(self, path: str):
-        self.pre_tokens = Memo(pre_token_ids(load(path)), 40 << 20)
+        self.pre_tokens = Memo(pre_token_ids(load(path)), WORD_BYTES)
         self.cut = regex.compile(BYTE_PATTERN).findall
 
     def packed(self, text: str | None) -> bytes:
@@ -76,7 +76,7 @@ class WordEncoder:
     def __init__(self, path: str):
         tokenizer, cut = load(path), regex.compile(WORD_PATTERN).findall
         plain = lambda s: np.array(tokenizer.encode(s, add_special_tokens=False).ids, "<u4").tobytes()
-        self.plain, self.cut, self.pre_tokens = plain, cut, Memo(pre_token_ids(tokenizer), 40 << 20)
+        self.plain, self.cut, self.pre_tokens = plain, cut, Memo(pre_token_ids(tokenizer), WORD_BYTES)
         join = lambda s: b"".join(map(self.pre_tokens.__getitem__, cut(s.lower())))
         self.by_word = Memo(lambda s: join(s) if is_latin(s) else plain(s))
 

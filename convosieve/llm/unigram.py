@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from convosieve.llm.common import Memo, arrow_schema, batch, pairs, per_process, sliced
+from convosieve.llm.common import WORD_BYTES, Memo, arrow_schema, batch, pairs, per_process, sliced
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -53,7 +53,7 @@ class PieceCounter:
         self.lowest = min(score for _, score in pieces) - UNKNOWN_PENALTY
         across = any(re.search(f"[^{SPACE}]{SPACE}", piece) for piece, _ in pieces)
         self.parts = re.compile(".+" if across else f"{SPACE}+[^{SPACE}]*", re.DOTALL).findall
-        self.by_part = Memo(self.best)
+        self.by_part = Memo(self.best, WORD_BYTES)
 
     def best(self, word: str) -> tuple[float, int]:
         """Score and number of pieces of the best path through one part."""

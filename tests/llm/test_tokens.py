@@ -163,3 +163,11 @@ def test_unigram_ties():
     toy = unigram.PieceCounter([("▁", -1.0), ("a", -1.0), ("b", -1.0), ("ab", -2.0), ("▁a", -2.0), ("▁ab", -3.0)])
     assert toy.best("▁ab") == (-3.0, 1)
     assert toy.best("▁zzb") == (-1.0 - 13.0 - 13.0 - 1.0, 3)
+
+
+def test_a_hundred_thousand_words_are_scored_once():
+    counter, asked = unigram.PieceCounter([("▁", -1.0), *((c, -2.0) for c in "0123456789")]), []
+    best, counter.by_part.fn = counter.best, lambda part: (asked.append(part), best(part))[1]
+    texts = [" ".join(map(str, range(first, first + 1000))) for first in range(0, 100_000, 1000)]
+    assert [counter.count(t) for t in texts] == [counter.count(t) for t in texts]
+    assert len(asked) == 100_000
