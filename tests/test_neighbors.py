@@ -160,6 +160,14 @@ def test_near_duplicates_are_complete(spark, max_distance):
     assert len(expected) > 40
 
 
+def test_near_duplicates_store_and_shuffle_no_gram_strings(spark):
+    docs = spark.createDataFrame([(1, "one two three four"), (2, "one two three five"), (3, "one")], "doc_id long, text string")
+    sets = D.gram_sets(docs)
+    assert {r["id"]: r["n"] for r in sets.collect()} == {1: 5, 2: 5, 3: 1} and "array<string>" not in dict(sets.dtypes).values()
+    prefixes = D._prefixes(sets.select("id", "n", "text"), 0.2)
+    assert dict(prefixes.dtypes)["gram"] == "bigint" and {r["id"] for r in prefixes.collect()} == {1, 2}
+
+
 def test_near_duplicates_of_nothing(spark):
     assert near(spark, []) == {} and near(spark, [(1, None), (2, ""), (3, " \n")]) == {}
 
