@@ -59,8 +59,8 @@ def _pack(path: str, end_id: int, size: int, limit: int, keep_ids: bool):
         open_rows: dict[int, list[tuple]] = {}
         for own in sliced(batches):
             rows: list[tuple] = []
-            for doc_id, text in pairs(own, "doc_id", "text"):
-                ids = encoder.packed(text) + end
+            for doc_id, ids in zip(own.column("doc_id").to_pylist(), encoder.all_packed(own.column("text").to_pylist())):
+                ids += end
                 total = len(ids) // 4
                 for start in range(0, total, size):
                     part = ids[4 * start : 4 * (start + size)]

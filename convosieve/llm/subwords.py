@@ -1,7 +1,8 @@
 """Token ids of whole texts as packed little-endian 32-bit integers, with bounded memos of repeated words.
 
-A tokenizer cuts a text into pre-tokens and encodes each by itself, so ids of a text are the joined ids of pieces cut where a
-pre-token must end.  Pieces met before come from a memo; the tokenizers library encodes the rest.
+A tokenizer cuts a text into pre-tokens and encodes each by itself, so ids of a text are the joined ids of words cut where a
+pre-token must end.  Each distinct word of many texts is cut once for all of them.  Pre-tokens met before come from a memo; the
+tokenizers library encodes the rest.
 """
 
 from __future__ import annotations
@@ -9,16 +10,25 @@ from __future__ import annotations
 import os
 import re
 import struct
+from collections.abc import Callable
+from itertools import chain
+from operator import attrgetter
 
 import numpy as np
 import regex
 
-from convosieve.llm.common import WORD_BYTES, Memo
+from convosieve.llm.common import Memo
 
 # The pre-token patterns of the two tokenizer files.
-BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[\p{L}]+| ?[\p{N}]+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
+#: Bytes of the memo of pre-tokens, which are many and costly; its worker holds little else.
+PRE_TOKEN_BYTES = 224 << 20
+
+#: The letters and numbers of Latin-1, for `re`, which cuts short words faster than `regex`.
+_LETTERS, _NUMBERS = ("".join(filter(kind, map(chr, range(256)))) for kind in (str.isalpha, str.isnumeric))
+
 #: str.split and `\s` of `re` count these as white space, the tokenizers do not.
 SEPARATORS = re.compile("[\x1c-\x1f]")
 
@@ -32,6 +42,13 @@ def is_latin(text: str) -> bool:
     return True
 
 
+def cutter(pattern: str) -> Callable[[str], list[str]]:
+    """The pre-tokens of a short text by one of the patterns."""
+    latin = re.compile(pattern.replace(r"\p{L}", _LETTERS).replace(r"\p{N}", _NUMBERS)).findall
+    whole = regex.compile(pattern).findall
+    return lambda s: latin(s) if is_latin(s) and not SEPARATORS.search(s) else whole(s)
+
+
 def load(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -46,47 +63,94 @@ _PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 BYTE_CHARS = {b: chr(0x100 + n) for n, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 
 
+_CHARS = [BYTE_CHARS.get(b, chr(b)) for b in range(256)]
+
+
 def pre_token_ids(tokenizer):
     """Packed ids of one pre-token, from the library's model."""
-    model = tokenizer.model
+    tokenize, of = tokenizer.model.tokenize, attrgetter("id")
 
     def ids(s: str) -> bytes:
-        plain = s.isascii() and s.isprintable()
-        found = model.tokenize(s.replace(" ", BYTE_CHARS[0x20]) if plain else s.encode().decode("latin-1").translate(BYTE_CHARS))
-        return struct.pack(f"<{len(found)}I", *[t.id for t in found])
+        plain = s.isascii() and s.isprintable() and " " not in s
+        found = tokenize(s if plain else "".join(map(_CHARS.__getitem__, s.encode())))
+        return struct.pack(f"<{len(found)}I", *map(of, found))
 
     return ids
 
 
+#: So many words are remembered from one slice of texts to the next.
+WORDS = 200_000
+
+
+class Words(dict):
+    """The ids of words.  Each is looked up once; those of the last texts alone stay once they are more than WORDS."""
+
+    def joined(self, texts: list[list[str]], ids: Callable[[str], bytes]) -> list[bytes]:
+        own = set(chain.from_iterable(texts))
+        for w in own.difference(self):
+            self[w] = ids(w)
+        out = [b"".join(map(self.__getitem__, words)) for words in texts]
+        if len(self) > WORDS:
+            kept = {w: self[w] for w in own}
+            self.clear()
+            self.update(kept)
+        return out
+
+
+#: White space of the byte-level pattern.  A space before anything else always starts a pre-token and is never inside one.
+SPACE = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+MANY_SPACES = re.compile(rf" (?:{SPACE}|\Z)")
+BEFORE_WORD = re.compile(rf" (?!{SPACE}|\Z)")
+
+
+def spaced(text: str) -> list[str]:
+    """The text cut at (and without) each space that starts a pre-token."""
+    return BEFORE_WORD.split(text) if MANY_SPACES.search(text) else text.split(" ")
+
+
 class ByteEncoder:
-    """For byte-level BPE, pre-token by pre-token."""
+    """For byte-level BPE: words with the space before them, each pre-token by pre-token."""
 
     def __init__(self, path: str):
-        self.pre_tokens = Memo(pre_token_ids(load(path)), WORD_BYTES)
-        self.cut = regex.compile(BYTE_PATTERN).findall
+        self.pre_tokens, self.cut = Memo(pre_token_ids(load(path)), PRE_TOKEN_BYTES), cutter(BYTE_PATTERN)
+        self.words = Words()
 
-    def packed(self, text: str | None) -> bytes:
+    def ids(self, text: str) -> bytes:
+        return b"".join(map(self.pre_tokens.__getitem__, self.cut(text)))
+
+    def word(self, s: str) -> bytes:
+        return self.pre_tokens[" " + s] if s.isascii() and s.isalpha() else self.ids(" " + s)
+
+    def all_packed(self, texts: list[str | None]) -> list[bytes]:
         self.pre_tokens.trim()
-        return b"".join(map(self.pre_tokens.__getitem__, self.cut(text))) if text else b""
+        words = [spaced(t) if t else [""] for t in texts]
+        return [self.ids(w[0]) + ids for w, ids in zip(words, self.words.joined([w[1:] for w in words], self.word))]
+
+    def packed(self, text: str | None) -> bytes:
+        return self.all_packed([text])[0]
 
 
 class WordEncoder:
     """For BPE with word ends behind NFC and lower-casing: white space always ends a pre-token and has no ids."""
 
     def __init__(self, path: str):
-        tokenizer, cut = load(path), regex.compile(WORD_PATTERN).findall
-        plain = lambda s: np.array(tokenizer.encode(s, add_special_tokens=False).ids, "<u4").tobytes()
-        self.plain, self.cut, self.pre_tokens = plain, cut, Memo(pre_token_ids(tokenizer), WORD_BYTES)
-        join = lambda s: b"".join(map(self.pre_tokens.__getitem__, cut(s.lower())))
-        self.by_word = Memo(lambda s: join(s) if is_latin(s) else plain(s))
+        tokenizer = load(path)
+        self.plain = lambda s: np.array(tokenizer.encode(s, add_special_tokens=False).ids, "<u4").tobytes()
+        self.pre_tokens, self.cut, self.other = Memo(pre_token_ids(tokenizer), PRE_TOKEN_BYTES), cutter(WORD_PATTERN), Memo(self.plain)
+        self.words = Words()
+
+    def word(self, s: str) -> bytes:
+        if not is_latin(s):
+            return self.other[s]
+        low = s.lower()
+        return self.pre_tokens[low] if low.isalpha() else b"".join(map(self.pre_tokens.__getitem__, self.cut(low)))
+
+    def all_packed(self, texts: list[str | None]) -> list[bytes]:
+        self.pre_tokens.trim()
+        self.other.trim()
+        whole = [bool(t and SEPARATORS.search(t)) for t in texts]
+        found = self.words.joined([[] if own or not t else t.split() for t, own in zip(texts, whole)], self.word)
+        return [self.plain(t) if own else ids for t, own, ids in zip(texts, whole, found)]
 
     def packed(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        self.pre_tokens.trim()
-        self.by_word.trim()
-        if SEPARATORS.search(text):
-            return self.plain(text)
-        if is_latin(text):
-            return b"".join(map(self.pre_tokens.__getitem__, self.cut(text.lower())))
-        return b"".join(map(self.by_word.__getitem__, text.split()))
+        return self.all_packed([text])[0]

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from convosieve.llm.common import arrow_schema, batch, pairs, per_process, shared_folder, sliced
+from convosieve.llm.common import arrow_schema, batch, per_process, shared_folder, sliced
 from convosieve.llm.subwords import WordEncoder
 
 BLOCK = 512
@@ -136,8 +136,8 @@ def _build(path: str, end_id: int, shard_ids: int):
         encoder, end = per_process(("word encoder", path), lambda: WordEncoder(path)), np.array([end_id], "<u4").tobytes()
         part, made, docs, size = TaskContext.get().partitionId(), 0, [], 0
         for own in sliced(batches):
-            for doc_id, text in pairs(own, "doc_id", "text"):
-                ids = encoder.packed(text) + end
+            for doc_id, ids in zip(own.column("doc_id").to_pylist(), encoder.all_packed(own.column("text").to_pylist())):
+                ids += end
                 docs.append((doc_id, ids))
                 size += len(ids) // 4
                 if size >= shard_ids:

@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from conftest import texts_of
 
-from convosieve.llm import packing, unigram, wavelet
+from convosieve.llm import packing, subwords, unigram, wavelet
 from convosieve.llm.subwords import ByteEncoder, WordEncoder, load
 
 BYTE, WORD, PIECE = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"))
@@ -32,6 +32,24 @@ def test_encoders(path, kind, awkward, documents):
         assert np.frombuffer(encoder.packed(text), "<u4").tolist() == ids[:-1], repr(text)[:200]
 
 
+SPACED = [" a", "a ", "a  b", "a \n b", "\n\n b\n", "it's ' s", "a\u00a0 b \u3000c", "x\x1c y", "É²½ª", "don\x85 t", None, "", " ", "αβ γ", "e\u0301 e \u0301"]
+
+
+@pytest.mark.parametrize(("path", "kind"), [(BYTE, ByteEncoder), (WORD, WordEncoder)])
+def test_encoders_look_words_up_once(path, kind, awkward, monkeypatch):
+    """Texts of a slice share their words, also once the words remembered are too many."""
+    texts = [*SPACED, *(t for _, t in texts_of(awkward)), *SPACED]
+    encoder, asked = kind(path), Counter()
+    word = encoder.word
+    encoder.word = lambda s: asked.update([s]) or word(s)
+    expected = [ids[:-1] for ids in ids_of(path, texts, 0)]
+    assert [np.frombuffer(b, "<u4").tolist() for b in encoder.all_packed(texts)] == expected
+    assert asked and set(asked.values()) == {1}
+    monkeypatch.setattr(subwords, "WORDS", 3)
+    for k in range(0, len(texts), 4):
+        assert [np.frombuffer(b, "<u4").tolist() for b in encoder.all_packed(texts[k : k + 4])] == expected[k : k + 4]
+
+
 @pytest.mark.parametrize("name", ["awkward", "documents", "empty"])
 def test_wavelet_round_trip(request, spark, name):
     docs = request.getfixturevalue(name)
