@@ -32,21 +32,25 @@ def shared_folder(spark: SparkSession) -> str:
 def stored(df: DataFrame) -> DataFrame:
     """The rows written once as Parquet in the shared folder and read back: a cut of the lineage that outlives executors."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     kept = df.sparkSession.read.schema(df.schema).parquet(path)
     kept._stored_at = path
     return kept
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop the shuffle files of finished steps (it waits for the driver's garbage collection)."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def discard(*tables: DataFrame) -> None:
-    """Deletes `stored` tables whose last reader has been stored, and lets Spark's cleaner drop the shuffle files of finished steps
-    (it waits for the driver's garbage collection)."""
+    """Deletes `stored` tables whose last reader has been stored, and the shuffle files of finished steps."""
     for one in tables:
         jvm, conf = one.sparkSession._jvm, one.sparkSession._jsc.hadoopConfiguration()
         path = jvm.org.apache.hadoop.fs.Path(one._stored_at)
         path.getFileSystem(conf).delete(path, True)
-    gc.collect()
-    tables[0].sparkSession._jvm.System.gc()
+    release(tables[0].sparkSession)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

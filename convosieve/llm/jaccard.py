@@ -17,6 +17,7 @@ A document is the set of its hashed word shingles; equal sets are one node.  Two
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from convosieve.llm.common import arrow_schema, batch, discard, free_name, lower_words, sliced, stored
+from convosieve.llm.common import arrow_schema, batch, discard, free_name, lower_words, release, sliced, stored
 from convosieve.llm.graphs import components
 from convosieve.llm.hashing import Runs, hashed, word_hashes
 
@@ -32,6 +33,8 @@ from convosieve.llm.hashing import Runs, hashed, word_hashes
 DEPTH = 10
 #: Nodes that go leave others without the probes they shared, so the first filter is run so often.  Any number is right.
 ROUNDS = 2
+#: Passes over the tokens where those of one node are counted: the shuffle of all is the join's largest.
+PASSES = 2
 #: Up to so many text keys are broadcast (8 bytes each); more are joined by a shuffle of the texts.
 KEYS = 1_000_000
 SIGNATURES = "doc_id long, key long, n_shingles long, node long, probe array<long>"
@@ -88,9 +91,16 @@ def _fits(a: str, b: str, percent: int):
 
 
 def _alone(sets: DataFrame, tokens: str) -> DataFrame:
-    """(node, alone): how many of a node's tokens no other node has.  Rows of one node may repeat; hot tokens combine before the shuffle."""
-    ends = sets.select("node", F.explode(tokens).alias("token")).groupBy("token").agg(F.min("node").alias("node"), F.max("node").alias("last"))
-    return ends.where("node = last").groupBy("node").agg(F.count("*").alias("alone"))
+    """(node, alone): how many of a node's tokens no other node has.  Rows of one node may repeat; hot tokens combine before the shuffle.
+
+    Each of PASSES passes shuffles its share of the tokens, and its shuffle goes before the next."""
+    passes = []
+    for k in range(PASSES):
+        own = F.filter(tokens, lambda t: F.pmod(t, F.lit(PASSES)) == k)
+        ends = sets.select("node", F.explode(own).alias("token")).groupBy("token").agg(F.min("node").alias("node"), F.max("node").alias("last"))
+        passes.append(stored(ends.where("node = last").groupBy("node").agg(F.count("*").alias("alone"))))
+        release(sets.sparkSession)
+    return reduce(DataFrame.unionByName, passes).groupBy("node").agg(F.sum("alone").alias("alone"))
 
 
 def _bounded(keys: DataFrame) -> DataFrame:

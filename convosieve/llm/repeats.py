@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from convosieve.llm.common import arrow_schema, batch, free_name, pairs, sliced, stored, words
+from convosieve.llm.common import arrow_schema, batch, discard, free_name, pairs, sliced, stored, words
 from convosieve.llm.hashing import Runs, hashed, word_hashes
 
 #: Words by which suffixes are chosen and first compared.
@@ -118,15 +118,18 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def repeated_texts(docs: DataFrame, length: int = 50) -> tuple[DataFrame, DataFrame]:
     """(doc_id, key, n_words) of all rows, and SPANS of the distinct texts (key: their hash) with repeats; doc_id is their least id."""
     keyed = _keyed(docs)
-    rows = stored(keyed.mapInArrow(_suffixes(length), "doc_id long, key long, n_words long, suffixes array<long>"))
-    long = rows.where(F.col("n_words") >= length).groupBy("key")
+    found = stored(keyed.mapInArrow(_suffixes(length), "doc_id long, key long, n_words long, suffixes array<long>"))
+    rows = stored(found.drop("suffixes"))
+    long = found.where(F.col("n_words") >= length).groupBy("key")
     texts = stored(long.agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("n_words").alias("n_words"), F.first("suffixes").alias("suffixes")))
+    discard(found)
     suffixes = texts.select("key", "doc_id", F.explode("suffixes").alias("suffix"))
     met = suffixes.groupBy("suffix").agg(F.count("*").alias("n")).where("n > 1").select("suffix")
     wanted = stored(suffixes.join(met, "suffix").groupBy("key", "doc_id").agg(F.collect_set("suffix").alias("wanted")))
     bodies = keyed.select("key", "text").join(wanted.select("key"), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
     passages = wanted.join(bodies, "key").select("doc_id", "key", "text", "wanted")
     passages = stored(passages.mapInArrow(_passages(length), "doc_id long, key long, starts array<int>, runs array<long>"))
+    discard(wanted)
     each = passages.select("doc_id", "key", F.explode(F.arrays_zip("starts", "runs")).alias("p")).select("doc_id", "key", "p.starts", "p.runs")
     first = each.groupBy("runs").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "key", "starts")).alias("first")).where("n > 1")
     met = each.join(first, "runs")
@@ -136,7 +139,9 @@ def repeated_texts(docs: DataFrame, length: int = 50) -> tuple[DataFrame, DataFr
     near = F.when(later & (F.col("key") == F.col("first.key")) & (reached > 0), F.col("starts").cast("long") * length + reached)
     places = met.groupBy("key").agg(F.collect_list(F.col("starts") * 2 + later.cast("int")).alias("places"), F.collect_list(near).alias("near"))
     found = texts.drop("suffixes").join(places, "key", "left").where("copies > 1 OR places IS NOT NULL")
-    return rows.drop("suffixes"), stored(found.mapInArrow(_join_spans(length), SPANS))
+    spans = stored(found.mapInArrow(_join_spans(length), SPANS))
+    discard(texts, passages)
+    return rows, spans
 
 
 def spans(docs: DataFrame, length: int = 50) -> DataFrame:

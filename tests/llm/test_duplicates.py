@@ -1,5 +1,6 @@
 """Jaccard components and repeated passages against brute force."""
 
+import os
 import random
 import re
 from collections import Counter, defaultdict
@@ -7,7 +8,7 @@ from collections import Counter, defaultdict
 import pytest
 from conftest import COLUMNS, texts_of
 
-from convosieve.llm import graphs, jaccard, repeats
+from convosieve.llm import common, graphs, jaccard, repeats
 
 
 def low(text):
@@ -187,3 +188,15 @@ def test_cut_keeps_columns_and_lengths(awkward, empty):
 
 def test_schema_of_fixture(awkward):
     assert len(COLUMNS.split(", ")) == len(awkward.columns)
+
+
+def test_steps_leave_little_behind(spark, documents, monkeypatch):
+    """Tables of steps go once their readers are stored; tokens of one node are counted alike in any number of passes."""
+    made = []
+    monkeypatch.setattr(repeats, "stored", lambda df: made.append(common.stored(df)) or made[-1])
+    rows, found = repeats.repeated_texts(documents, 10)
+    assert {t._stored_at for t in made if os.path.exists(t._stored_at.removeprefix("file:"))} == {rows._stored_at, found._stored_at}
+    sets = spark.createDataFrame([(1, [-5, 2, 3, 8]), (1, [-5, 2, 3, 8]), (2, [2, 7, 8, -9]), (3, [4])], "node long, tokens array<long>")
+    for passes in (1, 2, 3):
+        monkeypatch.setattr(jaccard, "PASSES", passes, raising=False)
+        assert sorted(tuple(r) for r in jaccard._alone(sets, "tokens").collect()) == [(1, 2), (2, 2), (3, 1)]
